@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tidemark.plans import analytics, timing
+
+QUERIES = timing.QUERIES | analytics.QUERIES
+ORACLES = timing.ORACLES | analytics.ORACLES
