@@ -1,46 +1,16 @@
-"""Connected components by alternating large-star and small-star contraction.
-
-Every round is two grouped minima and two joins over the remaining edges; the number of rounds grows
-with the logarithm of the longest chain. No edge list and no component ever reaches the driver.
-"""
+"""Links between documents to classes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tidemark.llm.common import materialise
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return hung.union(least.select("u", F.col("m").alias("v"))).distinct()
-
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+from tidemark.operators.graph import components
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) links to (node, root), root being the least node reachable.
 
     Nodes without a link do not appear. Self links, repeated links and null ends are ignored; an empty
-    table gives an empty one.
+    table gives an empty one. Neither links nor classes ever reach the driver.
     """
-    now = materialise(edges.where("u <> v").select("u", "v").distinct(), "edges")
-    before = _state(now)
-    while before[0]:
-        now = materialise(_small_star(_large_star(now)), "stars")
-        after = _state(now)
-        if after == before:
-            break
-        before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return components(edges, "u", "v")

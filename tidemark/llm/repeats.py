@@ -29,6 +29,8 @@ from tidemark.llm.common import materialise, shuffle_partitions
 K = 24
 #: Spans of one anchor up to which they meet in one task.
 HOT = 2000
+#: Hot anchors up to which their table is broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Bytes of spans a task sorts at a time (whole anchors, so a little more).
 CHUNK = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
@@ -320,6 +322,9 @@ class RepeatFinder:
             found = found.join(self.firsts, "doc", "left_semi")
         found = materialise(found, "anchors")
         hot = found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h", F.lit(True).alias("hot"))
+        hot = materialise(hot, "hot")
+        if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            hot = F.broadcast(hot)
         # Most anchors have two spans; a doc's are gathered with its text.
         lists = found.join(hot, "h", "left").groupBy("doc").agg(F.collect_list(F.struct("h", "code", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spans"))
         placed = self.texts.join(lists.hint("shuffle_hash"), "doc").select("doc", "data", "spans.h", "spans.code", "spans.hot")
