@@ -93,8 +93,10 @@ class PositionalIndex:
         if hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
             texts = texts.join(F.broadcast(hashes), "th", "left_semi")
         same_id = F.expr("d.th = f.th AND d.doc_id <=> f.doc_id")
-        both = texts.alias("d").join(found.hint("shuffle_hash").alias("f"), same_id).select("d.doc_id", "d.th", words_of(F.col("d.text")).alias("w"), "c")
-        kept = both.select("doc_id", "th", F.expr("filter(c, x -> slice(w, x.start + 1, size(x.words)) = x.words)").alias("matches"))
+        both = texts.alias("d").join(found.hint("shuffle_hash").alias("f"), same_id).select("d.doc_id", "d.th", "d.text", "c")
+        # Bound as a variable the words are cut once a document; a plain column would be put into the inner function.
+        exact = F.transform(F.array(words_of(F.col("text"))), lambda w: F.filter("c", lambda x: F.slice(w, x["start"] + 1, F.size(x["words"])) == x["words"]))
+        kept = both.select("doc_id", "th", exact[0].alias("matches"))
         return kept.where("size(matches) > 0").dropDuplicates(["doc_id", "th"])
 
     def proximity_matches(self, slop: int = 20) -> DataFrame:
