@@ -111,7 +111,7 @@ class Sample:
 
     def presence(self, size: int) -> np.ndarray:
         """How many rows have each slot."""
-        return np.bincount(np.concatenate([*self.slots, np.zeros(0, np.int64)]), minlength=size)
+        return np.bincount(np.concatenate([*self.slots, np.zeros(0, np.int32)]), minlength=size)
 
     def keep_only(self, mask: np.ndarray) -> None:
         for i, s in enumerate(self.slots):
@@ -143,7 +143,7 @@ def collect_features(df: DataFrame, text_col: str, keep: list[str], size: int) -
     rows = df.select(F.col(text_col).cast("binary").alias("text"), *keep).mapInArrow(run, schema).toPandas()
     rows = rows.sort_values(keep, kind="stable", ignore_index=True)
     shape = np.array(rows["shape"].tolist(), float).reshape(-1, N_SHAPE)
-    return Sample([np.asarray(s, np.int64) for s in rows["slots"]], [np.asarray(v, float) for v in rows["values"]], shape, rows[keep])
+    return Sample([np.asarray(s, np.int32) for s in rows["slots"]], [np.asarray(v, np.float32) for v in rows["values"]], shape, rows[keep])
 
 
 def score_rows(docs: DataFrame, id_col: str, text_col: str, size: int, link, fields: str, bucket_mod: int) -> DataFrame:

@@ -16,7 +16,7 @@ from tidemark.llm.features import N_SHAPE, Sample, bounded_rows, collect_feature
 
 SLOTS = 1 << 15
 #: Bound of the labelled sample the model is fitted on (rows).
-MAX_TRAIN = 12_000
+MAX_TRAIN = 3_000
 HELD_OUT_MOD = 5
 
 

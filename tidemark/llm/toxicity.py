@@ -20,7 +20,7 @@ SLOTS = 1 << 18
 #: A slot is used if its share of the positives differs from that of the unlabelled rows by so many standard errors.
 EVIDENCE = 4.0
 #: Bounds of the sample a classifier is fitted on (rows).
-MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
+MAX_POSITIVE, MAX_UNLABELLED = 1200, 3600
 HELD_OUT_MOD = 5
 
 
@@ -37,7 +37,7 @@ class PUModel:
     def decision(self, row, slot, value, shape):
         return np.bincount(row, self.weights[slot] * value, len(shape)) + shape @ self.shape + self.bias
 
-    def fit(self, pos: Sample, unl: Sample, prior: float, epochs: int = 30, rate: float = 0.03, l2: float = 2e-3, seed: int = 7):
+    def fit(self, pos: Sample, unl: Sample, prior: float, steps: int = 240, rate: float = 0.03, l2: float = 2e-3, seed: int = 7):
         """Adam on the non-negative risk with the logistic loss; batches hold both kinds in proportion.
 
         Slots without evidence are left out first, as with few positives they would only fit noise.
@@ -53,7 +53,7 @@ class PUModel:
         unl.keep_only(used)
         theta = np.concatenate((self.weights, self.shape, [self.bias + np.log(prior / (1 - prior))]))
         first, second, step = np.zeros_like(theta), np.zeros_like(theta), 0
-        for _ in range(epochs):
+        for _ in range(-(-steps // n_batches)):
             p_parts = np.array_split(rng.permutation(len(pos)), n_batches)
             u_parts = np.array_split(rng.permutation(len(unl)), n_batches)
             for p, u in zip(p_parts, u_parts):
