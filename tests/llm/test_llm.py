@@ -196,7 +196,7 @@ def test_decontamination(spark, docs, texts):
         w, hit, found = low(t), set(), set()
         for s in range(len(w)):
             for n in (1, 10):
-                if x := windows.get(tuple(w[s : s + n])):
+                if s + n <= len(w) and (x := windows.get(tuple(w[s : s + n]))):
                     hit.update(range(s, s + n))
                     found |= x
         r = rows[3 * i]
