@@ -20,7 +20,7 @@ SLOTS = 1 << 18
 #: A slot is used if its share of the positives differs from that of the unlabelled rows by so many standard errors.
 EVIDENCE = 4.0
 #: Bounds of the sample a classifier is fitted on (rows).
-MAX_POSITIVE, MAX_UNLABELLED = 1200, 3600
+MAX_POSITIVE, MAX_UNLABELLED = 1000, 2500
 HELD_OUT_MOD = 5
 
 
