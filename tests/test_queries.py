@@ -1,6 +1,7 @@
 """Every core query against its SQL on DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidemark.plans import catalog
@@ -9,7 +10,7 @@ from tidemark.plans.dialect import TABLES
 
 def _plain(frame):
     def text(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "None"
         return f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
