@@ -1,6 +1,9 @@
 """Every core query against its SQL on DuckDB."""
 
+from numbers import Number
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -12,7 +15,7 @@ def _plain(frame):
     def text(v):
         if pd.isna(v):
             return "None"
-        return f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return f"{float(v):.6f}" if isinstance(v, Number) and not isinstance(v, (bool, np.bool_)) else str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted(tuple(text(v) for v in row) for row in frame.itertuples(index=False))
