@@ -64,7 +64,7 @@ def test_text_expressions(spark):
         F.size(tx.char_ngrams(F.lit("abc"))),
         F.length(tx.stable_id("E", F.col("us"))),
     ).first()
-    assert tuple(got) == ("BRK-B", "001234", "MINUTE", 1.0, "https://a.com/x?a=1&b=2", 1, 25)
+    assert tuple(got) == ("BRK-B", "001234", "EXACT_MINUTE", 1.0, "https://a.com/x?a=1&b=2", 1, 25)
 
 
 def test_islands_touching_intervals_merge(spark):

@@ -75,9 +75,9 @@ def time_precision(text: Column) -> Column:
     """The precision a time's literal shape shows."""
     return (
         F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), "DATE_ONLY")
-        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}$"), "HOUR")
-        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}([Z+-].*)?$"), "MINUTE")
-        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"), "SECOND")
+        .when(text.rlike(r"(^|[T ])\d{1,2}:\d{2}:\d{2}"), "EXACT_SECOND")
+        .when(text.rlike(r"(^|[T ])\d{1,2}:\d{2}"), "EXACT_MINUTE")
+        .when(text.rlike(r"[T ]\d{1,2}(Z|[+-]\d{2}:?\d{2})?$"), "HOUR_ONLY")
         .otherwise("UNKNOWN")
     )
 
