@@ -145,12 +145,35 @@ def test_simhash_grid_loses_no_link():
         for mask in simhash.grid_masks(d, groups):
             cell = (un & np.uint64(mask & (2**64 - 1))).view(np.int64)
             order = np.argsort(cell, kind="stable")
-            simhash._link_cells(cell[order], fp[order], d, forest)
+            simhash._link_cells(cell[order], fp[order, None], d, forest)
         for i in range(len(fp)):
             near = np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= d)
             assert len({forest.find(int(fp[j])) for j in near}) == 1
 
 
+def test_wide_sketch_finds_near_copies_and_leaves_others(spark):
+    rng = np.random.default_rng(11)
+    vocab = [f"w{i}" for i in range(4000)]
+    base = [list(rng.choice(vocab, int(n))) for n in rng.integers(60, 400, 60)]
+    rows = [(10 * i, " ".join(words)) for i, words in enumerate(base)]
+    want = {}
+    for i, words in enumerate(base):
+        copy = list(words)
+        for at in rng.choice(len(words), max(1, len(words) // 60), False):
+            copy[at] = "changed"
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, copy))
+        if len(a & b) / len(a | b) >= 0.82:
+            rows.append((10 * i + 1, " ".join(copy)))
+            want[10 * i + 1] = 10 * i
+    df = spark.createDataFrame(rows + [(9001, None), (9002, ""), (9003, " ")], "doc_id bigint, text string").withColumn("id", F.lit("clash"))
+    kept = {r["doc_id"] for r in simhash.representatives(df).collect()}
+    assert len(want) > 30
+    assert {10 * i for i in range(60)} <= kept
+    assert len(kept & set(want)) <= 0.1 * len(want)
+    assert kept & {9001, 9002, 9003} == {9001}
+    assert simhash.representatives(df.limit(0)).columns == df.columns
+
+
 def _repeats(texts, size=100):
     seen, out = set(), []
     for t in texts:

@@ -7,6 +7,13 @@ at most ``max_distance`` of them can differ, every pair within reach agrees on t
 ``groups - max_distance`` of them. Each such subset is one family of grid cells. Inside a cell pairs
 are tested first by the Manhattan bound, then exactly; only a spanning forest of the links leaves a
 cell, never all pairs.
+
+That grid needs a radius well below the number of segments: two texts whose word shingles have a Jaccard
+similarity of 0.8 differ in 15 % of their bits, far beyond it. ``wide_links`` therefore adds a sketch of 256
+bits (the fingerprint and three more words of the same shingle hashes) and a second family of cells: random
+signed sums of the bit margins, of which a cell takes the positions and signs of the largest. Texts that
+are near each other agree on some cell with high probability; inside it the pairs take the same two tests, the
+Manhattan bound on the popcounts and then the exact distance, over all 256 bits.
 """
 
 from __future__ import annotations
@@ -27,26 +34,64 @@ SEGMENT_BITS = 2
 LOW_BITS = 0x5555555555555555
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """Majority bits of the XXH64 values of the word shingles, as a signed 64-bit integer."""
+def _shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return np.array([], np.uint64)
     line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(line, HASH_SEED)], dtype=np.uint64)
-    else:
-        gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        starts = np.concatenate(([0], gaps[: len(words) - shingle] + 1)).tolist()
-        ends = np.concatenate((gaps[shingle - 1 :], [len(line)])).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(line[a:b], HASH_SEED) for a, b in zip(starts, ends)], dtype=np.uint64)
-    counts = np.zeros(64, np.int64)
+        return np.array([digest(line, HASH_SEED)], dtype=np.uint64)
+    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+    starts = np.concatenate(([0], gaps[: len(words) - shingle] + 1)).tolist()
+    ends = np.concatenate((gaps[shingle - 1 :], [len(line)])).tolist()
+    return np.array([digest(line[a:b], HASH_SEED) for a, b in zip(starts, ends)], dtype=np.uint64)
+
+
+def _margins(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Set minus unset hashes for each of 64 bits a word; word 0 is the hashes' own, the others are mixed from them."""
+    counts = np.zeros(64 * words, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((counts * 2 > len(hashes)).astype(np.uint8), bitorder="little")
-    return int(bits.view(np.int64)[0])
+        wide = np.stack([part] + [_mix(part, k) for k in range(1, words)], axis=1)
+        counts += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return 2 * counts - len(hashes)
+
+
+def _mix(h: np.ndarray, k: int) -> np.ndarray:
+    """Another 64 bits of each hash (the SplitMix64 finaliser, stream ``k``)."""
+    x = h + np.uint64((0x9E3779B97F4A7C15 * k) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _bits(margins: np.ndarray) -> np.ndarray:
+    return np.packbits((margins > 0).astype(np.uint8), axis=-1, bitorder="little").view(np.int64)
+
+
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """Majority bits of the XXH64 values of the word shingles, as a signed 64-bit integer."""
+    return int(_bits(_margins(_shingle_hashes(text, shingle), 1))[0])
+
+
+#: The wide sketch: words of 64 bits, families of cells, largest sums in a cell's key, sums that each is chosen from.
+WORDS, FAMILIES, PICKS, SUMS = 4, 32, 3, 64
+
+
+def _signs() -> np.ndarray:
+    """The fixed random signs of every sum; margins are whole numbers, so the sums are exact."""
+    rng = np.random.Generator(np.random.PCG64(HASH_SEED))
+    return rng.choice(np.array([-1, 1], np.float32), size=(64 * WORDS, FAMILIES * PICKS * SUMS))
+
+
+def _cell_keys(margins: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """(rows, FAMILIES) keys: position and sign of the largest of ``SUMS`` sums, ``PICKS`` times."""
+    sums = (margins.astype(np.float32) @ signs).reshape(len(margins), FAMILIES, PICKS, SUMS)
+    at = np.abs(sums).argmax(axis=3)
+    up = np.take_along_axis(sums, at[..., None], axis=3)[..., 0] > 0
+    return (at * 2 + up) @ ((2 * SUMS) ** np.arange(PICKS, dtype=np.int64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -63,6 +108,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"id {kind}, th bigint, fp bigint")
 
 
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, th, fp, more, keys): the fingerprint, the sketch's other words and the wide cells' keys of every row."""
+
+    def run(batches):
+        signs = _signs()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(2).to_pylist()
+                margins = np.stack([_margins(_shingle_hashes(t, shingle), WORDS) for t in texts])
+                bits, keys = _bits(margins), _cell_keys(margins, signs)
+                many = pa.array(bits[:, 1:].tolist(), pa.list_(pa.int64()))
+                cells = pa.array(keys.tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bits[:, 0]), many, cells], ["id", "th", "fp", "more", "keys"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    return source.mapInArrow(run, f"id {kind}, th bigint, fp bigint, more array<bigint>, keys array<bigint>")
+
+
 def text_key(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
@@ -111,10 +176,17 @@ def _unary_np(fp: np.ndarray) -> np.ndarray:
 
 
 def _near(fp: np.ndarray, un: np.ndarray, other: np.ndarray, other_un: np.ndarray, d: int) -> np.ndarray:
-    """Manhattan bound first, exact Hamming distance only where it holds."""
-    near = np.bitwise_count(un ^ other_un) <= d
-    hits = np.flatnonzero(near)
-    return hits[np.bitwise_count(fp[hits] ^ (other[hits] if other.ndim else other)) <= d]
+    """Rows of (rows, words) arrays within reach: Manhattan bound first, exact Hamming distance only where it holds."""
+    hits = np.flatnonzero(_popcount(un ^ other_un) <= d)
+    return hits[_popcount(fp[hits] ^ (other[hits] if other.ndim == 2 else other)) <= d]
+
+
+def _popcount(x: np.ndarray) -> np.ndarray:
+    """Set bits of each row; adding column by column is faster than a sum over a short axis."""
+    n = np.bitwise_count(x[:, 0]).astype(np.int16)
+    for k in range(1, x.shape[1]):
+        n += np.bitwise_count(x[:, k])
+    return n
 
 
 def _walk_cell(fp: np.ndarray, d: int, forest: _Forest) -> None:
@@ -127,8 +199,8 @@ def _walk_cell(fp: np.ndarray, d: int, forest: _Forest) -> None:
             a, a_un = queue.pop(), queue_un.pop()
             hits = _near(rest, rest_un, a, a_un, d)
             if len(hits):
-                for b in rest[hits].tolist():
-                    forest.link(int(a), b)
+                for b in rest[hits, 0].tolist():
+                    forest.link(int(a[0]), b)
                 queue.extend(rest[hits])
                 queue_un.extend(rest_un[hits])
                 keep = np.ones(len(rest), bool)
@@ -158,7 +230,7 @@ def _link_cells(cell: np.ndarray, fp: np.ndarray, d: int, forest: _Forest) -> No
             break
         hits = _near(fp[same], un[same], fp[same + off], un[same + off], d)
         for i in same[hits].tolist():
-            forest.link(int(fp[i]), int(fp[i + off]))
+            forest.link(int(fp[i, 0]), int(fp[i + off, 0]))
 
 
 def links(distinct: DataFrame, max_distance: int = 4, groups: int = 6) -> DataFrame:
@@ -170,19 +242,33 @@ def links(distinct: DataFrame, max_distance: int = 4, groups: int = 6) -> DataFr
         .select(F.xxhash64("family", "counts").alias("cell"), "fp")
     )
 
+    return _link_within(cells, 1, max_distance)
+
+
+def wide_links(distinct: DataFrame, max_distance: int = 44) -> DataFrame:
+    """(fp, more, keys) distinct fingerprints to (u, v) links of at most ``max_distance`` of the sketch's 256 bits."""
+    more = [F.col("more")[i].alias(f"w{i}") for i in range(WORDS - 1)]
+    cells = distinct.select("fp", *more, F.posexplode("keys").alias("family", "key"))
+    return _link_within(cells.select(F.xxhash64("family", "key").alias("cell"), "fp", *[f"w{i}" for i in range(WORDS - 1)]), WORDS, max_distance)
+
+
+def _link_within(cells: DataFrame, words: int, d: int) -> DataFrame:
+    """(cell, fp, ...) to the spanning links of every cell's pairs within ``d`` bits."""
+
     def run(batches):
         forest = _Forest()
-        cell, fp = np.array([], np.int64), np.array([], np.uint64)
+        cell, fp = np.array([], np.int64), np.empty((0, words), np.uint64)
         for batch in batches:
             cell = np.concatenate((cell, batch.column(0).to_numpy()))
-            fp = np.concatenate((fp, batch.column(1).to_numpy().view(np.uint64)))
+            new = np.stack([batch.column(1 + k).to_numpy().view(np.uint64) for k in range(words)], axis=1)
+            fp = np.concatenate((fp, new))
             ends = np.flatnonzero(cell[1:] != cell[:-1])
             last = int(ends[-1]) + 1 if len(ends) else 0
             if last:
-                _link_cells(cell[:last], fp[:last], max_distance, forest)
+                _link_cells(cell[:last], fp[:last], d, forest)
                 cell, fp = cell[last:], fp[last:]
         if len(cell):
-            _link_cells(cell, fp, max_distance, forest)
+            _link_cells(cell, fp, d, forest)
         nodes = list(forest.up)
         for at in range(0, len(nodes), 100_000):
             part = nodes[at : at + 100_000]
@@ -190,7 +276,7 @@ def links(distinct: DataFrame, max_distance: int = 4, groups: int = 6) -> DataFr
             v = np.array([forest.find(x) for x in part], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    placed = cells.repartition(shuffle_partitions(distinct.sparkSession), "cell").sortWithinPartitions("cell")
+    placed = cells.repartition(shuffle_partitions(cells.sparkSession), "cell").sortWithinPartitions("cell")
     return placed.mapInArrow(run, "u bigint, v bigint")
 
 
@@ -206,11 +292,15 @@ def near_duplicate_classes(
     return _classes(docs, id_col, text_col, shingle, max_distance, groups).select("id", "fp", "component_id")
 
 
-def _classes(docs, id_col, text_col, shingle, max_distance, groups) -> DataFrame:
+def _classes(docs, id_col, text_col, shingle, max_distance, groups, wide_distance=None) -> DataFrame:
     """(id, th, fp, component_id, first_th): the least id of a row's class and the text hash that goes with it."""
-    marked = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    read = fingerprints if wide_distance is None else sketches
+    marked = materialise(read(docs, id_col, text_col, shingle), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
-    roots = connected_components(links(distinct.select("fp"), max_distance, groups))
+    found = links(distinct.select("fp"), max_distance, groups)
+    if wide_distance is not None:
+        found = found.union(wide_links(_one_sketch(marked), wide_distance))
+    roots = connected_components(found)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
@@ -219,11 +309,21 @@ def _classes(docs, id_col, text_col, shingle, max_distance, groups) -> DataFrame
     return marked.join(classes, "fp").select("id", "th", "fp", "component_id", "first_th")
 
 
+def _one_sketch(marked: DataFrame) -> DataFrame:
+    """The sketch of each fingerprint, from any one of its rows; a group of copies shrinks before the shuffle."""
+    one = marked.groupBy("fp").agg(F.min(F.struct("more", "keys")).alias("s"))
+    return one.select("fp", "s.more", "s.keys")
+
+
 def representatives(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 6, groups: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 4, groups: int = 6, wide_distance: int = 44
 ) -> DataFrame:
-    """The rows of ``docs`` of which each stands for its class: the one of least id. Repeated rows stay once."""
-    classes = _classes(docs, id_col, text_col, shingle, max_distance, groups)
+    """The rows of ``docs`` of which each stands for its class: the one of least id. Repeated rows stay once.
+
+    Texts are linked at ``max_distance`` of the fingerprint's 64 bits or ``wide_distance`` of the sketch's 256; the
+    latter is a Jaccard similarity of about 0.8 of the word shingles (38 bits are expected there, 44 leave room for chance).
+    """
+    classes = _classes(docs, id_col, text_col, shingle, max_distance, groups, wide_distance)
     firsts = materialise(classes.where("id <=> component_id AND th = first_th").groupBy("id", "th").agg(F.count("*").alias("n")), "firsts")
     same = F.expr(f"d.`{id_col}` <=> k.id AND d._th = k.th")
     kept = docs.withColumn("_th", text_key(text_col)).alias("d").join(firsts.hint("shuffle_hash").alias("k"), same, "left_semi")
