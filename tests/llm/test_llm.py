@@ -165,7 +165,7 @@ def test_wide_sketch_finds_near_copies_and_leaves_others(spark):
         if len(a & b) / len(a | b) >= 0.82:
             rows.append((10 * i + 1, " ".join(copy)))
             want[10 * i + 1] = 10 * i
-    df = spark.createDataFrame(rows + [(9001, None), (9002, ""), (9003, " ")], "doc_id bigint, text string").withColumn("id", F.lit("clash"))
+    df = spark.createDataFrame(rows + [(9001, None), (9002, ""), (9003, " ")], "doc_id bigint, text string").selectExpr("*", "'clash' AS id")
     kept = {r["doc_id"] for r in simhash.representatives(df).collect()}
     assert len(want) > 30
     assert {10 * i for i in range(60)} <= kept
