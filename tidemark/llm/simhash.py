@@ -292,6 +292,10 @@ def near_duplicate_classes(
     return _classes(docs, id_col, text_col, shingle, max_distance, groups).select("id", "fp", "component_id")
 
 
+#: Tasks that the members of one class are dealt to when they learn its least id.
+CLASS_SALTS = 16
+
+
 def _classes(docs, id_col, text_col, shingle, max_distance, groups, wide_distance=None) -> DataFrame:
     """(id, th, fp, component_id, first_th): the least id of a row's class and the text hash that goes with it."""
     read = fingerprints if wide_distance is None else sketches
@@ -301,11 +305,12 @@ def _classes(docs, id_col, text_col, shingle, max_distance, groups, wide_distanc
     if wide_distance is not None:
         found = found.union(wide_links(_one_sketch(marked), wide_distance))
     roots = connected_components(found)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    classes = rooted.join(least, "root").select("fp", F.col("least.id").alias("component_id"), F.col("least.th").alias("first_th"))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1")
+    spread = least.select("root", "least", F.explode(F.expr(f"sequence(0L, {CLASS_SALTS - 1}L)")).alias("salt"))
+    salted = rooted.select("fp", "first", "root", F.pmod(F.xxhash64("fp"), F.lit(CLASS_SALTS).cast("bigint")).alias("salt"))
+    best = F.coalesce("least", "first")
+    classes = salted.join(spread, ["root", "salt"], "left").select("fp", best["id"].alias("component_id"), best["th"].alias("first_th"))
     return marked.join(classes, "fp").select("id", "th", "fp", "component_id", "first_th")
 
 
