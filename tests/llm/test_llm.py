@@ -174,6 +174,44 @@ def test_wide_sketch_finds_near_copies_and_leaves_others(spark):
     assert simhash.representatives(df.limit(0)).columns == df.columns
 
 
+def _sets_of(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
+
+
+def test_representatives_are_exact_at_jaccard_four_fifths(spark):
+    """Pairs just above and below 0.8, chains and different texts of equal 64-bit fingerprint, against brute force."""
+    rng = np.random.default_rng(3)
+    vocab = [f"w{i}" for i in range(3000)]
+    passage = list(rng.choice(vocab, 60))
+    texts = []
+    for n in rng.integers(8, 400, 60):
+        words = list(rng.choice(vocab, int(n)))
+        if n % 3 == 0:
+            words += passage
+        texts.append(words)
+        for k in range(4):
+            copy = list(texts[-1] if k == 3 else words)
+            for at in rng.choice(len(copy), max(1, round(len(copy) * (0.012, 0.022, 0.026, 0.02)[k])), False):
+                copy[at] = f"x{rng.integers(10**9)}"
+            texts.append(copy)
+    big = list(rng.choice(vocab, 3000))
+    texts += [big, *([*big[:at], "edited", *big[at + 1 :]] for at in (40, 900, 2000))]
+    texts = [" ".join(t) for t in texts]
+    sets = [_sets_of(t) for t in texts]
+    root, near = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                near += 1
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert near > 60 and len(set(root)) > 100
+    assert {r["doc_id"] for r in simhash.representatives(df).collect()} == set(root)
+
+
 def _repeats(texts, size=100):
     seen, out = set(), []
     for t in texts:

@@ -8,12 +8,9 @@ at most ``max_distance`` of them can differ, every pair within reach agrees on t
 are tested first by the Manhattan bound, then exactly; only a spanning forest of the links leaves a
 cell, never all pairs.
 
-That grid needs a radius well below the number of segments: two texts whose word shingles have a Jaccard
-similarity of 0.8 differ in 15 % of their bits, far beyond it. ``wide_links`` therefore adds a sketch of 256
-bits (the fingerprint and three more words of the same shingle hashes) and a second family of cells: random
-signed sums of the bit margins, of which a cell takes the positions and signs of the largest. Texts that
-are near each other agree on some cell with high probability; inside it the pairs take the same two tests, the
-Manhattan bound on the popcounts and then the exact distance, over all 256 bits.
+The grid needs a radius well below the number of segments: two texts whose word shingles have a Jaccard similarity
+of 0.8 differ in 15 % of their bits, far beyond it. ``representatives`` therefore links by the shingle sets themselves
+(``jaccard``).
 """
 
 from __future__ import annotations
@@ -26,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import jaccard
 from tidemark.llm.common import materialise, shuffle_partitions
 from tidemark.llm.graph import connected_components
 
@@ -76,24 +74,6 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     return int(_bits(_margins(_shingle_hashes(text, shingle), 1))[0])
 
 
-#: The wide sketch: words of 64 bits, families of cells, largest sums in a cell's key, sums that each is chosen from.
-WORDS, FAMILIES, PICKS, SUMS = 4, 32, 3, 64
-
-
-def _signs() -> np.ndarray:
-    """The fixed random signs of every sum; margins are whole numbers, so the sums are exact."""
-    rng = np.random.Generator(np.random.PCG64(HASH_SEED))
-    return rng.choice(np.array([-1, 1], np.float32), size=(64 * WORDS, FAMILIES * PICKS * SUMS))
-
-
-def _cell_keys(margins: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """(rows, FAMILIES) keys: position and sign of the largest of ``SUMS`` sums, ``PICKS`` times."""
-    sums = (margins.astype(np.float32) @ signs).reshape(len(margins), FAMILIES, PICKS, SUMS)
-    at = np.abs(sums).argmax(axis=3)
-    up = np.take_along_axis(sums, at[..., None], axis=3)[..., 0] > 0
-    return (at * 2 + up) @ ((2 * SUMS) ** np.arange(PICKS, dtype=np.int64))
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, th, fp): one row per input row, th being a hash of the text. Null and wordless texts get fingerprint zero."""
 
@@ -108,26 +88,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, f"id {kind}, th bigint, fp bigint")
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, th, fp, more, keys): the fingerprint, the sketch's other words and the wide cells' keys of every row."""
-
-    def run(batches):
-        signs = _signs()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(2).to_pylist()
-                margins = np.stack([_margins(_shingle_hashes(t, shingle), WORDS) for t in texts])
-                bits, keys = _bits(margins), _cell_keys(margins, signs)
-                many = pa.array(bits[:, 1:].tolist(), pa.list_(pa.int64()))
-                cells = pa.array(keys.tolist(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(bits[:, 0]), many, cells], ["id", "th", "fp", "more", "keys"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
-    return source.mapInArrow(run, f"id {kind}, th bigint, fp bigint, more array<bigint>, keys array<bigint>")
-
-
 def text_key(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
@@ -245,13 +205,6 @@ def links(distinct: DataFrame, max_distance: int = 4, groups: int = 6) -> DataFr
     return _link_within(cells, 1, max_distance)
 
 
-def wide_links(distinct: DataFrame, max_distance: int = 44) -> DataFrame:
-    """(fp, more, keys) distinct fingerprints to (u, v) links of at most ``max_distance`` of the sketch's 256 bits."""
-    more = [F.col("more")[i].alias(f"w{i}") for i in range(WORDS - 1)]
-    cells = distinct.select("fp", *more, F.posexplode("keys").alias("family", "key"))
-    return _link_within(cells.select(F.xxhash64("family", "key").alias("cell"), "fp", *[f"w{i}" for i in range(WORDS - 1)]), WORDS, max_distance)
-
-
 def _link_within(cells: DataFrame, words: int, d: int) -> DataFrame:
     """(cell, fp, ...) to the spanning links of every cell's pairs within ``d`` bits."""
 
@@ -296,14 +249,14 @@ def near_duplicate_classes(
 CLASS_SALTS = 16
 
 
-def _classes(docs, id_col, text_col, shingle, max_distance, groups, wide_distance=None) -> DataFrame:
+def _classes(docs, id_col, text_col, shingle, max_distance, groups) -> DataFrame:
+    marked = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    return _labelled(marked, links(marked.select("fp").distinct(), max_distance, groups))
+
+
+def _labelled(marked: DataFrame, found: DataFrame) -> DataFrame:
     """(id, th, fp, component_id, first_th): the least id of a row's class and the text hash that goes with it."""
-    read = fingerprints if wide_distance is None else sketches
-    marked = materialise(read(docs, id_col, text_col, shingle), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
-    found = links(distinct.select("fp"), max_distance, groups)
-    if wide_distance is not None:
-        found = found.union(wide_links(_one_sketch(marked), wide_distance))
     roots = connected_components(found)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1")
@@ -314,21 +267,14 @@ def _classes(docs, id_col, text_col, shingle, max_distance, groups, wide_distanc
     return marked.join(classes, "fp").select("id", "th", "fp", "component_id", "first_th")
 
 
-def _one_sketch(marked: DataFrame) -> DataFrame:
-    """The sketch of each fingerprint, from any one of its rows; a group of copies shrinks before the shuffle."""
-    one = marked.groupBy("fp").agg(F.min(F.struct("more", "keys")).alias("s"))
-    return one.select("fp", "s.more", "s.keys")
-
-
-def representatives(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_distance: int = 4, groups: int = 6, wide_distance: int = 44
-) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` of which each stands for its class: the one of least id. Repeated rows stay once.
 
-    Texts are linked at ``max_distance`` of the fingerprint's 64 bits or ``wide_distance`` of the sketch's 256; the
-    latter is a Jaccard similarity of about 0.8 of the word shingles (38 bits are expected there, 44 leave room for chance).
+    Texts are linked where the sets of their word shingles have a Jaccard similarity of at least 0.8, every such
+    pair and no other; a class is what these links reach.
     """
-    classes = _classes(docs, id_col, text_col, shingle, max_distance, groups, wide_distance)
+    marked = materialise(jaccard.marks(docs, id_col, text_col, shingle), "sets_of_rows")
+    classes = _labelled(marked, jaccard.links(docs, marked, text_col, shingle))
     firsts = materialise(classes.where("id <=> component_id AND th = first_th").groupBy("id", "th").agg(F.count("*").alias("n")), "firsts")
     same = F.expr(f"d.`{id_col}` <=> k.id AND d._th = k.th")
     kept = docs.withColumn("_th", text_key(text_col)).alias("d").join(firsts.hint("shuffle_hash").alias("k"), same, "left_semi")
