@@ -34,3 +34,9 @@ def test_matches_sql(spark, sf_dir, duck, name):
     ours, theirs = catalog.QUERIES[name](spark, sf_dir).toPandas(), duck.execute(catalog.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert _plain(ours) == _plain(theirs)
+
+
+def test_status_ladder_has_the_surveys_five_statuses(spark):
+    """SURVEY 7.4's own counts at sf0.01 and 300 s."""
+    got = catalog.QUERIES["asof_status_ladder"](spark, "/root/testdata/sf0.01").groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in got} == {"OK": 714, "ENTRY_TIMING_MISS": 786, "EXIT_TIMING_MISS": 497, "CROSSES_SESSION": 16, "BAR_MISSING": 1}

@@ -48,6 +48,42 @@ SELECT event_id, CASE WHEN bt IS NULL THEN 'ENTRY_TIMING_MISS' WHEN xt IS NULL O
 (bt - target) / 1e6 AS entry_slip_s, round(CASE WHEN v > 0 AND bt IS NOT NULL AND xt - xtarget <= 300000000 THEN xv / v - 1 END, 8) AS fwd_ret FROM x"""
 
 
+def asof_status_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``asof_entry_exit_status``, with all five statuses: no bar at all and an entry or exit on another day than the event too."""
+    news, bars = _events(spark, sf_dir)
+    lookup = dict(right_time="t", value="value", tolerance=300 * 1_000_000, bucket=1440 * MINUTE)
+    placed = asof.asof_join(news.withColumn("entry_target", F.col("t") + 2 * MINUTE), bars, "entry_target", prefix="entry", **lookup)
+    placed = placed.withColumn("exit_target", F.col("entry_time") + 30 * MINUTE)
+    found = asof.asof_join(placed.where("entry_time IS NOT NULL"), bars, "exit_target", prefix="exit", **lookup)
+    rows = found.unionByName(placed.where("entry_time IS NULL"), allowMissingColumns=True)
+    # What the tolerance hides: a bar at or after the target exists where the series ends no earlier.
+    rows = rows.crossJoin(F.broadcast(bars.agg(F.max("t").alias("last_bar"))))
+    missing = lambda target: F.col("last_bar").isNull() | (F.col(target) > F.col("last_bar"))
+    day = lambda c: F.floor(F.col(c) / (1440 * MINUTE))
+    status = (
+        F.when(missing("entry_target"), "BAR_MISSING")
+        .when(F.col("entry_time").isNull(), "ENTRY_TIMING_MISS")
+        .when(missing("exit_target"), "BAR_MISSING")
+        .when(F.col("exit_time").isNull(), "EXIT_TIMING_MISS")
+        .when((day("entry_time") != day("t")) | (day("exit_time") != day("t")), "CROSSES_SESSION")
+        .otherwise("OK")
+    )
+    price = F.when(F.col("status").isin("OK", "CROSSES_SESSION") & (F.col("entry_value") > 0), F.col("exit_value") / F.col("entry_value") - 1)
+    rows = rows.withColumn("status", status)
+    return rows.select("event_id", "status", ((F.col("entry_time") - F.col("entry_target")) / 1e6).alias("entry_slip_s"), F.round(price, 8).alias("fwd_ret"))
+
+
+STATUS_LADDER_SQL = f"""
+WITH e AS (SELECT event_id, epoch_us(ts) AS t FROM events WHERE event_type = 'error'),
+b AS (SELECT epoch_us(ts) AS bt, max(value) AS v FROM events WHERE event_type <> 'error' GROUP BY 1),
+n AS (SELECT e.event_id, e.t, e.x AS target, b.bt, b.v FROM (SELECT *, t + {2 * MINUTE} AS x FROM e) e ASOF LEFT JOIN b ON e.x <= b.bt),
+x AS (SELECT n3.*, b.bt AS xt, b.v AS xv FROM (SELECT *, bt + {30 * MINUTE} AS xtarget FROM n) n3 ASOF LEFT JOIN b ON n3.xtarget <= b.bt),
+s AS (SELECT *, CASE WHEN bt IS NULL THEN 'BAR_MISSING' WHEN bt - target > 300000000 THEN 'ENTRY_TIMING_MISS' WHEN xt IS NULL THEN 'BAR_MISSING' WHEN xt - xtarget > 300000000 THEN 'EXIT_TIMING_MISS'
+WHEN bt // {1440 * MINUTE} <> t // {1440 * MINUTE} OR xt // {1440 * MINUTE} <> t // {1440 * MINUTE} THEN 'CROSSES_SESSION' ELSE 'OK' END AS status FROM x)
+SELECT event_id, status, CASE WHEN bt - target <= 300000000 THEN (bt - target) / 1e6 END AS entry_slip_s,
+round(CASE WHEN status IN ('OK', 'CROSSES_SESSION') AND v > 0 THEN xv / v - 1 END, 8) AS fwd_ret FROM s"""
+
+
 def asof_backward_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returns from 5, 15, 30 and 60 minutes before an event to its last bar, each lookup at most 600 s stale."""
     news, bars = _events(spark, sf_dir)
@@ -233,6 +269,7 @@ SELECT m.label, m.i, round(m / norm, 6) AS x FROM m JOIN n ON m.label = n.label"
 
 _PAIRS = {
     "asof_entry_exit_status": (asof_entry_exit_status, ENTRY_EXIT_SQL),
+    "asof_status_ladder": (asof_status_ladder, STATUS_LADDER_SQL),
     "asof_backward_returns": (asof_backward_returns, BACKWARD_SQL),
     "greedy_spacing_35m": (greedy_spacing_35m, _spacing_sql(f"> {35 * MINUTE}")),
     "greedy_spacing_10h": (greedy_spacing_10h, _spacing_sql(f">= {600 * MINUTE}")),
