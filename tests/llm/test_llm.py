@@ -300,6 +300,18 @@ def test_word_tokens_equal_whole_encoding():
         assert ids == np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_capital_sigma_in_tokens_and_anchors(spark):
+    from tokenizers import Tokenizer
+
+    greek = ["ΟΔΟΣ", "ΟΔΟΣ και ΣΑΣ, ΟΔΟΣ.ΑΒΓ x'Σ"]
+    for text, ids in zip(greek, packing.WordTokens(PATH).encode(pa.array(greek))):
+        assert ids == np.array(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    passage = "ΟΔΟΣ.ΑΒΓ one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(1, f"start {passage.replace('.', ' ')} end"), (2, f"start {passage} end")], "doc_id int, text string")
+    items = spark.createDataFrame([("a", passage)], "item_id string, text string")
+    assert {r["doc_id"]: r["contaminated"] for r in decontaminate.contamination(docs, items).collect()} == {1: True, 2: True}
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 

@@ -51,8 +51,8 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, window: int) -> Dat
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(key columns, pos, term) of every word, Unicode lower-cased: a coarser form than the words compared in the end."""
-    parts = F.split(F.lower(F.coalesce("text", F.lit(""))), _GAPS)
+    """(key columns, pos, term) of every word, A-Z lower-cased like the words compared in the end."""
+    parts = F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), _GAPS)
     cut = docs.select("doc_id", text_key(F.col("text")).alias("th"), parts.alias("parts"))
     cut = cut.select("doc_id", "th", (F.col("parts")[0] == "").cast("int").alias("lead"), F.posexplode("parts").alias("at", "term"))
     return cut.where("term <> ''").select("doc_id", "th", (F.col("at") - F.col("lead")).alias("pos"), "term")
@@ -65,7 +65,7 @@ class PositionalIndex:
         """``docs``: doc_id and text."""
         self.docs = docs
         self.windows = materialise(windows_of(items, item_id, item_text, window), "windows")
-        terms = self.windows.select("wid", F.posexplode("words").alias("off", "word")).select("wid", "off", F.lower("word").alias("term"))
+        terms = self.windows.select("wid", F.posexplode("words").alias("off", "term"))
         vocabulary = _checked(terms.select("term").distinct())
         counted = tokens(docs).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
         ranked = terms.join(_checked(materialise(counted, "terms")), "term", "left").fillna({"n": 0})

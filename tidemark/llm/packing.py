@@ -37,7 +37,8 @@ class WordTokens:
 
     The tokenizer drops white space before it forms words and nothing in it looks across white space, so
     the ids of a text are those of its chunks in order. New chunks are encoded many at a time and told
-    apart by the offsets of their tokens; chunks that normalisation might change in length go alone.
+    apart by the offsets of their tokens; chunks that normalisation might change in length go alone, and so do
+    those with a capital sigma, whose lower case depends on its place in Python but not in the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -49,7 +50,7 @@ class WordTokens:
     def _learn(self, new: list[str]) -> None:
         known, cores, together = self.known, {}, []
         for chunk in new:
-            if len(chunk) <= 64 and "<|" not in chunk and (chunk.isascii() or is_normalized("NFC", chunk) and len(chunk.lower()) == len(chunk)):
+            if len(chunk) <= 64 and "<|" not in chunk and "Σ" not in chunk and (chunk.isascii() or is_normalized("NFC", chunk) and len(chunk.lower()) == len(chunk)):
                 # Letters and what follows them are different words to the tokenizer.
                 core, rest = _CORE.match(chunk).groups() if "'" not in chunk else (chunk, "")
                 cores[chunk] = core, rest = core.lower(), rest.lower()
