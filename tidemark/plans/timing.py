@@ -257,6 +257,29 @@ CONTAINMENT_SQL = f"""WITH d AS (SELECT doc_id, unnest({_TOKENS_SQL}) AS tok FRO
 SELECT doc_id, item_id, count(*) AS shared, round(count(*) / max(m), 8) AS containment FROM d JOIN i USING (tok) GROUP BY doc_id, item_id HAVING count(*) >= 20"""
 
 
+def _char5(text):
+    """Distinct character 5-grams of the normalised text without spaces; a shorter text is its own gram, an empty one has none."""
+    plain = F.array(F.replace(tx.normalise(text), F.lit(" "), F.lit("")))
+    cut = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 4, F.lit(1))), lambda i: F.substr(t, i, F.lit(5)))
+    return F.filter(F.array_distinct(F.transform(plain, cut)[0]), lambda g: g != "")
+
+
+def doc_char5_containment_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of an item's distinct character 5-grams that a document has, where it is half or more; short items too."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.explode(_char5(F.col("text"))).alias("gram"))
+    items = load(spark, sf_dir, "benchmark").select("item_id", _char5(F.col("text")).alias("grams"))
+    spread = items.select("item_id", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
+    hits = docs.join(spread, "gram").groupBy("doc_id", "item_id", "m").agg(F.count("*").alias("shared")).where("shared * 2 >= m")
+    return hits.select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("m"), 8).alias("containment"))
+
+
+_CHAR5_SQL = """list_distinct(list_filter([substr(t, i, 5) FOR i IN generate_series(1, greatest(length(t) - 4, 1))], lambda g: g <> ''))"""
+_PLAIN_SQL = "replace(trim(regexp_replace(lower(text), '[^a-z0-9가-힣]+', ' ', 'g')), ' ', '')"
+CHAR5_SQL = f"""WITH d AS (SELECT doc_id, unnest({_CHAR5_SQL}) AS gram FROM (SELECT doc_id, {_PLAIN_SQL} AS t FROM documents) x),
+i AS (SELECT item_id, len(grams) AS m, unnest(grams) AS gram FROM (SELECT item_id, {_CHAR5_SQL} AS grams FROM (SELECT item_id, {_PLAIN_SQL} AS t FROM benchmark) x) y)
+SELECT doc_id, item_id, count(*) AS shared, round(count(*) / max(m), 8) AS containment FROM d JOIN i USING (gram) GROUP BY doc_id, item_id HAVING count(*) * 2 >= max(m)"""
+
+
 def mean_vector_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The renormalised mean embedding of each label, one row per component."""
     parts = load(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
@@ -285,6 +308,7 @@ _PAIRS = {
     "html_to_text": (html_to_text, HTML_SQL),
     "title_and_meta": (title_and_meta, TITLE_SQL),
     "benchmark_containment": (benchmark_containment, CONTAINMENT_SQL),
+    "doc_char5_containment_benchmark": (doc_char5_containment_benchmark, CHAR5_SQL),
     "mean_vector_by_label": (mean_vector_by_label, MEAN_SQL),
 }
 QUERIES = {k: v[0] for k, v in _PAIRS.items()}
