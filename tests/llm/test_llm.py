@@ -212,6 +212,19 @@ def test_representatives_are_exact_at_jaccard_four_fifths(spark):
     assert {r["doc_id"] for r in simhash.representatives(df).collect()} == set(root)
 
 
+def test_texts_of_one_fingerprint_keep_their_own_sets(spark):
+    from tidemark.llm import jaccard
+
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words)] + [" ".join([*words[:at], "edited", *words[at + 1 :]]) for at in range(0, 3000, 100)]
+    by_fp = {}
+    for t in texts:
+        by_fp.setdefault(simhash.fingerprint(t.encode(), 5), []).append(t)
+    same = max(by_fp.values(), key=len)
+    df = spark.createDataFrame(list(enumerate(same)), "doc_id bigint, text string")
+    assert len(same) > 1 and jaccard.marks(df, "doc_id", "text", 5).select("fp").distinct().count() == len(same)
+
+
 def _repeats(texts, size=100):
     seen, out = set(), []
     for t in texts:
