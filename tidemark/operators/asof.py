@@ -27,9 +27,12 @@ def asof_join(
 
     ``direction``: ``forward`` finds the first right time >= the left one, ``backward`` the last <= it.
     Further away than ``tolerance`` is null. Ties of right times take the greatest value. ``bucket`` (at
-    least the tolerance) cuts time into parts that are filled apart; rows near a border go to both.
+    least the tolerance) cuts time into parts that are filled apart; rows near a border go to both. Without
+    keys a bucket is required, as all rows would meet in one task.
     """
     keys = list(keys)
+    if not keys and bucket is None:
+        raise ValueError("an as-of join without keys needs a bucket")
     ahead = direction == "forward"
     series = right.where(F.col(right_time).isNotNull()).groupBy(*keys, F.col(right_time).alias("_t")).agg(F.max(value).alias("_v"))
     if bucket is not None:
@@ -43,10 +46,11 @@ def asof_join(
     row = left.select(*[F.col(k) for k in keys], F.col(left_time).alias("_t"), F.lit(None).cast(series.schema["_v"].dataType).alias("_v"), F.struct(*left.columns).alias("_row"))
     both = row.unionByName(series, allowMissingColumns=True)
     own = F.when(F.col("_row").isNull(), F.struct("_t", "_v"))
-    # At equal times the series comes where it can be seen: after the left rows when looking ahead, before them otherwise.
-    kind = F.col("_row").isNull().cast("int")
-    order = Window.partitionBy(*keys).orderBy("_t", kind if ahead else -kind)
-    found = F.first(own, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)) if ahead else F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # Looking ahead is looking back along descending time; at equal times the series comes first, where it can be seen.
+    # A frame that only grows is filled in one pass, one that begins at the current row would be read anew for every row.
+    time = F.desc("_t") if ahead else F.asc("_t")
+    order = Window.partitionBy(*keys).orderBy(time, F.col("_row").isNotNull())
+    found = F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     joined = both.withColumn("_hit", found).where(F.col("_row").isNotNull())
     far = F.abs(F.col("_hit._t") - F.col("_t"))
     near = F.lit(True) if tolerance is None else far <= tolerance
