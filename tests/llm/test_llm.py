@@ -240,7 +240,8 @@ def _repeats(texts, size=100):
 
 @pytest.mark.parametrize("hot", [2000, 1])
 def test_repeats(docs, texts, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "REFINE_FROM", hot)
+    monkeypatch.setattr(repeats, "STEP_BYTES", 5000)
     rows = {r["id"]: r for r in repeats.removal_digest(repeats.remove_repeats(docs)).collect()}
     for i, want in enumerate(_repeats(texts)):
         r = rows[3 * i]

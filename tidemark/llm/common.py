@@ -6,20 +6,68 @@ the cluster shares (``spark.checkpoint.dir``), so a lost executor costs a re-rea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidemark.storage import materialise, shared_dir  # noqa: F401
 
+#: What a table may hold at most to be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """A column by its plain name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def holdout_bucket(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; a null id falls in bucket 0."""
-    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus, F.lit(0))
+    return F.coalesce(F.crc32(col(column).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def is_integral(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, IntegralType)
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """``df``, broadcast where its rows and bytes are few enough; a larger table is left to be shuffled."""
+    size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES else df
+
+
+def frugal(run):
+    """``run`` over Arrow batches; what a worker has freed goes back to the machine when a task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
+def release_memory() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass

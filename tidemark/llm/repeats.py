@@ -9,9 +9,10 @@ and left-character arrays over the spans it holds and scans the LCP intervals wi
 whose suffixes are preceded by different bytes (or begin a span) is a maximal repeat and is put out with
 all its occurrences.
 
-Hot anchors: whole copies of a text are settled first by their hash; inside a task equal spans are
-settled at once, only the earliest travelling on; an anchor that still gathers more than ``HOT`` spans
-is settled by the hashes of its single windows, which are dealt out evenly.
+An anchor that very many spans share is refined: its windows get the longest anchor there is, the window
+itself, are counted like the other anchors, and those that occur twice or more go through the same arrays.
+Before the shuffle equal spans of a batch are put out as repeats of the earliest, which alone travels on.
+Parts of a passage that is longer than a span are joined again by ``passages``.
 """
 
 from __future__ import annotations
@@ -20,19 +21,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import materialise, shuffle_partitions
+from tidemark.llm.common import col, frugal, is_integral, materialise, shuffle_partitions
 
 #: Bytes of an anchor.
 K = 24
-#: Spans of one anchor up to which they meet in one task.
-HOT = 2000
-#: Hot anchors up to which their table is broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Spans from which on an anchor's windows get anchors of their own.
+REFINE_FROM = 2000
 #: Bytes of spans a task sorts at a time (whole anchors, so a little more).
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Bytes of text, spans and anchor rows that are looked at in one step.
+STEP_BYTES, STEP_SPANS, STEP_ROWS = 1 << 18, 10_000, 1_000_000
 _ODD = 0x9E3779B97F4A7C15
 _SHIFT = 7  # a span is coded as first window << _SHIFT | number of windows
 
@@ -64,7 +67,7 @@ def _rolling(buf: np.ndarray, k: int) -> np.ndarray:
 
 
 def spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_bytes: int):
-    """Of several texts in one buffer: (text, anchor hash, first window within the text, number of windows)."""
+    """Of several adjacent texts in one buffer: (text, anchor hash, first window within the text, number of windows)."""
     n = len(buf)
     none = np.zeros(0, np.int64)
     if n < min_bytes:
@@ -177,13 +180,13 @@ def maximal_repeats(sa: np.ndarray, lcp: np.ndarray, left: np.ndarray, min_bytes
     return out
 
 
-def _scan(data: list[bytes], doc: np.ndarray, first: np.ndarray, min_bytes: int):
-    """Maximal repeats of distinct spans, as (repeat number, length, doc, position) columns."""
+
+def _scan(body: np.ndarray, size: np.ndarray, doc: np.ndarray, first: np.ndarray, min_bytes: int):
+    """Maximal repeats among adjacent spans, as (repeat number, length, doc, position) columns."""
     pad = 256
-    buf = np.frombuffer(b"".join(data) + bytes(pad), np.uint8)
-    size = np.fromiter(map(len, data), np.int64, len(data))
+    buf = np.concatenate((body, np.zeros(pad, np.uint8)))
     start = np.cumsum(size) - size
-    span = np.repeat(np.arange(len(data)), size)
+    span = np.repeat(np.arange(len(size)), size)
     within = np.arange(len(span)) - start[span]
     left_over = np.concatenate((size[span] - within, np.zeros(pad, np.int64)))
     suffixes = np.flatnonzero(left_over[: len(span)] >= min_bytes)
@@ -201,65 +204,137 @@ def _scan(data: list[bytes], doc: np.ndarray, first: np.ndarray, min_bytes: int)
     return number, length[number], doc[span[member]], first[span[member]] + within[member]
 
 
-_REPEAT = "repeat_id bigint, length bigint, doc bigint, pos bigint, earliest boolean"
+_REPEAT = "repeat_id bigint, length bigint, doc bigint, pos bigint, first_doc bigint, first_pos bigint"
+_SPAN = "key bigint, body binary, doc bigint, pos bigint, late_doc bigint, late_pos bigint, length bigint"
+
+
+def _batch(arrays, schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], [f.split()[0] for f in schema.split(", ")])
 
 
 def _occurrences(number, length, doc, pos, base: int) -> pa.RecordBatch:
-    """Rows of one batch of repeats; the earliest occurrence of each is marked."""
+    """Rows of one batch of repeats, each with the earliest occurrence of its repeat."""
     order = np.lexsort((pos, doc, number))
     number, length, doc, pos = number[order], length[order], doc[order], pos[order]
-    earliest = np.concatenate(([True], number[1:] != number[:-1]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(number + base), pa.array(length), pa.array(doc), pa.array(pos), pa.array(earliest)],
-        ["repeat_id", "length", "doc", "pos", "earliest"],
-    )
+    head = np.maximum.accumulate(np.where(np.concatenate(([True], number[1:] != number[:-1])), np.arange(len(number)), 0))
+    return _batch([number + base, length, doc, pos, doc[head], pos[head]], _REPEAT)
+
+
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (from zero) and bytes of a binary column."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and flat values of a list column without nulls."""
+    return np.diff(np.asarray(column.offsets)), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of pieces of ``data``, one after the other."""
+    ends = np.cumsum(size)
+    return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+
+
+def _marks(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of pieces of ``data``."""
+    body = _gather(data, start, size)
+    at = np.cumsum(size) - size
+    up, down = _powers_to(len(body) + 1)
+    sums = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * up[: len(body)], out=sums[1:])
+    return _mix((sums[at + size] - sums[at]) * down[at])
+
+
+def _parts(rows: np.ndarray):
+    for i in range(0, len(rows), STEP_SPANS):
+        yield rows[i : i + STEP_SPANS]
+
+
+def _steps(sizes: np.ndarray, at_most: int):
+    """(from, to) of runs of items whose sizes add up to ``at_most``, or of one larger item."""
+    ends = np.cumsum(sizes)
+    i = 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_most, side="right")))
+        yield i, j
+        i = j
 
 
 class RepeatFinder:
     """Repeats of at least ``min_bytes`` bytes (100 to 150) among texts known by a unique ``doc`` number.
 
-    ``texts``: doc bigint (ascending numbers are earlier) and data binary. ``firsts``: where given, the
-    documents to compare; the others are whole copies of one of them.
+    ``texts``: doc bigint (ascending numbers are earlier) and data binary, neither of them null. Short texts and
+    empty tables have no repeats; texts of any length are read in steps.
     """
 
-    def __init__(self, texts: DataFrame, min_bytes: int = 100, firsts: DataFrame | None = None):
+    def __init__(self, texts: DataFrame, min_bytes: int = 100):
         if not K < min_bytes <= K + 127:
             raise ValueError("min_bytes must be above the anchor's length and at most 127 above it")
         self.n = shuffle_partitions(texts.sparkSession)
-        self.texts, self.min_bytes, self.firsts = texts, min_bytes, firsts
+        self.texts, self.min_bytes = texts, min_bytes
 
-    def _survivors(self) -> DataFrame:
+    def _anchors(self) -> DataFrame:
         """(doc, h, code): spans whose anchor occurs more than once."""
-        least = self.min_bytes
+        least, step = self.min_bytes, STEP_BYTES
 
         def anchors(batches):
-            # A task puts out one row for each of its anchors to be compared with the other tasks'. What
-            # it has seen itself more than once needs no comparison and goes on under a spread key.
-            first: dict[int, int] = {}
             for batch in batches:
-                column = batch.column(1).cast(pa.large_binary())
-                offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-                data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+                offsets, data = _binary(batch.column(1))
                 docs = batch.column(0).to_numpy()
-                i = 0
-                while i < len(docs):
-                    j = int(np.searchsorted(offsets, offsets[i] + (1 << 18), side="right"))
-                    j = min(max(j - 1, i + 1), len(docs))
-                    piece = offsets[i : j + 1] - offsets[i]
-                    who, h, at, count = spans(data[offsets[i] : offsets[j]], piece[:-1], piece[1:], least)
-                    if len(h):
-                        yield docs[i:j][who], h, (at << _SHIFT) | count
-                    i = j
+                for i, j in _steps(np.diff(offsets), step):
+                    # A text longer than a step is read in pieces that share the bytes of one window less one.
+                    for at in range(int(offsets[i]), max(int(offsets[i]) + 1, int(offsets[j]) - least + 1), step):
+                        to = min(at + step + least - 1, int(offsets[j])) if j == i + 1 else int(offsets[j])
+                        piece = np.clip(offsets[i : j + 1], at, to) - at
+                        who, h, first, count = spans(data[at:to], piece[:-1], piece[1:], least)
+                        if len(h):
+                            yield docs[i:j][who], h, ((first + (at - offsets[i])) << _SHIFT) | count
+                        if j > i + 1:
+                            break
+
+        return self._repeated(self.texts, anchors)
+
+    def _window_anchors(self, refined: DataFrame) -> DataFrame:
+        """(doc, h, code) of single windows that occur more than once, among the windows of ``refined`` spans."""
+        least = self.min_bytes
+        lists = refined.groupBy("doc").agg(F.collect_list("code").alias("codes"))
 
+        def windows(batches):
+            for batch in batches:
+                offsets, data = _binary(batch.column(1))
+                docs = batch.column(0).to_numpy()
+                sizes, codes = _lists(batch.column(2))
+                owner = np.repeat(np.arange(len(docs)), sizes)
+                first, count = codes >> _SHIFT, codes & ((1 << _SHIFT) - 1)
+                for i, j in _steps(count, STEP_SPANS):
+                    size = count[i:j] + least - 1
+                    body = _gather(data, offsets[owner[i:j]] + first[i:j], size)
+                    start = np.cumsum(size) - size
+                    pick = np.arange(count[i:j].sum()) + np.repeat(start - (np.cumsum(count[i:j]) - count[i:j]), count[i:j])
+                    at = np.repeat(first[i:j] - start, count[i:j]) + pick
+                    yield np.repeat(docs[owner[i:j]], count[i:j]), _rolling(body, least)[pick].view(np.int64), (at << _SHIFT) | 1
+
+        return self._repeated(self.texts.join(lists, "doc").select("doc", "data", "codes"), windows)
+
+    def _repeated(self, rows: DataFrame, anchors) -> DataFrame:
+        """(doc, h, code) of what ``anchors`` finds in the rows, less the anchors that occur once."""
+
+        @frugal
         def emit(batches):
+            # A task puts out one row for each of its anchors to be compared with the other tasks'. What
+            # it has seen itself more than once needs no comparison and goes on under a spread key.
             held: list = []
-            rows = 0
+            n = 0
             for part in anchors(batches):
                 held.append(part)
-                rows += len(part[0])
-                if rows >= 2_000_000:
+                n += len(part[0])
+                if n >= STEP_ROWS:
                     yield from settle(held)
-                    held, rows = [], 0
+                    held, n = [], 0
             yield from settle(held)
 
         def settle(held):
@@ -274,19 +349,18 @@ class RepeatFinder:
             # kind 0: alone here; 1: a sign that a task has it twice; 2: known to be repeated.
             for rows, kind, key in ((~twice, 0, h), (head, 1, h), (twice, 2, doc)):
                 picked = np.flatnonzero(rows)
-                for at in range(0, len(picked), 200_000):
-                    p = picked[at : at + 200_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[p]), pa.array(doc[p]), pa.array(h[p]), pa.array(code[p] * 4 + kind)], ["key", "doc", "h", "code"]
-                    )
+                for at in range(0, len(picked), 100_000):
+                    p = picked[at : at + 100_000]
+                    yield _batch([key[p], doc[p], h[p], code[p] * 4 + kind], "key, doc, h, code")
 
+        @frugal
         def repeated(batches):
             carry = None
             for batch in batches:
                 cols = [c.to_numpy() for c in batch.columns]
                 if carry is not None:
                     cols = [np.concatenate((a, b)) for a, b in zip(carry, cols)]
-                key, doc, h, code = cols
+                key = cols[0]
                 ends = np.flatnonzero(key[1:] != key[:-1])
                 last = int(ends[-1]) + 1 if len(ends) else 0
                 carry = [c[last:] for c in cols]
@@ -305,248 +379,252 @@ class RepeatFinder:
             keep[i[several & (kind[i] == 0)]] = True
             keep = np.flatnonzero(keep)
             if len(keep):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(h[keep]), pa.array(code[keep] >> 2)], ["doc", "h", "code"])
+                yield _batch([doc[keep], h[keep], code[keep] >> 2], "doc, h, code")
 
-        dealt = self.texts.mapInArrow(emit, "key bigint, doc bigint, h bigint, code bigint").repartition(self.n, "key")
+        dealt = rows.mapInArrow(emit, "key bigint, doc bigint, h bigint, code bigint").repartition(self.n, "key")
         return dealt.sortWithinPartitions("key", "h").mapInArrow(repeated, "doc bigint, h bigint, code bigint")
 
+    def _spans(self) -> DataFrame:
+        """(key, body, doc, pos) of the earliest of equal spans of a batch; the others as pairs with it."""
+        least = self.min_bytes
+        found = materialise(self._anchors(), "anchors")
+        shared = found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > REFINE_FROM).select("h")
+        shared = materialise(shared, "shared_anchors")
+        if shared.limit(1).count():
+            windows = self._window_anchors(found.join(shared, "h", "left_semi"))
+            found = found.join(shared, "h", "left_anti").select("doc", "h", "code").unionByName(materialise(windows, "windows"))
+        lists = found.groupBy("doc").agg(F.collect_list(F.struct("h", "code")).alias("s")).select("doc", "s.h", "s.code")
+
+        @frugal
+        def cut(batches):
+            for batch in batches:
+                offsets, data = _binary(batch.column(1))
+                docs = batch.column(0).to_numpy()
+                sizes, key = _lists(batch.column(2))
+                code = _lists(batch.column(3))[1]
+                owner = np.repeat(np.arange(len(docs)), sizes)
+                at = code >> _SHIFT
+                size = (code & ((1 << _SHIFT) - 1)) + least - 1
+                start, doc = offsets[owner] + at, docs[owner]
+                mark = np.concatenate([_marks(data, start[i : i + STEP_SPANS], size[i : i + STEP_SPANS]) for i in range(0, len(key), STEP_SPANS)])
+                order = np.lexsort((at, doc, size, mark, key))
+                key, doc, at, size, start, mark = (x[order] for x in (key, doc, at, size, start, mark))
+                alike = np.concatenate(([False], (key[1:] == key[:-1]) & (size[1:] == size[:-1]) & (mark[1:] == mark[:-1])))
+                head = np.maximum.accumulate(np.where(alike, 0, np.arange(len(key))))
+                # The bytes decide, not the hash.
+                for late in _parts(np.flatnonzero(alike)):
+                    differs = _gather(data, start[late], size[late]) != _gather(data, start[head[late]], size[late])
+                    alike[late] = ~np.logical_or.reduceat(differs, np.cumsum(size[late]) - size[late])
+                for lone in _parts(np.flatnonzero(~alike)):
+                    ends = pa.py_buffer(np.concatenate(([0], np.cumsum(size[lone]))).astype(np.int32))
+                    body = pa.Array.from_buffers(pa.binary(), len(lone), [None, ends, pa.py_buffer(_gather(data, start[lone], size[lone]))])
+                    nulls = pa.nulls(len(lone), pa.int64())
+                    yield _batch([key[lone], body, doc[lone], at[lone], nulls, nulls, size[lone]], _SPAN)
+                for late in _parts(np.flatnonzero(alike)):
+                    first = head[late]
+                    yield _batch([doc[late], pa.nulls(len(late), pa.binary()), doc[first], at[first], doc[late], at[late], size[late]], _SPAN)
+
+        return self.texts.join(lists, "doc").select("doc", "data", "h", "code").mapInArrow(cut, _SPAN)
+
     def repeats(self) -> DataFrame:
-        """(repeat_id, length, doc, pos, earliest): every occurrence of the maximal repeats.
+        """(repeat_id, length, doc, pos, first_doc, first_pos): every occurrence of the maximal repeats.
 
-        A repeat is maximal within the spans it was found in, so a long one may come in overlapping
-        parts. Occurrences that equal an earlier span of the same task come as repeats of that span.
+        The first occurrence is the one of least (doc, pos). A repeat is maximal within the spans it was found in, so
+        a passage longer than a span comes in overlapping parts (see ``passages``), and copies of a span that met in
+        one batch come as repeats of two.
         """
         least = self.min_bytes
-        found = self._survivors()
-        if self.firsts is not None:
-            found = found.join(self.firsts, "doc", "left_semi")
-        found = materialise(found, "anchors")
-        hot = found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("h", F.lit(True).alias("hot"))
-        hot = materialise(hot, "hot")
-        if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            hot = F.broadcast(hot)
-        # Most anchors have two spans; a doc's are gathered with its text.
-        lists = found.join(hot, "h", "left").groupBy("doc").agg(F.collect_list(F.struct("h", "code", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spans"))
-        placed = self.texts.join(lists.hint("shuffle_hash"), "doc").select("doc", "data", "spans.h", "spans.code", "spans.hot")
-
-        def cut(batches):
-            """Spans with their bytes (kind 0), single windows of hot anchors (kind 1), settled repeats (kind 2)."""
-            state: dict[tuple, tuple] = {}
-            done: list[tuple] = []
-            size = 0
-            for batch in batches:
-                cols = [c.to_pylist() for c in batch.columns]
-                for doc, data, hashes, codes, hots in zip(*cols):
-                    for h, code, is_hot in zip(hashes, codes, hots):
-                        at, n = code >> _SHIFT, code & ((1 << _SHIFT) - 1)
-                        pieces = [(h, at, n)] if not is_hot else [(None, at + i, 1) for i in range(n)]
-                        for key, p, m in pieces:
-                            body = data[p : p + m + least - 1]
-                            if key is None:
-                                # 128 bits stand for the window.
-                                body = hashlib.blake2b(body, digest_size=16).digest()
-                            here = (doc, p)
-                            before = state.get((key, body))
-                            if before is None:
-                                state[key, body] = here
-                                size += len(body) + 200
-                            else:
-                                early, late = min(before, here), max(before, here)
-                                state[key, body] = early
-                                done.append((*early, *late, m + least - 1))
-                    if size > 48_000_000 or len(done) > 200_000:
-                        yield from put(state, done)
-                        state, done, size = {}, [], 0
-            yield from put(state, done)
-
-        def put(state, done):
-            items = list(state.items())
-            for at in range(0, len(items), 20_000):
-                part = items[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([0 if k[0] is not None else 1 for k, _ in part], pa.int32()),
-                        pa.array([k[0] if k[0] is not None else int.from_bytes(k[1][:8], "little", signed=True) for k, _ in part], pa.int64()),
-                        pa.array([k[1] for k, _ in part], pa.binary()),
-                        pa.array([v[0] for _, v in part], pa.int64()),
-                        pa.array([v[1] for _, v in part], pa.int64()),
-                        pa.array([None] * len(part), pa.int64()),
-                        pa.array([None] * len(part), pa.int64()),
-                        pa.array([0] * len(part), pa.int64()),
-                    ],
-                    ["kind", "h", "body", "doc", "pos", "late_doc", "late_pos", "length"],
-                )
-            for at in range(0, len(done), 100_000):
-                part = done[at : at + 100_000]
-                a, b, c, d, e = (pa.array(x, pa.int64()) for x in zip(*part))
-                n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([2] * n, pa.int32()), c, pa.array([b""] * n, pa.binary()), a, b, c, d, e],
-                    ["kind", "h", "body", "doc", "pos", "late_doc", "late_pos", "length"],
-                )
 
+        @frugal
         def scan(batches):
-            base = 0
-            group: list = []  # rows of whole anchors
-            size = 0
-            last = None
-            for batch in batches:
-                cols = [c.to_pylist() for c in batch.columns]
-                for row in zip(*cols):
-                    key = (row[0], row[1])
-                    if key != last:
-                        if size >= CHUNK:
-                            yield from settle_group(group, base)
-                            base += len(group) * 256
-                            group, size = [], 0
-                        last = key
-                    group.append(row)
-                    size += len(row[2]) + 16
-            yield from settle_group(group, base)
-
-        def settle_group(group, base):
             from pyspark import TaskContext
 
             task = TaskContext.get()
-            base += (task.partitionId() if task else 0) << 40
-            own = [r for r in group if r[0] == 2]
-            if own:
-                n = np.repeat(np.arange(len(own)), 2)
-                yield _occurrences(n, np.repeat([r[7] for r in own], 2), np.array([x for r in own for x in (r[3], r[5])]), np.array([x for r in own for x in (r[4], r[6])]), base)
-                base += len(own)
-            spans_, lone = [], []
-            length = least
-            groups: dict[tuple, list] = {}
-            for r in group:
-                if r[0] != 2:
-                    groups.setdefault((r[0], r[1], r[2]), []).append((r[3], r[4]))
-            for (kind, h, body), at in groups.items():
-                at.sort()
-                if len(at) > 1:
-                    length = least if kind else len(body)
-                    lone += [(len(lone), length, *at[0], *x) for x in at[1:]]
-                if not kind:
-                    spans_.append((h, body, at[0]))
-            if lone:
-                n = np.repeat(np.arange(len(lone)), 2)
-                yield _occurrences(n, np.repeat([x[1] for x in lone], 2), np.array([y for x in lone for y in (x[2], x[4])]), np.array([y for x in lone for y in (x[3], x[5])]), base)
-                base += len(lone)
+            base = (task.partitionId() if task else 0) << 40
+            held, size = [], 0
+            for batch in batches:
+                pair = batch.column(4).is_valid()
+                pairs, rows = batch.filter(pair), batch.filter(pc.invert(pair))
+                if len(pairs):
+                    doc, pos, late_doc, late_pos, length = (pairs.column(k).to_numpy() for k in (2, 3, 4, 5, 6))
+                    n = np.arange(len(pairs))
+                    yield _occurrences(np.concatenate((n, n)), np.concatenate((length, length)), np.concatenate((doc, late_doc)), np.concatenate((pos, late_pos)), base)
+                    base += len(pairs)
+                if not len(rows):
+                    continue
+                held.append((rows.column(0).to_numpy(), *(rows.column(k).to_numpy() for k in (2, 3, 6)), _binary(rows.column(1))[1]))
+                size += len(held[-1][-1])
+                if size >= CHUNK:
+                    key, doc, pos, length, body = (np.concatenate([h[k] for h in held]) for k in range(5))
+                    edge = np.flatnonzero(key[1:] != key[:-1])
+                    upto = int(edge[-1]) + 1 if len(edge) else 0
+                    cut = int(length[:upto].sum())
+                    for a, b in _whole_keys(key[:upto], length[:upto]):
+                        lo, hi = int(length[:a].sum()), int(length[:b].sum())
+                        rows = settle(key[a:b], doc[a:b], pos[a:b], length[a:b], body[lo:hi], base)
+                        if rows is not None:
+                            yield rows
+                            base += len(rows)
+                    held, size = [(key[upto:], doc[upto:], pos[upto:], length[upto:], body[cut:])], len(body) - cut
+            if held:
+                key, doc, pos, length, body = (np.concatenate([h[k] for h in held]) for k in range(5))
+                rows = settle(key, doc, pos, length, body, base)
+                if rows is not None:
+                    yield rows
+
+        def settle(key, doc, pos, length, body, base):
             # A span that is alone with its anchor by now repeats nothing.
-            kinds: dict[int, int] = {}
-            for s in spans_:
-                kinds[s[0]] = kinds.get(s[0], 0) + 1
-            spans_ = [s for s in spans_ if kinds[s[0]] > 1]
-            if spans_:
-                got = _scan([s[1] for s in spans_], np.array([s[2][0] for s in spans_]), np.array([s[2][1] for s in spans_]), least)
-                if got is not None:
-                    yield _occurrences(*got, base)
-
-        schema = "kind int, h bigint, body binary, doc bigint, pos bigint, late_doc bigint, late_pos bigint, length bigint"
-        dealt = placed.mapInArrow(cut, schema).repartition(self.n, "kind", "h").sortWithinPartitions("kind", "h")
+            same = key[1:] == key[:-1]
+            several = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+            if not len(several):
+                return None
+            start = np.cumsum(length) - length
+            found = _scan(_gather(body, start[several], length[several]), length[several], doc[several], pos[several], least)
+            return None if found is None else _occurrences(*found, base)
+
+        dealt = self._spans().repartition(self.n, "key").sortWithinPartitions("key")
         return dealt.mapInArrow(scan, _REPEAT)
 
+    def passages(self) -> DataFrame:
+        """(doc, pos, length, first_doc, first_pos): later occurrences whose parts are joined to whole passages.
+
+        Parts join where they overlap or touch and repeat the same place at the same distance; the bytes of a row
+        equal those at its first place. All rows of one first place and length are the occurrences of one passage.
+        """
+        late = self.repeats().where("doc <> first_doc OR pos <> first_pos")
+        late = late.withColumn("lag", F.col("pos") - F.col("first_pos")).groupBy("doc", "first_doc", "lag", "pos").agg(F.max("length").alias("length"))
+        along = Window.partitionBy("doc", "first_doc", "lag").orderBy("pos")
+        reach = F.max(F.col("pos") + F.col("length")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+        island = F.sum(F.when(reach >= F.col("pos"), 0).otherwise(1)).over(along)
+        joined = late.withColumn("island", island).groupBy("doc", "first_doc", "lag", "island")
+        joined = joined.agg(F.min("pos").alias("pos"), F.max(F.col("pos") + F.col("length")).alias("end"))
+        return joined.select("doc", "pos", (F.col("end") - F.col("pos")).alias("length"), "first_doc", (F.col("pos") - F.col("lag")).alias("first_pos"))
+
     def covered(self) -> DataFrame:
         """(doc, cover): bytes of later occurrences, as sorted disjoint [from, to) pairs."""
 
+        @frugal
         def merge(batches):
+            carry = None
             for batch in batches:
-                docs, covers = [], []
-                for doc, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    out: list[list[int]] = []
-                    for piece in sorted((p["pos"], p["pos"] + p["length"]) for p in pieces):
-                        if out and piece[0] <= out[-1][1]:
-                            out[-1][1] = max(out[-1][1], piece[1])
-                        else:
-                            out.append(list(piece))
-                    docs.append(doc)
-                    covers.append([x for p in out for x in p])
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(covers, pa.list_(pa.int64()))], ["doc", "cover"])
-
-        late = self.repeats().where("NOT earliest").groupBy("doc", "pos").agg(F.max("length").alias("length"))
-        return late.groupBy("doc").agg(F.collect_list(F.struct("pos", "length")).alias("p")).mapInArrow(merge, "doc bigint, cover array<bigint>")
+                cols = [c.to_numpy() for c in batch.columns]
+                if carry is not None:
+                    cols = [np.concatenate((a, b)) for a, b in zip(carry, cols)]
+                edge = np.flatnonzero(cols[0][1:] != cols[0][:-1])
+                last = int(edge[-1]) + 1 if len(edge) else 0
+                carry = [c[last:] for c in cols]
+                if last:
+                    yield islands(*(c[:last] for c in cols))
+            if carry is not None and len(carry[0]):
+                yield islands(*carry)
+
+        def islands(doc, pos, length):
+            new = np.concatenate(([True], doc[1:] != doc[:-1]))
+            shift = np.cumsum(new) << 40  # texts lie one after the other
+            begin, end = pos + shift, np.maximum.accumulate(pos + length + shift)
+            open_ = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1])))
+            close = np.concatenate((open_[1:] - 1, [len(end) - 1]))
+            pairs = np.stack((begin[open_] - shift[open_], end[close] - shift[open_]), axis=1).ravel()
+            firsts = np.flatnonzero(new[open_])
+            offsets = np.concatenate((2 * firsts, [len(pairs)])).astype(np.int32)
+            return _batch([doc[open_[firsts]], pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs))], "doc, cover")
+
+        late = self.repeats().where("doc <> first_doc OR pos <> first_pos").groupBy("doc", "pos").agg(F.max("length").alias("length"))
+        dealt = late.repartition(self.n, "doc").sortWithinPartitions("doc", "pos")
+        return dealt.mapInArrow(merge, "doc bigint, cover array<bigint>")
+
+
+def _whole_keys(key: np.ndarray, length: np.ndarray):
+    """(from, to) of runs of whole keys of about ``CHUNK`` bytes."""
+    edges = np.concatenate((np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else np.zeros(0, np.int64)
+    upto = np.cumsum(length)
+    a = 0
+    while a < len(key):
+        far = int(np.searchsorted(upto, (upto[a - 1] if a else 0) + CHUNK))
+        b = int(edges[min(np.searchsorted(edges, far, side="left"), len(edges) - 1)])
+        b = b if b > a else int(edges[np.searchsorted(edges, a, side="right")])
+        yield a, b
+        a = b
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc``: a unique number of every row, ascending with the id; ``data``: the text's bytes.
+    """(doc, data, row): a unique number of every row, ascending with the id, the text's bytes, all other columns.
 
-    The number is the id itself where ids are unique and not null. Otherwise rows are ranked by id (null
-    first), then text, by range partitions.
+    The number is the id itself where ids are whole numbers, unique and not null. Otherwise rows are ranked by id
+    (null first), then by a hash of the text, over range partitions.
     """
-    own = docs.withColumn("data", F.coalesce(F.col(text_col), F.lit("")).cast("binary")).drop(text_col)
-    n, distinct, missing = docs.agg(F.count("*"), F.count_distinct(id_col), F.count(F.when(F.col(id_col).isNull(), 1))).first()
-    if not missing and n == distinct:
-        return own.withColumn("doc", F.col(id_col).cast("bigint"))
-    order = [F.col(id_col).asc_nulls_first(), F.xxhash64("data")]
+    others = [c for c in docs.columns if c != text_col]
+    own = docs.select(F.struct(*map(col, others)).alias("row"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("data"))
+    if is_integral(docs, id_col):
+        n, distinct, missing = docs.agg(F.count("*"), F.count_distinct(col(id_col)), F.count(F.when(col(id_col).isNull(), 1))).first()
+        if not missing and n == distinct:
+            return own.select(own["row"][id_col].cast("bigint").alias("doc"), "data", "row")
+    order = [own["row"][id_col].asc_nulls_first(), F.xxhash64("data")]
     ranged = own.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     # Within a partition the numbers ascend, and partitions ascend in the order.
-    return materialise(ranged.withColumn("doc", F.monotonically_increasing_id()), "numbered")
+    return materialise(ranged.select(F.monotonically_increasing_id().alias("doc"), "data", "row"), "numbered")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 100) -> DataFrame:
-    """All columns of ``docs`` with data (its bytes) and cover: the bytes to remove, as [from, to) pairs.
+    """(row, data, cover): the columns of ``docs`` but the text, its bytes, and those to remove, as [from, to) pairs.
 
-    A byte is covered if a string of ``min_bytes`` bytes that holds it also starts earlier: in a row of
-    smaller id, or further up in the same text; rows of one id are taken in the order of a hash of their
-    texts. Null and short texts have no cover, repeated rows all but their first have all of it.
+    A byte is covered if a string of ``min_bytes`` bytes that holds it also starts earlier: in a row of smaller id,
+    or further up in the same text; rows of one id, or without one (they come first), are taken in the order of a hash
+    of their texts. Null and short texts have no cover; of repeated rows all but the first are covered whole. Ids may
+    be of any type that can be sorted; columns may have any name. An empty table gives an empty one.
     """
-    taken = {"doc", "data", "cover", "k"}
-    rows = numbered(docs.select(*[c for c in docs.columns if c not in taken]), id_col, text_col)
-    # Copies of a whole text: the earliest stands for all.
-    keyed = rows.where(F.length("data") >= min_bytes).select("doc", F.sha2("data", 256).alias("k"))
-    firsts = materialise(keyed.groupBy("k").agg(F.min("doc").alias("doc")).select("doc"), "firsts")
-    texts = rows.select("doc", "data")
-    cover = RepeatFinder(texts, min_bytes, firsts).covered()
-    known = materialise(firsts.join(cover, "doc", "left").select("doc", F.coalesce("cover", F.expr("array()").cast("array<bigint>")).alias("cover")), "cover")
-    joined = texts.join(known.hint("shuffle_hash"), "doc", "left")
-    whole = F.when(F.length("data") < min_bytes, F.expr("array()").cast("array<bigint>")).otherwise(
-        F.array(F.lit(0).cast("bigint"), F.length("data").cast("bigint"))
-    )
-    joined = joined.select("doc", "data", F.coalesce("cover", whole).alias("cover"))
-    others = rows.drop("data")
-    return joined.join(others.hint("shuffle_hash"), "doc").drop("doc")
+    rows = numbered(docs, id_col, text_col)
+    cover = materialise(RepeatFinder(rows.select("doc", "data"), min_bytes).covered(), "cover")
+    none = F.expr("array()").cast("array<bigint>")
+    return rows.join(cover, "doc", "left").select("row", "data", F.coalesce("cover", none).alias("cover"))
 
 
 def kept_text(covered: DataFrame, columns: list[str], text_col: str = "text", chars_col: str | None = None) -> DataFrame:
     """The rows with what is left of their texts, in the order of ``columns``. A character cut in two goes.
 
-    ``chars_col`` gets the length of what is left.
+    ``chars_col``, a column of whole numbers, gets the length of what is left. No row is dropped.
     """
+    fields = {f.name: f.dataType for f in covered.schema["row"].dataType.fields}
+    others = [c for c in columns if c not in (text_col, chars_col)]
 
+    @frugal
     def run(batches):
         for batch in batches:
             texts = []
-            for body, cover in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for body, cover in zip(batch.column(0), batch.column(1).to_pylist()):
+                body = memoryview(body.as_buffer())
                 edges = [0, *cover, len(body)]
                 texts.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "ignore"))
-            made = {text_col: pa.array(texts, pa.string())}
-            if chars_col:
-                made[chars_col] = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in columns], columns)
+            made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[2:]], names)
 
-    kinds = {f.name: f.dataType.simpleString() for f in covered.schema.fields} | {text_col: "string"}
-    rest = [c for c in columns if c not in (text_col, chars_col)]
-    schema = ", ".join(f"`{c}` {'bigint' if c == chars_col else kinds[c]}" for c in columns)
-    return covered.select("data", "cover", *rest).mapInArrow(run, schema)
+    names = [f"_{i}" for i in range(2 + len(others))]
+    schema = StructType([StructField("_0", StringType()), StructField("_1", LongType())] + [StructField(f"_{i + 2}", fields[c]) for i, c in enumerate(others)])
+    picked = covered.select("data", "cover", *[covered["row"][c].alias(f"_{i + 2}") for i, c in enumerate(others)])
+    made = picked.mapInArrow(run, schema)
+    place = {text_col: F.col("_0")} | ({chars_col: F.col("_1").cast(fields[chars_col])} if chars_col else {}) | {c: F.col(f"_{i + 2}") for i, c in enumerate(others)}
+    return made.select(*[place[c].alias(c) for c in columns])
 
 
 def removal_digest(covered: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of rows with data and cover."""
 
+    @frugal
     def run(batches):
         for batch in batches:
-            ids, data, covers = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             rows = []
-            for body, cover in zip(data, covers):
+            for body, cover in zip(batch.column(1), batch.column(2).to_pylist()):
+                body = memoryview(body.as_buffer())
                 digest, at, removed = hashlib.sha256(), 0, 0
                 for a, b in zip(cover[::2], cover[1::2]):
-                    digest.update(memoryview(body)[at:a])
+                    digest.update(body[at:a])
                     at, removed = b, removed + b - a
-                digest.update(memoryview(body)[at:])
+                digest.update(body[at:])
                 rows.append((len(body), removed, len(cover) // 2, digest.hexdigest()))
             cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             if rows:
-                yield pa.RecordBatch.from_arrays([ids, *cols], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    kind = covered.schema[id_col].dataType.simpleString()
-    picked = covered.select(F.col(id_col).alias("id"), "data", "cover")
-    return picked.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    kind = covered.schema["row"].dataType[id_col].dataType
+    fields = [StructField("id", kind), *(StructField(n, LongType()) for n in ("n_bytes", "n_removed", "n_spans")), StructField("kept_sha256", StringType())]
+    return covered.select(covered["row"][id_col].alias("id"), "data", "cover").mapInArrow(run, StructType(fields))
