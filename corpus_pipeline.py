@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, packing, repeats, simhash, toxicity
-from tidemark.llm.common import materialise, read_table
+from tidemark.llm.common import is_integral, materialise, read_table
 from tidemark.llm.queries import tokenizer_path
 
 #: SQL can express neither the classifier nor the tokenizer; tests compare the stages with plain versions.
@@ -25,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that also start earlier are cut out of the texts; every document stays."""
-    return repeats.kept_text(repeats.remove_repeats(docs), docs.columns, chars_col="n_chars" if "n_chars" in docs.columns else None)
+    return repeats.kept_text(repeats.remove_repeats(docs), docs.columns, chars_col="n_chars" if "n_chars" in docs.columns and is_integral(docs, "n_chars") else None)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
