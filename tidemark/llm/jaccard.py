@@ -1,10 +1,13 @@
 """Exact links of texts whose sets of word shingles have a Jaccard similarity of at least 4/5.
 
-Shingles are ordered by the number of different sets that hold them, the rarest first. Two sets of that similarity
-share a shingle among the first ``n - ceil(4n/5) + 1`` of each, so only these prefixes meet, in one cell a shingle;
-a shingle of one set alone leaves no row. Every link is verified on the whole sets. Each set of a cell is first
-verified against the cell's least one; cells that this makes one class are settled, in the others all pairs of
-different classes are verified where they meet. Only links leave a task, never all pairs.
+Candidates come from two sides. SimHash fingerprints of the texts are joined on the segment-popcount grid
+(``simhash.links``), which finds the close copies. What lies beyond the grid's reach is found by the sets themselves:
+two sets of that similarity share a shingle among the first ``n - ceil(4n/5) + 1`` of each in any common order, and
+``k`` of them among the first ``n - ceil(4n/5) + k``. The second form, in the order of a hash, leaves out most texts
+at once; the first, in the order of the number of sets that hold a shingle (rarest first), makes cells of the others.
+Every link is verified on the whole sets. Each set of a cell is verified against the cell's least one; cells that
+this makes one class are settled, in the others all pairs of different classes are verified where they meet. Only
+links leave a task, never all pairs.
 """
 
 from __future__ import annotations
@@ -15,23 +18,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, shuffle_partitions
+from tidemark.llm import simhash
+from tidemark.llm.common import checked_broadcast, col, frugal, materialise, shuffle_partitions
 from tidemark.llm.graph import connected_components
 
 #: The least similarity, as a fraction: whole numbers keep the test exact.
 NUM, DEN = 4, 5
 #: Blocks that shingles are dealt to by their high bits; a block tells them apart by their low 32 bits.
 BLOCK_BITS = 10
+#: A text's shingles are looked at first in a prefix longer by this part of them.
+EXTRA = 6
 #: Texts whose shingles are dealt out at once.
 TEXTS_AT_ONCE = 1024
-#: Hashes of texts up to which they are broadcast.
-BROADCAST_ROWS = 200_000
 
 
 def _set_of(text: bytes | None, shingle: int) -> np.ndarray:
-    from tidemark.llm.simhash import _shingle_hashes
-
-    return np.unique(_shingle_hashes(text, shingle))
+    return np.unique(simhash._shingle_hashes(text, shingle))
 
 
 def _name(hashes: np.ndarray) -> int:
@@ -39,8 +41,8 @@ def _name(hashes: np.ndarray) -> int:
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
-    """Block and low bits of each shingle: a coarser name, under which two may fall together."""
-    return np.unique((hashes >> np.uint64(64 - BLOCK_BITS) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF)))
+    """Low bits and block of each shingle: a coarser name, under which two may fall together."""
+    return np.unique((hashes & np.uint64(0xFFFFFFFF)) << np.uint64(BLOCK_BITS) | (hashes >> np.uint64(64 - BLOCK_BITS)))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -52,37 +54,50 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return shared * (NUM + DEN) >= NUM * n
 
 
+def _needed(n: int) -> int:
+    """Shingles that must be shared by two similar sets, the smaller of which has n."""
+    return -(-NUM * n // DEN)
+
+
 def marks(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, th, fp, n, m): the name of a row's shingle set, its size and that of its coarser names."""
-    from tidemark.llm.simhash import text_key
+    """(id, th, name, n, m, fp): the name of a row's shingle set, its size, that of its coarser names, its fingerprint."""
 
+    @frugal
     def run(batches):
         for batch in batches:
-            sets = [_set_of(t, shingle) for t in batch.column(2).to_pylist()]
-            new = [pa.array(x, pa.int64()) for x in ([_name(s) for s in sets], [len(s) for s in sets], [len(_short(s)) for s in sets])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], ["id", "th", "fp", "n", "m"])
+            new: list[list[int]] = [[], [], [], []]
+            for text in batch.column(2).to_pylist():
+                hashes = simhash._shingle_hashes(text, shingle)
+                own = np.unique(hashes)
+                for column, value in zip(new, (_name(own), len(own), len(_short(own)), int(simhash._bits(simhash._margins(hashes))[0]))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in new)], ["id", "th", "name", "n", "m", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
-    return source.mapInArrow(run, f"id {kind}, th bigint, fp bigint, n bigint, m bigint")
+    source = docs.select(col(id_col).alias("id"), simhash.text_key(text_col).alias("th"), col(text_col).cast("binary").alias("text"))
+    return source.mapInArrow(run, f"id {kind}, th bigint, name bigint, n bigint, m bigint, fp bigint")
 
 
-def _shared_shingles(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(fp, key, df): the shingles that more than one set holds, by coarser name, with the number of sets."""
+def _shared_shingles(texts: DataFrame, sets_of, prefix) -> DataFrame:
+    """(name, key, df): the shingles that more than one set holds, by coarser name, with the number of sets.
 
+    ``sets_of`` reads the sets of some rows; of each the ``prefix(n, m)`` least shingles are looked at.
+    """
+
+    @frugal
     def deal(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                sets = {_name(s): s for s in (_set_of(t, shingle) for t in batch.column(0).slice(at, TEXTS_AT_ONCE).to_pylist())}
+                sets = {_name(s): s for s in sets_of(batch.column(0).slice(at, TEXTS_AT_ONCE).to_pylist())}
                 shorts = [_short(s) for s in sets.values()]
+                shorts = [x[: prefix(len(s), len(x))] for s, x in zip(sets.values(), shorts)]
                 keys = np.concatenate(shorts)
                 names = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(s) for s in shorts])
-                order = np.argsort(keys, kind="stable")
-                keys, names = keys[order], names[order]
-                blocks = (keys >> np.uint64(32)).astype(np.int32)
+                blocks = (keys & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int32)
+                order = np.argsort(blocks, kind="stable")
+                blocks, low, names = blocks[order], (keys[order] >> np.uint64(BLOCK_BITS)).astype(np.uint32), names[order]
                 starts = np.flatnonzero(np.concatenate(([len(keys) > 0], blocks[1:] != blocks[:-1]))[: len(keys)])
                 ends = np.append(starts[1:], len(keys))
-                low = keys.astype(np.uint32)
                 parts = [
                     pa.array(blocks[starts], pa.int32()),
                     pa.array([low[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
@@ -101,8 +116,9 @@ def _shared_shingles(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
         df = np.repeat(sizes, sizes)
         some = df > 1
         keys = (np.int64(block) << np.int64(32)) | low[some].astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(keys), pa.array(df[some].astype(np.int64))], ["fp", "key", "df"])
+        return pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(keys), pa.array(df[some].astype(np.int64))], ["name", "key", "df"])
 
+    @frugal
     def count(batches):
         now, low, names = None, [], []
         for batch in batches:
@@ -116,54 +132,65 @@ def _shared_shingles(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
         if now is not None:
             yield settle(now, low, names)
 
-    dealt = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(deal, "block int, low binary, names binary")
-    placed = dealt.repartition(shuffle_partitions(docs.sparkSession), "block").sortWithinPartitions("block")
-    return placed.mapInArrow(count, "fp bigint, key bigint, df bigint")
+    dealt = texts.mapInArrow(deal, "block int, low binary, names binary")
+    placed = dealt.repartition(shuffle_partitions(texts.sparkSession), "block").sortWithinPartitions("block")
+    return placed.mapInArrow(count, "name bigint, key bigint, df bigint")
+
 
+def _promising(docs: DataFrame, firsts: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(name) of the sets that share enough of a longer prefix with other sets to have a similar one."""
 
-def _cells(marked: DataFrame, shared: DataFrame) -> DataFrame:
-    """(key, fp): the prefix of every set, less the shingles of one set alone; these come first in it."""
-    sizes = marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("m").alias("m"))
-    lists = shared.groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))
+    def longer(n: int, m: int) -> int:
+        return min(m, n - _needed(n) + max(1, n // EXTRA))
+
+    texts = docs.select(col(text_col).cast("binary").alias("text"))
+    shared = _shared_shingles(texts, lambda rows: [_set_of(t, shingle) for t in rows], longer)
+    found = shared.groupBy("name").agg(F.count("*").alias("k"))
+    # A similar set has at least 4/5 of the size, so that it is the smaller one's longer prefix that counts.
+    least = F.expr(f"greatest(1, least((n * {NUM} + {DEN - 1}) div {DEN} div {EXTRA}, m - n + (n * {NUM} + {DEN - 1}) div {DEN}))")
+    return found.join(firsts.select("name", "n", "m"), "name").where(F.col("k") >= least).select("name")
+
+
+def _cells(sizes: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, name): the prefix of every set, less the shingles of one set alone; these come first in it."""
+    lists = shared.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("s"))
     prefix = F.expr(f"n - (n * {NUM} + {DEN - 1}) div {DEN} + 1 - (m - size(s))").cast("int")
-    sized = lists.join(sizes, "fp").select("fp", "s", prefix.alias("p")).where("p > 0")
-    return sized.select("fp", F.explode(F.slice("s", 1, F.col("p"))).alias("x")).select("x.key", "fp")
+    sized = lists.join(sizes, "name").select("name", "s", prefix.alias("p")).where("p > 0")
+    return sized.select("name", F.explode(F.slice("s", 1, F.col("p"))).alias("x")).select("x.key", "name")
 
 
-def _sets(docs: DataFrame, marked: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(fp, hashes) of the sets in ``nodes``, once each."""
-    from tidemark.llm.simhash import text_key
+def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(name, hashes) of the rows (id, th) in ``wanted``, one of each set."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             sets = [_set_of(t, shingle) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["fp", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "hashes"])
 
-    texts = materialise(marked.groupBy("fp").agg(F.min("th").alias("_th")).join(nodes, "fp").select("_th").distinct(), "texts")
-    few = texts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    wanted = docs.select(F.col(text_col).cast("binary").alias("text"), text_key(text_col).alias("_th"))
-    wanted = wanted.join(F.broadcast(texts) if few else texts.hint("shuffle_hash"), "_th", "left_semi")
-    return wanted.select("text").mapInArrow(run, "fp bigint, hashes binary").dropDuplicates(["fp"])
+    rows = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"), simhash.text_key(text_col).alias("th"))
+    same = F.expr("d.id <=> w.id AND d.th = w.th")
+    picked = rows.alias("d").join(checked_broadcast(wanted.select("id", "th")).alias("w"), same, "left_semi")
+    return picked.select("text").mapInArrow(run, "name bigint, hashes binary").dropDuplicates(["name"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    @frugal
     def run(batches):
         for batch in batches:
             a, b = (batch.column(k).to_pylist() for k in (2, 3))
             yield batch.select(["u", "v"]).filter(pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], pa.bool_()))
 
-    one = sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a"))
-    two = sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b"))
+    one = sets.select(F.col("name").alias("u"), F.col("hashes").alias("a"))
+    two = sets.select(F.col("name").alias("v"), F.col("hashes").alias("b"))
     return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
 def _rest(cells: DataFrame) -> DataFrame:
-    """(key, fp, root, hashes) to the verified links between different classes of a cell."""
+    """(key, name, root, hashes) to the verified links between different classes of a cell."""
 
     def walk(rows):
-        from tidemark.llm.simhash import _Forest
-
-        forest = _Forest()
+        forest = simhash._Forest()
         rows = sorted(rows, key=lambda r: len(r[2]))
         sets = [np.frombuffer(h, np.uint64) for _, _, h in rows]
         for i, (u, a, _) in enumerate(rows):
@@ -175,6 +202,7 @@ def _rest(cells: DataFrame) -> DataFrame:
                     forest.link(a, b)
                     yield u, v
 
+    @frugal
     def run(batches):
         now, rows = None, []
 
@@ -194,15 +222,30 @@ def _rest(cells: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "u bigint, v bigint")
 
 
-def links(docs: DataFrame, marked: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """(u, v) names of sets: links whose closure is that of all pairs of at least that similarity."""
-    cells = materialise(_cells(marked, _shared_shingles(docs, text_col, shingle)), "cells")
-    sets = materialise(_sets(docs, marked, cells.select("fp").distinct(), text_col, shingle), "sets")
-    least = cells.groupBy("key").agg(F.min("fp").alias("u"), F.count("*").alias("k")).where("k > 1")
-    pairs = cells.join(least, "key").where("fp <> u").select("u", F.col("fp").alias("v")).distinct()
-    first = materialise(_verified(pairs, sets), "verified")
+def links(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(u, v) names of sets: links whose closure is that of all pairs of at least that similarity.
+
+    ``firsts``: (name, n, m, fp, id, th), one row for each set.
+    """
+    # Copies that SimHash finds: sets of one fingerprint, and of fingerprints within reach.
+    standing = firsts.groupBy("fp").agg(F.min("name").alias("one"))
+    alike = firsts.join(standing, "fp").where("name <> one").select(F.col("one").alias("u"), F.col("name").alias("v"))
+    near = simhash.links(standing.select("fp"))
+    a, b = (standing.select(F.col("fp").alias(x), F.col("one").alias("name_" + x)) for x in ("u", "v"))
+    near = near.join(a, "u").join(b, "v").select(F.col("name_u").alias("u"), F.col("name_v").alias("v"))
+    close = materialise(alike.union(near.where("u <> v")), "close")
+    # Those it does not reach.
+    promising = materialise(_promising(docs, firsts, text_col, shingle), "promising")
+    nodes = promising.union(close.select("u")).union(close.select("v")).distinct()
+    sets = materialise(_sets(docs, firsts.join(nodes, "name"), id_col, text_col, shingle), "sets")
+    own = sets.join(promising, "name", "left_semi").select("hashes")
+    shared = _shared_shingles(own, lambda rows: [np.frombuffer(h, np.uint64) for h in rows], lambda n, m: m)
+    cells = materialise(_cells(firsts.select("name", "n", "m"), shared), "cells")
+    least = cells.groupBy("key").agg(F.min("name").alias("u"), F.count("*").alias("k")).where("k > 1")
+    pairs = cells.join(least, "key").where("name <> u").select("u", F.col("name").alias("v"))
+    first = materialise(_verified(pairs.union(close).distinct(), sets), "verified")
     roots = connected_components(first)
-    named = cells.join(roots, cells["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    named = cells.join(roots, cells["name"] == roots["node"], "left").select("key", "name", F.coalesce("root", "name").alias("root"))
     named = materialise(named, "named")
     open_cells = named.groupBy("key").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("key")
-    return first.union(_rest(named.join(open_cells, "key").join(sets, "fp").select("key", "fp", "root", "hashes")))
+    return first.union(_rest(named.join(open_cells, "key").join(sets, "name").select("key", "name", "root", "hashes")))

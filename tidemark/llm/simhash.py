@@ -9,8 +9,8 @@ are tested first by the Manhattan bound, then exactly; only a spanning forest of
 cell, never all pairs.
 
 The grid needs a radius well below the number of segments: two texts whose word shingles have a Jaccard similarity
-of 0.8 differ in 15 % of their bits, far beyond it. ``representatives`` therefore links by the shingle sets themselves
-(``jaccard``).
+of 0.8 differ in 15 % of their bits, far beyond it. ``representatives`` therefore takes the grid's links as candidates
+only, verifies them on the shingle sets and finds the rest by the sets themselves (``jaccard``).
 """
 
 from __future__ import annotations
@@ -23,8 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard
-from tidemark.llm.common import materialise, shuffle_partitions
+from tidemark.llm.common import col, frugal, materialise, shuffle_partitions
 from tidemark.llm.graph import connected_components
 
 HASH_SEED = 42
@@ -47,36 +46,28 @@ def _shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     return np.array([digest(line[a:b], HASH_SEED) for a, b in zip(starts, ends)], dtype=np.uint64)
 
 
-def _margins(hashes: np.ndarray, words: int) -> np.ndarray:
-    """Set minus unset hashes for each of 64 bits a word; word 0 is the hashes' own, the others are mixed from them."""
-    counts = np.zeros(64 * words, np.int64)
+def _margins(hashes: np.ndarray) -> np.ndarray:
+    """Set minus unset hashes for each of the 64 bits."""
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192]
-        wide = np.stack([part] + [_mix(part, k) for k in range(1, words)], axis=1)
-        counts += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return 2 * counts - len(hashes)
 
 
-def _mix(h: np.ndarray, k: int) -> np.ndarray:
-    """Another 64 bits of each hash (the SplitMix64 finaliser, stream ``k``)."""
-    x = h + np.uint64((0x9E3779B97F4A7C15 * k) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _bits(margins: np.ndarray) -> np.ndarray:
     return np.packbits((margins > 0).astype(np.uint8), axis=-1, bitorder="little").view(np.int64)
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
     """Majority bits of the XXH64 values of the word shingles, as a signed 64-bit integer."""
-    return int(_bits(_margins(_shingle_hashes(text, shingle), 1))[0])
+    return int(_bits(_margins(_shingle_hashes(text, shingle)))[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id, th, fp): one row per input row, th being a hash of the text. Null and wordless texts get fingerprint zero."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
@@ -84,12 +75,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["id", "th", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    source = docs.select(col(id_col).alias("id"), text_key(text_col).alias("th"), col(text_col).cast("binary").alias("text"))
     return source.mapInArrow(run, f"id {kind}, th bigint, fp bigint")
 
 
 def text_key(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return F.xxhash64(F.coalesce(col(text_col), F.lit("")))
 
 
 def _unary(fp):
@@ -193,9 +184,25 @@ def _link_cells(cell: np.ndarray, fp: np.ndarray, d: int, forest: _Forest) -> No
             forest.link(int(fp[i, 0]), int(fp[i + off, 0]))
 
 
-def links(distinct: DataFrame, max_distance: int = 4, groups: int = 6) -> DataFrame:
+#: Fingerprints that the commonest cell may be expected to hold; more groups make smaller cells.
+CELL = 20_000
+
+
+def groups_for(n: int, max_distance: int) -> int:
+    """Groups under which the commonest of the cells of ``n`` fingerprints holds about ``CELL``, in steps of two.
+
+    A cell fixes the counts of a share of the 32 segments, the commonest count of a segment has one half of all
+    fingerprints. Every choice finds every link.
+    """
+    groups = max_distance + 2
+    while groups < 2 * max_distance + 4 and n > CELL * 2 ** ((64 // SEGMENT_BITS) * (groups - max_distance) // groups):
+        groups += 2
+    return groups
+
+
+def links(distinct: DataFrame, max_distance: int = 4, groups: int | None = None) -> DataFrame:
     """(fp) distinct fingerprints to (u, v): links whose closure is that of all pairs within reach."""
-    masks = grid_masks(max_distance, groups)
+    masks = grid_masks(max_distance, groups or groups_for(distinct.count(), max_distance))
     cells = (
         distinct.select("fp", _unary(F.col("fp")).alias("un"))
         .select("fp", F.posexplode(F.array(*[F.col("un").bitwiseAND(F.lit(m)) for m in masks])).alias("family", "counts"))
@@ -208,6 +215,7 @@ def links(distinct: DataFrame, max_distance: int = 4, groups: int = 6) -> DataFr
 def _link_within(cells: DataFrame, words: int, d: int) -> DataFrame:
     """(cell, fp, ...) to the spanning links of every cell's pairs within ``d`` bits."""
 
+    @frugal
     def run(batches):
         forest = _Forest()
         cell, fp = np.array([], np.int64), np.empty((0, words), np.uint64)
@@ -234,7 +242,7 @@ def _link_within(cells: DataFrame, words: int, d: int) -> DataFrame:
 
 
 def near_duplicate_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, groups: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, groups: int | None = None
 ) -> DataFrame:
     """(id, fp, component_id): component_id is the least id reachable over links of at most ``max_distance`` bits.
 
@@ -251,33 +259,57 @@ CLASS_SALTS = 16
 
 def _classes(docs, id_col, text_col, shingle, max_distance, groups) -> DataFrame:
     marked = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    return _labelled(marked, links(marked.select("fp").distinct(), max_distance, groups))
+    found = links(marked.select("fp").distinct(), max_distance, groups)
+    return labelled(marked, "fp", found).drop("first_th")
 
 
-def _labelled(marked: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, th, fp, component_id, first_th): the least id of a row's class and the text hash that goes with it."""
-    distinct = marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"))
+def labelled(marked: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """``marked`` (id, th and others) with component_id and first_th: the least id of a row's class and the text hash
+    that goes with it. ``found``: links (u, v) between values of ``key``."""
+    counted = marked.groupBy(key).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first"), F.count("*").alias("rows"))
+    distinct = materialise(counted, "distinct")
     roots = connected_components(found)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots, distinct[key] == roots["node"], "left").select(key, "first", "rows", F.coalesce("root", key).alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("n")).where("n > 1")
     spread = least.select("root", "least", F.explode(F.expr(f"sequence(0L, {CLASS_SALTS - 1}L)")).alias("salt"))
-    salted = rooted.select("fp", "first", "root", F.pmod(F.xxhash64("fp"), F.lit(CLASS_SALTS).cast("bigint")).alias("salt"))
+    salted = rooted.select(key, "first", "rows", "root", _salt(key))
     best = F.coalesce("least", "first")
-    classes = salted.join(spread, ["root", "salt"], "left").select("fp", best["id"].alias("component_id"), best["th"].alias("first_th"))
-    return marked.join(classes, "fp").select("id", "th", "fp", "component_id", "first_th")
+    classes = salted.join(spread, ["root", "salt"], "left").select(key, "rows", best["id"].alias("component_id"), best["th"].alias("first_th"))
+    # Keys of more rows than a task's share are dealt out too. There are no more of them than CLASS_SALTS to a task.
+    tasks = CLASS_SALTS * shuffle_partitions(marked.sparkSession)
+    share = F.ceil(F.lit((distinct.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0] + 1) / tasks))
+    hot = F.broadcast(distinct.where(F.col("rows") > share).select(key, F.lit(True).alias("hot")))
+    dealt = marked.join(hot, key, "left").withColumn("salt", F.when(F.col("hot"), _salt("id")).otherwise(F.lit(0).cast("bigint"))).drop("hot")
+    salts = F.when(F.col("rows") > share, F.expr(f"sequence(0L, {CLASS_SALTS - 1}L)")).otherwise(F.expr("array(0L)"))
+    classes = classes.select(key, "component_id", "first_th", F.explode(salts).alias("salt"))
+    return dealt.join(classes, [key, "salt"]).drop("salt")
+
+
+def _salt(name: str):
+    return F.pmod(F.xxhash64(name), F.lit(CLASS_SALTS).cast("bigint")).alias("salt")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` of which each stands for its class: the one of least id. Repeated rows stay once.
 
     Texts are linked where the sets of their word shingles have a Jaccard similarity of at least 0.8, every such
-    pair and no other; a class is what these links reach.
+    pair and no other; a class is what these links reach. SimHash fingerprints find the close copies, the sets
+    themselves what lies beyond the fingerprints' reach (``jaccard``). Null and wordless texts are one class, a null
+    id stands for a class only where the class has no other, and of rows with one id and different texts each is
+    taken for itself. Columns may have any name; an empty table gives an empty one.
     """
+    from tidemark.llm import jaccard
+
     marked = materialise(jaccard.marks(docs, id_col, text_col, shingle), "sets_of_rows")
-    classes = _labelled(marked, jaccard.links(docs, marked, text_col, shingle))
-    firsts = materialise(classes.where("id <=> component_id AND th = first_th").groupBy("id", "th").agg(F.count("*").alias("n")), "firsts")
-    same = F.expr(f"d.`{id_col}` <=> k.id AND d._th = k.th")
-    kept = docs.withColumn("_th", text_key(text_col)).alias("d").join(firsts.hint("shuffle_hash").alias("k"), same, "left_semi")
-    if firsts.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([id_col, "_th"])
-    return kept.select(*docs.columns)
+    one = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("one")
+    firsts = marked.groupBy("name").agg(one, F.first("n").alias("n"), F.first("m").alias("m"), F.min("fp").alias("fp"))
+    firsts = materialise(firsts.select("name", "n", "m", "fp", "one.id", "one.th"), "sets")
+    found = materialise(jaccard.links(docs, firsts, id_col, text_col, shingle), "links")
+    classes = labelled(marked.select("id", "th", "name"), "name", found)
+    stays = materialise(classes.where("id <=> component_id AND th = first_th").groupBy("id", "th").agg(F.count("*").alias("n")), "stays")
+    # The user's columns travel as one, so that no name of theirs meets one of ours.
+    packed = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(id_col).alias("id"), text_key(text_col).alias("th"))
+    kept = packed.alias("d").join(stays.alias("k"), F.expr("d.id <=> k.id AND d.th = k.th"), "left_semi")
+    if stays.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["id", "th"])
+    return kept.select(*[kept["row"][c].alias(c) for c in docs.columns])
