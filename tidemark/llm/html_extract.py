@@ -1,21 +1,26 @@
 """Main-text extraction from HTML.
 
-A streaming pass of the standard library's parser turns a page into lines, one per block of text, each
-with the number of tags met inside it and the content container that encloses it. The text-to-tag
-ratio of the lines is smoothed by a Gaussian and cut at a threshold; runs above it mark the content
-region. The region is then completed to its containers, so that short paragraphs of an article stay,
-and lines that stand inside boilerplate elements never count.
+A streaming pass of the standard library's parser turns a page into lines, one per block of text, each with the
+number of tags met inside it. A line's text-to-tag ratio counts the text that is not part of a link or a menu. The
+ratios are smoothed by a Gaussian along the page and cut at the threshold between their two clusters. The lines above
+it vote: the lines of one section element (``GROUPS``) stay together as the greater part of their text is above or
+below. The elements only smooth what the clusters choose, so that the short paragraphs of an article stay with it. Text that is told from an article
+by its mark-up alone (``BOILERPLATE``, ``MARKS``: adverts, notices, footers, forms, reader comments) is left out
+beforehand; menus and lists of links are not, the ratio tells them.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from tidemark.llm.common import col, frugal
 
 # HTML element names by role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -24,87 +29,122 @@ BLOCK = set(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 HIDDEN = set("script style noscript template svg canvas object iframe select textarea button head title option audio video map math".split())
-BOILERPLATE = set("nav footer aside form menu dialog search".split())
-CONTAINERS = ("article", "main")
-# Words of class, id and role attributes that mark boilerplate.
+#: Hidden elements that no block can be part of: where one begins, they have been left open.
+SHORT = set("select button option title svg math head".split())
+BOILERPLATE = set("footer aside form dialog search".split())
+MENUS = set("nav menu".split())
+ARTICLES = ("article", "main")
+GROUPS = set("article main section div nav menu aside header footer body form td ul ol".split())
+LISTS = ("ul", "ol")
+# Words of class, id and role attributes that mark boilerplate; the second set only outside an article.
 MARKS = set(
-    "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
-    "popup modal overlay newsletter subscribe subscription signup share sharing social comment comments commentlist disqus respond reply replies discussion "
-    "sidebar sidebars side related recommended recommendations trending breadcrumb breadcrumbs menu nav navbar navigation footer header masthead topbar "
-    "pagination pager copyright widget widgets login search hidden skip toolbar complementary contentinfo dialog form".split()
+    "ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr "
+    "notice notices popup newsletter subscribe subscription signup share sharing social comment comments commentlist disqus respond replies discussion "
+    "sidebar sidebars related recommended recommendations trending footer masthead contentinfo complementary".split()
+)
+OUTER_MARKS = set(
+    "alert modal overlay reply side header topbar pager copyright widget widgets login search hidden skip toolbar dialog form".split()
 )
+#: The same, of menus.
+MENU_MARKS = set("menu nav navbar navigation breadcrumb breadcrumbs pagination".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _marked(attrs) -> bool:
+def _marks(attrs) -> tuple[set[str], bool]:
+    """The words of an element's marking attributes, and whether it is not shown."""
+    words: set[str] = set()
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            if MARKS.intersection(w.lower() for w in _WORDS.findall(value)):
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            words.update(w.lower() for w in _WORDS.findall(value))
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _UNSEEN.search(value):
+            return words, True
+    return words, False
+
+
+class _Open:
+    """An open element and what it inherits: every question about the ancestors is answered by the innermost one."""
+
+    __slots__ = ("tag", "boiler", "hidden", "menu", "article", "group")
+
+    def __init__(self, tag, boiler, hidden, menu, article, group):
+        self.tag, self.boiler, self.hidden, self.menu, self.article, self.group = tag, boiler, hidden, menu, article, group
 
 
 class PageLines(HTMLParser):
-    """``lines``: (text, tags, boilerplate, container) in page order; a container is (rank, number)."""
+    """``lines``: (text, link characters, tags, group, article) in page order; ``parent`` of the list groups.
+
+    Every event costs the same, however many elements are open. Elements left open end with the element around
+    them, those of ``SHORT`` with the next block.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple[int, int]]] = []
-        self._open: list[tuple[str, bool, bool, tuple[int, int] | None]] = []  # name, boilerplate, hidden, container
+        self.lines: list[tuple[str, int, int, int, int]] = []
+        self.parent: dict[int, int] = {}
+        self._open = [_Open("", False, False, False, 0, 0)]
+        self._count: Counter = Counter()
         self._text: list[str] = []
-        self._tags = 0
-        self._number = 0
+        self._linked = self._tags = self._groups = self._articles = 0
+        self._link = 0  # how many elements were open when the current link began
 
     def updatepos(self, i, j):
         """Line numbers are not needed."""
         return j
 
     def _flush(self) -> None:
-        text = " ".join("".join(self._text).split())
-        if text:
-            container = next((e[3] for e in reversed(self._open) if e[3]), (0, 0))
-            self.lines.append((text, self._tags, any(e[1] for e in self._open), container))
-        self._text, self._tags = [], 0
+        if self._text:
+            text, top = " ".join("".join(self._text).split()), self._open[-1]
+            if text and not top.boiler:
+                self.lines.append((text, min(self._linked, len(text)), self._tags, top.group, top.article))
+            self._text, self._linked = [], 0
+        self._tags = 0
 
     def _pop(self, name: str) -> None:
-        for i in range(len(self._open) - 1, -1, -1):
-            if self._open[i][0] == name:
-                del self._open[i:]
-                return
+        if not self._count[name]:
+            return
+        while True:
+            top = self._open.pop()
+            self._count[top.tag] -= 1
+            if top.tag == name:
+                break
+        if self._link > len(self._open):
+            self._link = 0
 
     def handle_starttag(self, tag, attrs):
         self._tags += 1
         if tag == "br":
             self._text.append(" ")
-        if tag in VOID:
-            if tag == "hr":
-                self._flush()
-            return
+        if tag == "a":
+            self._link = len(self._open) if any(name == "href" for name, _ in attrs) else 0
         block, hidden = tag in BLOCK, tag in HIDDEN
         if block:
+            while self._open[-1].tag in SHORT:
+                self._pop(self._open[-1].tag)
             self._flush()
-            self._pop_paragraph()
-        if tag in ("body", "html"):
-            self._pop("head")
+            if self._open[-1].tag == "p":
+                self._pop("p")
+        if tag in VOID or tag == "html":
+            return
+        words, unseen = _marks(attrs) if attrs else ((), False)
+        top = self._open[-1]
+        outside = not top.article
+        marked = bool(words) and (not MARKS.isdisjoint(words) or outside and not OUTER_MARKS.isdisjoint(words)) and tag not in ("main", "body")
+        boiler = unseen or marked or tag in BOILERPLATE or tag == "header" and outside
+        menu = tag in MENUS or bool(words) and not MENU_MARKS.isdisjoint(words) and tag not in ("main", "body")
+        if not (block or hidden or boiler or menu):
             return
-        inside = any(e[0] in CONTAINERS for e in self._open)
-        marked = _marked(attrs)
-        boiler = tag in BOILERPLATE or tag == "header" and not inside or marked and tag not in CONTAINERS[1:]
-        if block or hidden or marked:
-            container = None
-            if tag in CONTAINERS or block and tag in ("div", "section", "td") and not inside:
-                self._number += 1
-                container = (1 if tag in CONTAINERS else 0, self._number)
-            self._open.append((tag, boiler, hidden, container))
-
-    def _pop_paragraph(self) -> None:
-        """An open paragraph ends where a block begins."""
-        if self._open and self._open[-1][0] == "p":
-            self._open.pop()
+        group, article = top.group, top.article
+        if tag in GROUPS:
+            self._groups += 1
+            if tag in LISTS:
+                self.parent[self._groups] = group
+            group = self._groups
+        if tag in ARTICLES and outside:
+            self._articles += 1
+            article = self._articles
+        self._open.append(_Open(tag, top.boiler or boiler, top.hidden or hidden or unseen, top.menu or menu, article, group))
+        self._count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self._tags += 1
@@ -115,26 +155,33 @@ class PageLines(HTMLParser):
 
     def handle_endtag(self, tag):
         self._tags += 1
+        if tag == "a":
+            self._link = 0
         if tag in BLOCK:
             self._flush()
         self._pop(tag)
 
     def handle_data(self, data):
-        if not any(e[2] for e in self._open):
+        top = self._open[-1]
+        if not top.hidden:
             self._text.append(data)
+            if self._link or top.menu:
+                self._linked += len(data)
 
     def close(self):
         super().close()
         self._flush()
 
 
-def text_to_tag(lines, sigma: float = 1.5) -> tuple[np.ndarray, float]:
-    """Smoothed text-to-tag ratio per line and the threshold between its two clusters (by intermeans)."""
-    ratio = np.array([0.0 if boiler else len(text) / max(1, tags) for text, tags, boiler, _ in lines])
+def text_to_tag(lines, sigma: float = 1.5) -> tuple[np.ndarray, np.ndarray, float]:
+    """Logarithms of the text-to-tag ratio per line, smoothed and plain, and the threshold between the two clusters
+    of the smoothed ones (by intermeans)."""
+    ratio = np.array([(len(text) - linked) / max(1, tags) for text, linked, tags, _, _ in lines])
     reach = int(3 * sigma) + 1
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    level = np.log1p(np.convolve(ratio, kernel / kernel.sum(), mode="full")[reach : reach + len(ratio)])
-    cut = level.sum() / len(level)
+    spread = lambda x: np.convolve(x, kernel, mode="full")[reach : reach + len(x)]
+    level = np.log1p(spread(ratio) / spread(np.ones(len(ratio))))
+    cut = level.mean()
     order = np.sort(level)
     sums = np.concatenate(([0.0], np.cumsum(order)))
     for _ in range(20):
@@ -145,7 +192,34 @@ def text_to_tag(lines, sigma: float = 1.5) -> tuple[np.ndarray, float]:
         if new == cut:
             break
         cut = new
-    return level, min(cut, 0.5 * level.max())
+    return level, np.log1p(ratio), min(cut, 0.5 * level.max())
+
+
+def chosen_lines(lines, parent: dict[int, int], level: np.ndarray, plain: np.ndarray, cut: float) -> np.ndarray:
+    """Flags of the lines whose group's text lies above the threshold for the greater part.
+
+    Smoothing would carry an article's text over its border: where one article holds most of the text above, a line
+    outside it counts only if its plain ratio reaches the mean of the article's.
+    """
+    size = np.array([len(line[0]) for line in lines])
+    linked = np.array([line[1] for line in lines])
+    own = np.array([line[3] for line in lines])
+    article = np.array([line[4] for line in lines])
+    n = int(own.max()) + 1
+    total, links = np.bincount(own, size, n), np.bincount(own, linked, n)
+    # A list of links is judged by itself, any other list with what is around it.
+    up = np.arange(n)
+    for group in sorted(parent):
+        if group < n and links[group] <= 0.5 * total[group]:
+            up[group] = up[parent[group]]
+    own = up[own]
+    above = (level >= cut) & (level > 0)
+    by_article = np.bincount(article, size * above)
+    best = int(by_article.argmax())
+    if best and by_article[best] >= 0.5 * by_article.sum():
+        above &= (article == best) | (plain >= plain[above & (article == best)].mean())
+    mass = np.bincount(own, size * above, n)
+    return ((mass > 0) & (mass >= 0.5 * np.bincount(own, size, n)))[own]
 
 
 def main_text(html: str | None) -> str:
@@ -157,22 +231,27 @@ def main_text(html: str | None) -> str:
     page.close()
     if not page.lines:
         return ""
-    level, cut = text_to_tag(page.lines)
-    good = [i for i, line in enumerate(page.lines) if level[i] >= cut and not line[2]]
-    best = max((page.lines[i][3][0] for i in good), default=0)
-    chosen = {page.lines[i][3] for i in good if page.lines[i][3][0] == best}
-    return "\n\n".join(text for text, _, boiler, container in page.lines if not boiler and container in chosen)
+    keep = chosen_lines(page.lines, page.parent, *text_to_tag(page.lines))
+    return "\n\n".join(line[0] for line, on in zip(page.lines, keep.tolist()) if on)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """``keep`` columns, text and n_chars of every page. Repeated rows are extracted once each."""
+    """``keep`` columns, text and n_chars of every page.
+
+    Null and empty pages, and pages without text, have an empty text. Very long pages are read whole, in time that
+    grows with their length. Repeated rows are extracted once each, rows with one text alike; columns that are not
+    kept are ignored, whatever their names; an empty table gives an empty one.
+    """
 
+    @frugal
     def run(batches):
         for batch in batches:
             texts = [main_text(h) for h in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"]
+                [*batch.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "_text", "_chars"]
             )
 
-    schema = "".join(f"`{k}` {pages.schema[k].dataType.simpleString()}, " for k in keep) + "text string, n_chars bigint"
-    return pages.select(F.col(html_col).alias("_html"), *keep).mapInArrow(run, schema)
+    names = [f"_{i}" for i in range(len(keep))]
+    schema = StructType([StructField(n, pages.schema[k].dataType) for n, k in zip(names, keep)] + [StructField("_text", StringType()), StructField("_chars", LongType())])
+    made = pages.select(col(html_col).alias("_html"), *[col(k).alias(n) for n, k in zip(names, keep)]).mapInArrow(run, schema)
+    return made.toDF(*keep, "text", "n_chars")
