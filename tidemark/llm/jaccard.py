@@ -6,8 +6,8 @@ two sets of that similarity share a shingle among the first ``n - ceil(4n/5) + 1
 ``k`` of them among the first ``n - ceil(4n/5) + k``. The second form, in the order of a hash, leaves out most texts
 at once; the first, in the order of the number of sets that hold a shingle (rarest first), makes cells of the others.
 Every link is verified on the whole sets. Each set of a cell is verified against the cell's least one; cells that
-this makes one class are settled, in the others all pairs of different classes are verified where they meet. Only
-links leave a task, never all pairs.
+this makes one class are settled; the others are cut in blocks, and the pairs of different classes of two blocks are
+verified where they meet. Only links leave a task, never all pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ NUM, DEN = 4, 5
 BLOCK_BITS = 10
 #: A text's shingles are looked at first in a prefix longer by this part of them.
 EXTRA = 6
+#: Sets of a cell, or partners of a set, that go to one task together.
+BLOCK = 256
 #: Texts whose shingles are dealt out at once.
 TEXTS_AT_ONCE = 1024
 
@@ -166,39 +168,44 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, shingl
     def run(batches):
         for batch in batches:
             sets = [_set_of(t, shingle) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["name", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["name", "hashes"])
 
     rows = docs.select(col(id_col).alias("id"), col(text_col).cast("binary").alias("text"), simhash.text_key(text_col).alias("th"))
     same = F.expr("d.id <=> w.id AND d.th = w.th")
     picked = rows.alias("d").join(checked_broadcast(wanted.select("id", "th")).alias("w"), same, "left_semi")
-    return picked.select("text").mapInArrow(run, "name bigint, hashes binary").dropDuplicates(["name"])
+    return picked.select("text").mapInArrow(run, "name bigint, hashes array<bigint>").dropDuplicates(["name"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    @frugal
-    def run(batches):
-        for batch in batches:
-            a, b = (batch.column(k).to_pylist() for k in (2, 3))
-            yield batch.select(["u", "v"]).filter(pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)], pa.bool_()))
+    """The pairs (u, v) of similar sets. A set that stands in very many pairs is dealt out with parts of them."""
+    counted = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    one = sets.join(counted, sets["name"] == counted["u"]).select("u", F.col("hashes").alias("a"), "parts", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
+    two = pairs.join(sets, pairs["v"] == sets["name"]).join(counted, "u").select("u", "v", F.col("hashes").alias("b"), F.pmod(F.xxhash64("v"), F.col("parts")).alias("part"))
+    shared = F.size(F.array_intersect("a", "b"))
+    return two.join(one, ["u", "part"]).where(shared * (NUM + DEN) >= NUM * (F.size("a") + F.size("b"))).select("u", "v")
 
-    one = sets.select(F.col("name").alias("u"), F.col("hashes").alias("a"))
-    two = sets.select(F.col("name").alias("v"), F.col("hashes").alias("b"))
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
+def _rest(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): the similar pairs of different classes that meet in a cell. ``named``: (key, name, root).
 
-def _rest(cells: DataFrame) -> DataFrame:
-    """(key, name, root, hashes) to the verified links between different classes of a cell."""
+    Cells of the same members are looked at once. A cell is cut in blocks, and each pair of blocks is one group.
+    """
+    marks_ = [F.bit_xor(F.xxhash64("name", F.lit(k))).alias(f"mark_{k}") for k in (1, 2)]
+    open_cells = named.groupBy("key").agg((F.min("root") < F.max("root")).alias("open"), F.count("*").alias("k"), *marks_).where("open")
+    open_cells = open_cells.groupBy("k", "mark_1", "mark_2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("k") / BLOCK).alias("blocks"))
+    members = named.join(open_cells, "key").withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")))
+    members = members.select("key", "name", "root", "block", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    group = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    rows = members.select(group.alias("group"), "block", (F.col("block") == F.col("other")).alias("own"), "name", "root").join(sets, "name")
 
     def walk(rows):
         forest = simhash._Forest()
-        rows = sorted(rows, key=lambda r: len(r[2]))
-        sets = [np.frombuffer(h, np.uint64) for _, _, h in rows]
-        for i, (u, a, _) in enumerate(rows):
-            for j in range(i + 1, len(rows)):
-                if len(sets[i]) * DEN < len(sets[j]) * NUM:
+        rows = sorted(rows, key=lambda r: len(r[4]))
+        for i, (block, own, u, a, x) in enumerate(rows):
+            for other, _, v, b, y in rows[i + 1 :]:
+                if len(x) * DEN < len(y) * NUM:
                     break
-                v, b, _ = rows[j]
-                if forest.find(a) != forest.find(b) and similar(sets[i], sets[j]):
+                if (own or block != other) and forest.find(a) != forest.find(b) and similar(x, y):
                     forest.link(a, b)
                     yield u, v
 
@@ -211,15 +218,16 @@ def _rest(cells: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
         for batch in batches:
-            for key, *row in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if key != now:
+            ends, flat = np.asarray(batch.column(5).offsets), batch.column(5).values.to_numpy()
+            for i, (group, *row) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)))):
+                if group != now:
                     yield done()
-                    now, rows = key, []
-                rows.append(row)
+                    now, rows = group, []
+                rows.append((*row, flat[ends[i] : ends[i + 1]].copy()))
         yield done()
 
-    placed = cells.repartition(shuffle_partitions(cells.sparkSession), "key").sortWithinPartitions("key")
-    return placed.mapInArrow(run, "u bigint, v bigint")
+    placed = rows.select("group", "block", "own", "name", "root", "hashes").repartition(shuffle_partitions(named.sparkSession), "group")
+    return placed.sortWithinPartitions("group").mapInArrow(run, "u bigint, v bigint")
 
 
 def links(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -239,13 +247,11 @@ def links(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str, shingl
     nodes = promising.union(close.select("u")).union(close.select("v")).distinct()
     sets = materialise(_sets(docs, firsts.join(nodes, "name"), id_col, text_col, shingle), "sets")
     own = sets.join(promising, "name", "left_semi").select("hashes")
-    shared = _shared_shingles(own, lambda rows: [np.frombuffer(h, np.uint64) for h in rows], lambda n, m: m)
+    shared = _shared_shingles(own, lambda rows: [np.array(h, np.int64).view(np.uint64) for h in rows], lambda n, m: m)
     cells = materialise(_cells(firsts.select("name", "n", "m"), shared), "cells")
     least = cells.groupBy("key").agg(F.min("name").alias("u"), F.count("*").alias("k")).where("k > 1")
     pairs = cells.join(least, "key").where("name <> u").select("u", F.col("name").alias("v"))
     first = materialise(_verified(pairs.union(close).distinct(), sets), "verified")
     roots = connected_components(first)
     named = cells.join(roots, cells["name"] == roots["node"], "left").select("key", "name", F.coalesce("root", "name").alias("root"))
-    named = materialise(named, "named")
-    open_cells = named.groupBy("key").agg((F.min("root") < F.max("root")).alias("open")).where("open").select("key")
-    return first.union(_rest(named.join(open_cells, "key").join(sets, "name").select("key", "name", "root", "hashes")))
+    return first.union(_rest(materialise(named, "named"), sets))

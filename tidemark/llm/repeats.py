@@ -9,8 +9,8 @@ and left-character arrays over the spans it holds and scans the LCP intervals wi
 whose suffixes are preceded by different bytes (or begin a span) is a maximal repeat and is put out with
 all its occurrences.
 
-An anchor that very many spans share is refined: its windows get the longest anchor there is, the window
-itself, are counted like the other anchors, and those that occur twice or more go through the same arrays.
+An anchor that very many spans share is refined: its windows get longer anchors, in the end the longest there is,
+the window itself; these are counted like the others, and those that occur twice or more go through the same arrays.
 Before the shuffle equal spans of a batch are put out as repeats of the earliest, which alone travels on.
 Parts of a passage that is longer than a span are joined again by ``passages``.
 """
@@ -30,12 +30,14 @@ from tidemark.llm.common import col, frugal, is_integral, materialise, shuffle_p
 
 #: Bytes of an anchor.
 K = 24
-#: Spans from which on an anchor's windows get anchors of their own.
+#: Spans from which on an anchor's windows get longer anchors.
 REFINE_FROM = 2000
 #: Bytes of spans a task sorts at a time (whole anchors, so a little more).
 CHUNK = 1 << 19
 #: Bytes of text, spans and anchor rows that are looked at in one step.
 STEP_BYTES, STEP_SPANS, STEP_ROWS = 1 << 18, 10_000, 1_000_000
+#: Spans among which equal ones are looked for before the shuffle (those of whole texts, so a little more).
+SETTLE_SPANS = 300_000
 _ODD = 0x9E3779B97F4A7C15
 _SHIFT = 7  # a span is coded as first window << _SHIFT | number of windows
 
@@ -66,16 +68,16 @@ def _rolling(buf: np.ndarray, k: int) -> np.ndarray:
     return _mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
 
-def spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_bytes: int):
+def spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_bytes: int, k: int = K):
     """Of several adjacent texts in one buffer: (text, anchor hash, first window within the text, number of windows)."""
     n = len(buf)
     none = np.zeros(0, np.int64)
     if n < min_bytes:
         return none, none, none, none
-    grams = _rolling(buf, K)
+    grams = _rolling(buf, k)
     # The least hash in each window and its leftmost place, as one number.
     best = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-    width = min_bytes - K + 1
+    width = min_bytes - k + 1
     step = 1
     while step * 2 <= width:
         best = np.minimum(best[:-step], best[step:])
@@ -272,8 +274,9 @@ class RepeatFinder:
     """
 
     def __init__(self, texts: DataFrame, min_bytes: int = 100):
-        if not K < min_bytes <= K + 127:
-            raise ValueError("min_bytes must be above the anchor's length and at most 127 above it")
+        # A span's windows, at most min_bytes - K + 1, are counted in seven bits.
+        if not 2 * K < min_bytes <= K + 127:
+            raise ValueError("min_bytes must be above twice the anchor's length and at most 127 above it")
         self.n = shuffle_partitions(texts.sparkSession)
         self.texts, self.min_bytes = texts, min_bytes
 
@@ -298,27 +301,26 @@ class RepeatFinder:
 
         return self._repeated(self.texts, anchors)
 
-    def _window_anchors(self, refined: DataFrame) -> DataFrame:
-        """(doc, h, code) of single windows that occur more than once, among the windows of ``refined`` spans."""
+    def _refined(self, shared: DataFrame, k: int) -> DataFrame:
+        """(doc, h, code): the windows of the ``shared`` spans under anchors of ``k`` bytes, where these occur twice."""
         least = self.min_bytes
-        lists = refined.groupBy("doc").agg(F.collect_list("code").alias("codes"))
+        lists = shared.groupBy("doc").agg(F.collect_list("code").alias("codes"))
+        level = np.int64(k << 48)
 
-        def windows(batches):
+        def anchors(batches):
             for batch in batches:
                 offsets, data = _binary(batch.column(1))
                 docs = batch.column(0).to_numpy()
                 sizes, codes = _lists(batch.column(2))
                 owner = np.repeat(np.arange(len(docs)), sizes)
-                first, count = codes >> _SHIFT, codes & ((1 << _SHIFT) - 1)
-                for i, j in _steps(count, STEP_SPANS):
-                    size = count[i:j] + least - 1
-                    body = _gather(data, offsets[owner[i:j]] + first[i:j], size)
-                    start = np.cumsum(size) - size
-                    pick = np.arange(count[i:j].sum()) + np.repeat(start - (np.cumsum(count[i:j]) - count[i:j]), count[i:j])
-                    at = np.repeat(first[i:j] - start, count[i:j]) + pick
-                    yield np.repeat(docs[owner[i:j]], count[i:j]), _rolling(body, least)[pick].view(np.int64), (at << _SHIFT) | 1
+                first, size = codes >> _SHIFT, (codes & ((1 << _SHIFT) - 1)) + least - 1
+                for i in range(0, len(codes), STEP_SPANS // 8):
+                    own, at, n = owner[i : i + STEP_SPANS // 8], first[i : i + STEP_SPANS // 8], size[i : i + STEP_SPANS // 8]
+                    ends = np.cumsum(n)
+                    who, h, begin, count = spans(_gather(data, offsets[own] + at, n), ends - n, ends, least, k)
+                    yield docs[own[who]], h ^ level, ((at[who] + begin) << _SHIFT) | count
 
-        return self._repeated(self.texts.join(lists, "doc").select("doc", "data", "codes"), windows)
+        return self._repeated(self.texts.join(lists, "doc").select("doc", "data", "codes"), anchors)
 
     def _repeated(self, rows: DataFrame, anchors) -> DataFrame:
         """(doc, h, code) of what ``anchors`` finds in the rows, less the anchors that occur once."""
@@ -388,11 +390,13 @@ class RepeatFinder:
         """(key, body, doc, pos) of the earliest of equal spans of a batch; the others as pairs with it."""
         least = self.min_bytes
         found = materialise(self._anchors(), "anchors")
-        shared = found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > REFINE_FROM).select("h")
-        shared = materialise(shared, "shared_anchors")
-        if shared.limit(1).count():
-            windows = self._window_anchors(found.join(shared, "h", "left_semi"))
-            found = found.join(shared, "h", "left_anti").select("doc", "h", "code").unionByName(materialise(windows, "windows"))
+        for k in (least - K, least):
+            shared = found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > REFINE_FROM).select("h")
+            shared = materialise(shared, "shared_anchors")
+            if not shared.limit(1).count():
+                break
+            finer = materialise(self._refined(found.join(shared, "h", "left_semi"), k), "finer_anchors")
+            found = found.join(shared, "h", "left_anti").select("doc", "h", "code").unionByName(finer)
         lists = found.groupBy("doc").agg(F.collect_list(F.struct("h", "code")).alias("s")).select("doc", "s.h", "s.code")
 
         @frugal
@@ -400,29 +404,34 @@ class RepeatFinder:
             for batch in batches:
                 offsets, data = _binary(batch.column(1))
                 docs = batch.column(0).to_numpy()
-                sizes, key = _lists(batch.column(2))
-                code = _lists(batch.column(3))[1]
-                owner = np.repeat(np.arange(len(docs)), sizes)
-                at = code >> _SHIFT
-                size = (code & ((1 << _SHIFT) - 1)) + least - 1
-                start, doc = offsets[owner] + at, docs[owner]
-                mark = np.concatenate([_marks(data, start[i : i + STEP_SPANS], size[i : i + STEP_SPANS]) for i in range(0, len(key), STEP_SPANS)])
-                order = np.lexsort((at, doc, size, mark, key))
-                key, doc, at, size, start, mark = (x[order] for x in (key, doc, at, size, start, mark))
-                alike = np.concatenate(([False], (key[1:] == key[:-1]) & (size[1:] == size[:-1]) & (mark[1:] == mark[:-1])))
-                head = np.maximum.accumulate(np.where(alike, 0, np.arange(len(key))))
-                # The bytes decide, not the hash.
-                for late in _parts(np.flatnonzero(alike)):
-                    differs = _gather(data, start[late], size[late]) != _gather(data, start[head[late]], size[late])
-                    alike[late] = ~np.logical_or.reduceat(differs, np.cumsum(size[late]) - size[late])
-                for lone in _parts(np.flatnonzero(~alike)):
-                    ends = pa.py_buffer(np.concatenate(([0], np.cumsum(size[lone]))).astype(np.int32))
-                    body = pa.Array.from_buffers(pa.binary(), len(lone), [None, ends, pa.py_buffer(_gather(data, start[lone], size[lone]))])
-                    nulls = pa.nulls(len(lone), pa.int64())
-                    yield _batch([key[lone], body, doc[lone], at[lone], nulls, nulls, size[lone]], _SPAN)
-                for late in _parts(np.flatnonzero(alike)):
-                    first = head[late]
-                    yield _batch([doc[late], pa.nulls(len(late), pa.binary()), doc[first], at[first], doc[late], at[late], size[late]], _SPAN)
+                sizes, keys = _lists(batch.column(2))
+                codes = _lists(batch.column(3))[1]
+                upto = np.concatenate(([0], np.cumsum(sizes)))
+                for i, j in _steps(sizes, SETTLE_SPANS):
+                    owner = np.repeat(np.arange(i, j), sizes[i:j])
+                    yield from settle(data, offsets[owner], docs[owner], keys[upto[i] : upto[j]], codes[upto[i] : upto[j]])
+
+        def settle(data, offset, doc, key, code):
+            at = code >> _SHIFT
+            size = (code & ((1 << _SHIFT) - 1)) + least - 1
+            start = offset + at
+            mark = np.concatenate([_marks(data, start[i : i + STEP_SPANS], size[i : i + STEP_SPANS]) for i in range(0, len(key), STEP_SPANS)])
+            order = np.lexsort((at, doc, size, mark, key))
+            key, doc, at, size, start, mark = (x[order] for x in (key, doc, at, size, start, mark))
+            alike = np.concatenate(([False], (key[1:] == key[:-1]) & (size[1:] == size[:-1]) & (mark[1:] == mark[:-1])))
+            head = np.maximum.accumulate(np.where(alike, 0, np.arange(len(key))))
+            # The bytes decide, not the hash.
+            for late in _parts(np.flatnonzero(alike)):
+                differs = _gather(data, start[late], size[late]) != _gather(data, start[head[late]], size[late])
+                alike[late] = ~np.logical_or.reduceat(differs, np.cumsum(size[late]) - size[late])
+            for lone in _parts(np.flatnonzero(~alike)):
+                ends = pa.py_buffer(np.concatenate(([0], np.cumsum(size[lone]))).astype(np.int32))
+                body = pa.Array.from_buffers(pa.binary(), len(lone), [None, ends, pa.py_buffer(_gather(data, start[lone], size[lone]))])
+                nulls = pa.nulls(len(lone), pa.int64())
+                yield _batch([key[lone], body, doc[lone], at[lone], nulls, nulls, size[lone]], _SPAN)
+            for late in _parts(np.flatnonzero(alike)):
+                first = head[late]
+                yield _batch([doc[late], pa.nulls(len(late), pa.binary()), doc[first], at[first], doc[late], at[late], size[late]], _SPAN)
 
         return self.texts.join(lists, "doc").select("doc", "data", "h", "code").mapInArrow(cut, _SPAN)
 
