@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import col, frugal, holdout_bucket
+
 #: Byte -> space for everything that is not a letter, digit or part of a multi-byte character.
 _SPLIT = bytes(i if chr(i).isalnum() and i < 128 or i >= 128 else 32 for i in range(256))
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _TABLE = bytes(_LOWER[_SPLIT[i]] for i in range(256))
 #: Words a task remembers the hashed slot of.
-CACHE = 500_000
+CACHE = 200_000
 
 
 #: Bytes of the word beginnings that are features beside the word itself.
@@ -122,6 +124,7 @@ class Sample:
 def collect_features(df: DataFrame, text_col: str, keep: list[str], size: int) -> Sample:
     """The features of a bounded sample, computed on the executors."""
 
+    @frugal
     def run(batches):
         slots = Slots(size)
         for batch in batches:
@@ -140,7 +143,7 @@ def collect_features(df: DataFrame, text_col: str, keep: list[str], size: int) -
 
     schema = "slots array<int>, values array<float>, shape array<double>, "
     schema += ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keep)
-    rows = df.select(F.col(text_col).cast("binary").alias("text"), *keep).mapInArrow(run, schema).toPandas()
+    rows = df.select(col(text_col).cast("binary").alias("text"), *keep).mapInArrow(run, schema).toPandas()
     rows = rows.sort_values(keep, kind="stable", ignore_index=True)
     shape = np.array(rows["shape"].tolist(), float).reshape(-1, N_SHAPE)
     return Sample([np.asarray(s, np.int32) for s in rows["slots"]], [np.asarray(v, np.float32) for v in rows["values"]], shape, rows[keep])
@@ -148,10 +151,9 @@ def collect_features(df: DataFrame, text_col: str, keep: list[str], size: int) -
 
 def score_rows(docs: DataFrame, id_col: str, text_col: str, size: int, link, fields: str, bucket_mod: int) -> DataFrame:
     """(id, bucket, *fields): ``link(row, slot, value, shape) -> arrays`` applied to every whole text."""
-    from tidemark.llm.common import holdout_bucket
-
     names = [f.split()[0] for f in fields.split(", ")]
 
+    @frugal
     def run(batches):
         slots = Slots(size)
         for batch in batches:
@@ -161,6 +163,6 @@ def score_rows(docs: DataFrame, id_col: str, text_col: str, size: int, link, fie
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(
-        F.col(id_col).alias("id"), holdout_bucket(id_col, bucket_mod).cast("int").alias("bucket"), F.col(text_col).cast("binary").alias("text")
+        col(id_col).alias("id"), holdout_bucket(id_col, bucket_mod).cast("int").alias("bucket"), col(text_col).cast("binary").alias("text")
     )
     return source.mapInArrow(run, f"id {kind}, bucket int, {fields}")
