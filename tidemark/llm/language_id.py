@@ -1,10 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-A text is read whole. The network runs over the bytes of each chunk between white space, forward and
-backward, and gives every position a distribution over the languages from both states; a document's
-distribution is the mean over all its positions. As the states start anew at each chunk, equal chunks
-of a batch get equal labels and pass through the network once. Training is backpropagation through time
-on the chunks of windows from a bounded labelled sample.
+A text is read whole. The network runs over its bytes forward and backward and gives every position a distribution
+over the languages from both states; a document's distribution is the mean over all its positions. A text longer
+than a window is read in windows that overlap by ``CONTEXT`` bytes on either side, within which the states settle;
+the positions there are counted once, in the window that sees them from further in. Training is backpropagation
+through time on stretches drawn from anywhere in the whole texts of a bounded labelled sample.
 """
 
 from __future__ import annotations
@@ -17,19 +17,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import holdout_bucket
+from tidemark.llm.common import col, frugal, holdout_bucket
 
-#: Bytes of a training window, and of a piece of a chunk that is longer.
-WINDOW = 64
-HIDDEN = 8
-#: Bounds of what the network is trained on: documents of each language, windows of a document.
-DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 500, 4
+#: Bytes of a window and of what it shares with its neighbours on either side.
+WINDOW, CONTEXT = 1024, 64
+#: Bytes of a training stretch.
+STRETCH = 96
+HIDDEN = 12
+#: Bounds of the labelled rows the network is fitted on: documents of each language, bytes of a document that may be one of them.
+DOCS_PER_LANGUAGE, LONGEST_TRAIN = 200, 1 << 20
 HELD_OUT_MOD, HELD_OUT = 4, 2
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def _sig(x):
-    return 0.5 * (1 + np.tanh(0.5 * x))
+def _gate(x):
+    """The hard sigmoid, which has the logistic function's value and slope at zero."""
+    return np.clip(0.25 * x + 0.5, 0, 1)
 
 
 class ByteGRU:
@@ -50,7 +53,7 @@ class ByteGRU:
         out = np.empty((*x.shape, h_n), np.float32)
         for t in range(len(x)):
             a, g = table[x[t]], h @ u
-            zr = _sig(a[:, : 2 * h_n] + g[:, : 2 * h_n])
+            zr = _gate(a[:, : 2 * h_n] + g[:, : 2 * h_n])
             z, r = zr[:, :h_n], zr[:, h_n:]
             n = np.tanh(a[:, 2 * h_n :] + r * g[:, 2 * h_n :])
             if keep is not None:
@@ -61,32 +64,40 @@ class ByteGRU:
 
     def _back(self, x, d: str, kept, grad_out) -> dict[str, np.ndarray]:
         h_n, u = self.hidden, self.p["U" + d]
-        g_e, g_u = np.zeros_like(self.p["E" + d]), np.zeros_like(u)
+        g_u = np.zeros_like(u)
         carry = np.zeros_like(grad_out[0])
+        inputs = np.empty((*x.shape, 3 * h_n), np.float32)
         for t in range(len(x) - 1, -1, -1):
             h, z, r, n, g = kept[t]
             dh = grad_out[t] + carry
             dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * g * r * (1 - r)
+            dz = dh * (h - n) * 0.25 * ((z > 0) & (z < 1))
+            dr = dn * g * 0.25 * ((r > 0) & (r < 1))
             d_in = np.concatenate((dz, dr, dn), axis=1)
             d_rec = np.concatenate((dz, dr, dn * r), axis=1)
-            np.add.at(g_e, x[t], d_in)
+            inputs[t] = d_in
             g_u += h.T @ d_rec
             carry = dh * z + d_rec @ u.T
+        g_e = np.zeros_like(self.p["E" + d])
+        order = np.argsort(x, axis=None, kind="stable")
+        byte = x.ravel()[order]
+        starts = np.flatnonzero(np.concatenate(([True], byte[1:] != byte[:-1])))
+        g_e[byte[starts]] = np.add.reduceat(inputs.reshape(-1, 3 * h_n)[order], starts)
         return {"E" + d: g_e, "U" + d: g_u}
 
-    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
+    def _states(self, x: np.ndarray, d: str, begin: np.ndarray) -> np.ndarray:
         """States (steps, hidden, batch) for prediction: in place, a feature's batch being contiguous.
 
-        The gates are written with tanh, whose halves are folded into the tables.
+        A sequence starts at step ``begin``; what lies before it leaves no state. The gates' slope and offset are
+        folded into the tables.
         """
-        n, u = self.hidden, self.p["U" + d].copy()
-        table = self.p["E" + d].copy()
-        table[:, : 2 * n] *= 0.5
-        u *= 0.5
-        table, u = np.ascontiguousarray(table.T), np.ascontiguousarray(u.T)
+        n, u = self.hidden, self.p["U" + d].T.copy()
+        table = self.p["E" + d].T.copy()
+        u[: 2 * n] *= 0.25
+        table[: 2 * n] *= 0.25
+        table[: 2 * n] += 0.5
         steps, batch = x.shape
+        last = int(begin.max())
         out = np.empty((steps, n, batch), np.float32)
         h, a, g = np.zeros((n, batch), np.float32), np.empty((3 * n, batch), np.float32), np.empty((3 * n, batch), np.float32)
         gates, z, r, new = a[: 2 * n], a[:n], a[n : 2 * n], a[2 * n :]
@@ -94,149 +105,141 @@ class ByteGRU:
             np.take(table, x[t], axis=1, out=a, mode="clip")
             np.matmul(u, h, out=g)
             gates += g[: 2 * n]
-            np.tanh(gates, out=gates)
-            r += 1
+            np.clip(gates, 0, 1, out=gates)
             r *= g[2 * n :]
             new += r
             np.tanh(new, out=new)
             h -= new
-            z += 1
-            z *= 0.5
             h *= z
             h += new
+            if t < last:
+                h *= begin <= t
             out[t] = h
         return out
 
-    def position_sums(self, x: np.ndarray) -> np.ndarray:
-        """(steps, batch) bytes to (batch, languages): the sum of the distributions of all positions."""
+    def position_sums(self, x: np.ndarray, size: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """(steps, batch) bytes, ``size`` of each sequence being its own, to (batch, languages): the sum of the
+        distributions of its positions low .. high."""
         n, w = self.hidden, np.ascontiguousarray(self.p["W"].T)
-        forward, backward = self._states(x, "f"), self._states(x[::-1], "b")[::-1]
+        forward, backward = self._states(x, "f", np.zeros(len(size), np.int64)), self._states(x[::-1], "b", len(x) - size)[::-1]
         total = np.zeros((w.shape[0], x.shape[1]), np.float32)
-        for t in range(len(x)):
-            p = w[:, :n] @ forward[t]
-            p += w[:, n:] @ backward[t]
+        at = np.arange(len(x))[:, None]
+        counted = (low <= at) & (at < high)
+        for t in range(0, len(x), 64):
+            p = np.matmul(w[:, :n], forward[t : t + 64])
+            p += np.matmul(w[:, n:], backward[t : t + 64])
             p += self.p["c"][:, None]
-            p -= p.max(axis=0)
+            p -= p.max(axis=1, keepdims=True)
             np.exp(p, out=p)
-            p /= p.sum(axis=0)
-            total += p
+            p *= (counted[t : t + 64] / p.sum(axis=1))[:, None, :]
+            total += p.sum(axis=0)
         return total.T
 
-    def fit(self, words: list[bytes], label: np.ndarray, steps: int = 350, batch: int = 256, rate: float = 0.02, seed: int = 5):
-        """Cross entropy at every position, by Adam; a step draws chunks of one length, each language as often as the others."""
-        if len(self.languages) < 2 or not words:
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy at all positions of (steps, batch) bytes, y being a language for each of the batch."""
+        kept_f, kept_b = [], []
+        states = np.concatenate((self._pass(x, "f", kept_f), self._pass(x[::-1], "b", kept_b)[::-1]), axis=2)
+        logits = states @ self.p["W"] + self.p["c"]
+        prob = np.exp(logits - logits.max(axis=2, keepdims=True))
+        prob /= prob.sum(axis=2, keepdims=True)
+        prob[:, np.arange(len(y)), y] -= 1
+        prob /= x.size
+        back = prob @ self.p["W"].T
+        grad = {"W": np.einsum("tbh,tbc->hc", states, prob), "c": prob.sum(axis=(0, 1))}
+        grad |= self._back(x, "f", kept_f, back[:, :, : self.hidden])
+        return grad | self._back(x[::-1], "b", kept_b, back[::-1, :, self.hidden :])
+
+    def fit(self, texts: list[bytes], label: np.ndarray, steps: int = 300, batch: int = 128, rate: float = 0.02, seed: int = 5):
+        """Adam on stretches of the texts, each language and each of its texts as often as the others.
+
+        A stretch begins anywhere in its text; texts shorter than a stretch are followed by spaces.
+        """
+        if len(self.languages) < 2 or not texts:
             return self
         rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        sizes = np.array([len(w) for w in words])
-        lengths, count = np.unique(sizes, return_counts=True)
-        weight = lengths * count / (lengths * count).sum()
-        groups = {n: np.flatnonzero(sizes == n) for n in lengths.tolist()}
+        padded = [t + b" " * max(0, STRETCH - len(t)) for t in texts]
+        begin = np.cumsum([0] + [len(t) for t in padded])
+        data, room = np.frombuffer(b"".join(padded), np.uint8), np.diff(begin) - STRETCH
+        by = [b for i in range(len(self.languages)) if len(b := np.flatnonzero(label == i))]
         for step in range(1, steps + 1):
-            own = groups[int(rng.choice(lengths, p=weight))]
-            by = [b for i in range(len(self.languages)) if len(b := own[label[own] == i])]
             pick = np.concatenate([rng.choice(b, -(-batch // len(by))) for b in by])
-            xs = np.ascontiguousarray(np.frombuffer(b"".join(words[i] for i in pick), np.uint8).reshape(len(pick), -1).T)
-            y, mask = label[pick], np.ones(xs.shape, bool)
-            kept_f, kept_b = [], []
-            states = np.concatenate((self._pass(xs, "f", kept_f), self._pass(xs[::-1], "b", kept_b)[::-1]), axis=2)
-            logits = states @ self.p["W"] + self.p["c"]
-            prob = np.exp(logits - logits.max(axis=2, keepdims=True))
-            prob /= prob.sum(axis=2, keepdims=True)
-            prob[:, np.arange(len(y)), y] -= 1
-            d_logits = prob * (mask / max(1, mask.sum()))[:, :, None].astype(np.float32)
-            d_states = d_logits @ self.p["W"].T
-            grad = {"W": np.einsum("tbh,tbc->hc", states, d_logits), "c": d_logits.sum(axis=(0, 1))}
-            grad |= self._back(xs, "f", kept_f, d_states[:, :, : self.hidden])
-            grad |= self._back(xs[::-1], "b", kept_b, d_states[::-1, :, self.hidden :])
-            for k, g in grad.items():
+            at = begin[pick] + rng.integers(0, room[pick] + 1)
+            for k, g in self.gradients(data[at[None, :] + np.arange(STRETCH)[:, None]], label[pick]).items():
                 np.clip(g, -1, 1, out=g)
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 self.p[k] -= (rate * (1 - step / (steps + 1)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return self
 
-    def document_probabilities(self, texts: pa.Array, at_once: int = 1024) -> np.ndarray:
-        """Mean position distribution of each text, every byte outside white space read."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = split.flatten().dictionary_encode()
-        n, k = len(texts), max(1, len(self.languages))
-        chunks = coded.dictionary.cast(pa.binary())
-        start = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + len(chunks) + 1].astype(np.int64)
-        data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)
-        size = np.diff(start)
-        # Pieces of at most WINDOW bytes: all of a usual chunk, several of a long one.
-        pieces = -(-size // WINDOW)
-        owner = np.repeat(np.arange(len(size)), pieces)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begin = start[owner] + within * WINDOW
-        length = np.minimum(WINDOW, size[owner] - within * WINDOW)
-        sums = np.zeros((len(size), k))
-        for n_bytes in np.unique(length).tolist():
-            rows = np.flatnonzero(length == n_bytes)
-            for i in range(0, len(rows), at_once):
-                part = rows[i : i + at_once]
-                x = data[begin[part][None, :] + np.arange(n_bytes)[:, None]]
-                np.add.at(sums, owner[part], self.position_sums(x))
-        code = coded.indices.to_numpy()
-        doc = np.repeat(np.arange(n), np.diff(np.asarray(split.offsets)))
-        total = np.bincount(doc, size[code], n) if len(code) else np.zeros(n)
-        out = np.stack([np.bincount(doc, sums[code, c], n) if len(code) else np.zeros(n) for c in range(k)], axis=1)
-        return out / np.maximum(1, total)[:, None]
-
-
-def _sample(docs: DataFrame) -> tuple[list[str], list[bytes], np.ndarray]:
-    """Chunks from windows of about ``DOCS_PER_LANGUAGE`` documents of each language, chosen by a hash."""
-    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
+    def document_probabilities(self, texts: pa.Array, at_once: int = 512) -> np.ndarray:
+        """Mean position distribution of each text, every byte read and labelled; zeros for an empty text."""
+        column = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b" ", np.uint8)
+        size = np.diff(offsets)
+        stride = WINDOW - 2 * CONTEXT
+        windows = np.where(size > 0, 1 + np.maximum(0, -(-(size - WINDOW) // stride)), 0)
+        owner = np.repeat(np.arange(len(size)), windows)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+        begin = number * stride
+        length = np.minimum(WINDOW, size[owner] - begin)
+        low = np.where(number > 0, CONTEXT, 0)
+        high = np.where(number + 1 < windows[owner], WINDOW - CONTEXT, length)
+        sums = np.zeros((len(size), max(1, len(self.languages))))
+        # Windows of like length go through together.
+        order = np.argsort(length, kind="stable")
+        for i in range(0, len(order), at_once):
+            part = order[i : i + at_once]
+            at = np.minimum(np.arange(length[part[-1]])[:, None], length[part][None, :] - 1)
+            x = data[(offsets[owner[part]] + begin[part])[None, :] + at]
+            np.add.at(sums, owner[part], self.position_sums(x, length[part], low[part], high[part]))
+        return sums / np.maximum(1, size)[:, None]
+
+
+def train(docs: DataFrame) -> ByteGRU:
+    """Learns from text and language of documents outside the held-out bucket.
+
+    About ``DOCS_PER_LANGUAGE`` documents of each language are drawn by a hash of the id, their whole texts are read.
+    Rows without text, language or (if of over ``LONGEST_TRAIN`` bytes) room are not drawn; repeated rows are drawn
+    together; without rows every text is ``und``.
+    """
+    usable = docs.where(holdout_bucket("doc_id", HELD_OUT_MOD) != HELD_OUT).where("lang is not null and octet_length(text) between 1 and {0}".format(LONGEST_TRAIN))
+    usable = usable.select("doc_id", "text", "lang")
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
-        return [], [], np.zeros(0, np.int64)
+        return ByteGRU([])
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, DOCS_PER_LANGUAGE / counts[k])))])
     draw = (F.xxhash64("doc_id", F.lit(1)).bitwiseAND(F.lit(2**31 - 1)) / float(2**31)) < share[F.col("lang")]
-
-    def cut(batches):
-        for batch in batches:
-            rows, tags = [], []
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                span = max(1, len(text) - WINDOW)
-                for i in range(WINDOWS_PER_DOC if span > 1 else 1):
-                    at = (i * 2654435761 + len(text) * 40503) % span
-                    rows.append(text[at : at + WINDOW])
-                    tags.append(lang)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(tags, pa.string())], ["window", "lang"])
-
-    chosen = docs.where(draw).select(F.col("text").cast("binary").alias("text"), "lang")
-    found = sorted((bytes(r[0]), r[1]) for r in chosen.mapInArrow(cut, "window binary, lang string").collect())
+    found = sorted((bytes(r[0]), r[1]) for r in usable.where(draw).select(F.col("text").cast("binary"), "lang").collect())
     number = {k: i for i, k in enumerate(languages)}
-    words = [(w, number[lang]) for window, lang in found for w in window.split()]
-    return languages, [w for w, _ in words], np.array([i for _, i in words], np.int64)
-
-
-def train(docs: DataFrame) -> ByteGRU:
-    """Learns from text and language of the documents outside the held-out bucket."""
-    usable = docs.where(holdout_bucket("doc_id", HELD_OUT_MOD) != HELD_OUT).where("lang is not null and length(text) > 0")
-    languages, words, label = _sample(usable.select("doc_id", "text", "lang"))
-    return ByteGRU(languages).fit(words, label)
+    return ByteGRU(languages).fit([t for t, _ in found], np.array([number[lang] for _, lang in found], np.int64))
 
 
 def predict(docs: DataFrame, model: ByteGRU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, lang_pred, score). Null texts and texts without a letter are ``und`` with score 0."""
+    """(id, held_out, lang_pred, score), one row for each of ``docs``.
+
+    Null texts and texts without a letter are ``und`` with score 0, as is everything for a model without languages.
+    Texts of any length are read whole, in bounded memory; repeated rows get equal results; a null id is kept; other
+    columns are ignored; an empty table gives an empty one.
+    """
 
+    @frugal
     def run(batches):
         for batch in batches:
             for part in (batch.slice(at, 2500) for at in range(0, batch.num_rows, 2500)):
-                texts = part.column(2).to_pylist()
-                letters = [bool(t and _LETTER.search(t)) for t in texts]
-                prob = model.document_probabilities(part.column(2))
-                best = prob.argmax(axis=1)
-                known = bool(model.languages)
-                tags = [model.languages[b] if ok and known else "und" for b, ok in zip(best.tolist(), letters)]
-                score = np.where(np.array(letters, bool) & known, np.clip(prob.max(axis=1), 0, 1), 0.0)
+                letters = [bool(t and _LETTER.search(t)) for t in part.column(2).to_pylist()]
+                known = np.array(letters, bool) & bool(model.languages)
+                read = pc.if_else(pa.array(known), part.column(2), pa.scalar("", part.column(2).type))
+                prob = model.document_probabilities(read)
+                tags = [model.languages[b] if ok else "und" for b, ok in zip(prob.argmax(axis=1).tolist(), known.tolist())]
+                score = np.where(known, np.clip(prob.max(axis=1).round(6), 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(tags, pa.string()), pa.array(score, pa.float64())], ["id", "held_out", "lang_pred", "score"]
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), (holdout_bucket(id_col, HELD_OUT_MOD) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
+    source = docs.select(col(id_col).alias("id"), (holdout_bucket(id_col, HELD_OUT_MOD) == HELD_OUT).alias("held_out"), col(text_col).alias("text"))
     return source.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double")
