@@ -5,8 +5,8 @@ Every task packs the documents it reads, so no row is shuffled. A document is to
 document waits in a bounded pool. From the pool sequences are filled by the dot-product heuristic: of
 the pieces that fit under all limits (tokens, segments, loss-bearing tokens) the one whose demand
 vector has the largest dot product with what is left of the sequence. A gap no piece fits is closed by
-cutting one piece. What remains at the end of a task is cut into sequences whose lengths are powers of
-two, which are not padded.
+cutting the pieces that can give most to it. A sequence that stays short, for want of pieces or because
+another limit binds first, is cut into sequences whose lengths are powers of two, which are not padded.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import col, frugal
+
 #: Id appended to every document.
 END_ID = 2
 #: Pieces that wait in a task before a round of packing.
@@ -106,7 +108,7 @@ def worker_tokens(path: str) -> WordTokens:
 
 
 class SequencePacker:
-    """Packs pieces of one task. A piece is (key, start, length, loss); rows come out as tuples."""
+    """Packs pieces of one task. A piece is (key, start, length, prompt): its first ``prompt`` tokens bear no loss."""
 
     def __init__(self, first_id: int, max_tokens: int, max_segments: int, max_loss: int):
         self.next_id = first_id
@@ -122,26 +124,25 @@ class SequencePacker:
             at += length
         self.next_id += 1
 
-    def add(self, key, length: int, loss: int) -> None:
-        """A document of ``length`` tokens of which ``loss`` bear loss, spread evenly over its pieces."""
+    def add(self, key, length: int, prompt: int = 0) -> None:
+        """A document of ``length`` tokens of which the first ``prompt`` bear no loss."""
         start = 0
-        while length - start >= self.max_tokens and loss * self.max_tokens <= self.max_loss * length:
-            self._emit([(key, start, self.max_tokens, loss * self.max_tokens // max(length, 1))])
-            start += self.max_tokens
-        rest = length - start
-        # A piece that could never fit for its loss-bearing tokens is cut until it can.
-        while rest:
-            take = min(rest, self.max_tokens)
-            if loss * take > self.max_loss * length:
-                take = max(1, self.max_loss * length // loss)
-            self.pool.append((key, start, take, -(-loss * take // length)))
-            start, rest = start + take, rest - take
+        while start < length:
+            take = min(length - start, self.max_tokens)
+            free = min(max(0, prompt - start), take)
+            if take - free > self.max_loss:  # could never fit for its loss-bearing tokens
+                take = free + self.max_loss
+            if take == self.max_tokens:
+                self._emit([(key, start, take, free)])
+            else:
+                self.pool.append((key, start, take, free))
+            start += take
         if len(self.pool) >= POOL:
             self.pack(keep=POOL // 2)
 
     def pack(self, keep: int = 0) -> None:
         pool, self.pool = self.pool, []
-        demand = np.array([(p[2], 1, p[3]) for p in pool], float).reshape(-1, 3)
+        demand = np.array([(length, 1, length - prompt) for _, _, length, prompt in pool], float).reshape(-1, 3)
         scaled = demand / self.limits
         alive = np.ones(len(pool), bool)
         left = len(pool)
@@ -156,20 +157,22 @@ class SequencePacker:
                 room -= demand[best]
                 alive[best] = False
                 left -= 1
-            gap = int(room[0])
-            if gap and left and room[1] >= 1:
-                # No piece fits: cut the first that is left so that the sequence is full.
-                i = int(np.argmax(alive))
-                key, start, length, loss = pool[i]
-                take = min(gap, length - 1, int(room[2] * length // loss) if loss else gap)
-                if take > 0:
-                    share = min(loss, -(-loss * take // length))
-                    chosen.append((key, start, take, share))
-                    pool[i] = (key, start + take, length - take, loss - share)
-                    demand[i] = (length - take, 1, loss - share)
-                    scaled[i] = demand[i] / self.limits
-                    gap -= take
-            if gap and not keep:
+            # No piece fits: those that can give most are cut until the sequence is full or has no room of another kind.
+            while room[0] and left and room[1] >= 1:
+                prompts = demand[:, 0] - demand[:, 2]
+                gives = np.where(alive, np.minimum(np.minimum(demand[:, 0] - 1, room[0]), prompts + room[2]), 0)
+                i = int(np.argmax(gives))
+                take = int(gives[i])
+                if take <= 0:
+                    break
+                key, start, length, prompt = pool[i]
+                free = min(prompt, take)
+                chosen.append((key, start, take, free))
+                room -= (take, 1, take - free)
+                pool[i] = (key, start + take, length - take, prompt - free)
+                demand[i] = (length - take, 1, length - take - prompt + free)
+                scaled[i] = demand[i] / self.limits
+            if room[0]:
                 self._tail(chosen)
             else:
                 self._emit(chosen)
@@ -182,11 +185,11 @@ class SequencePacker:
             size = 1 << (total.bit_length() - 1)
             row, have = [], 0
             while have < size:
-                key, start, length, loss = pieces.pop(0)
+                key, start, length, prompt = pieces.pop(0)
                 take = min(length, size - have)
-                row.append((key, start, take, loss))
+                row.append((key, start, take, min(prompt, take)))
                 if take < length:
-                    pieces.insert(0, (key, start + take, length - take, loss))
+                    pieces.insert(0, (key, start + take, length - take, max(0, prompt - take)))
                 have += take
             self._emit(row)
             total -= size
@@ -196,6 +199,11 @@ class SequencePacker:
         return out
 
 
+def first_line_share(text: Column) -> Column:
+    """The share of a text that is its first line: the prompt of instruction data. Zero where there is no second line."""
+    return F.coalesce(F.instr(text, "\n") / F.greatest(F.length(text), F.lit(1)), F.lit(0.0))
+
+
 SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -204,18 +212,21 @@ def pack_documents(
     tokenizer_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    loss_col: str | None = None,
+    prompt_col: str | None = None,
     max_tokens: int = 4096,
-    max_segments: int = 256,
+    max_segments: int = 64,
     max_loss: int = 4096,
 ) -> DataFrame:
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    ``loss_col`` holds the share (0 to 1) of a document's tokens that bear loss; without it all do. Null
-    and empty texts are the end id alone, null ids are kept as they are, repeated rows are packed once
-    each, very long texts are cut, an empty table gives an empty one; extra columns are ignored.
+    No sequence has more than ``max_tokens`` tokens, ``max_segments`` pieces or ``max_loss`` loss-bearing tokens.
+    ``prompt_col`` holds the share (0 to 1) of a document's tokens, from its start on, that bear no loss; without it,
+    or where it is null, all bear loss. Null and empty texts are the end id alone, null ids are kept as they are,
+    repeated rows are packed once each, very long texts are cut, an empty table gives an empty one; extra columns
+    are ignored, whatever their names.
     """
 
+    @frugal
     def run(batches):
         words = worker_tokens(tokenizer_path)
         task = TaskContext.get()
@@ -247,7 +258,7 @@ def pack_documents(
                     ids += END_ID.to_bytes(4, "little")
                     length = len(ids) // 4
                     held[number] = [key, ids, length]
-                    packer.add(number, length, min(length, max(0, round(length * (1.0 if share is None else share)))))
+                    packer.add(number, length, min(length, max(0, round(length * (share or 0.0)))))
                     number += 1
                 if len(packer.out) >= 5000:
                     yield rows()
@@ -255,7 +266,7 @@ def pack_documents(
         if packer.out:
             yield rows()
 
-    share = F.lit(None).cast("double") if loss_col is None else F.col(loss_col).cast("double")
+    share = F.lit(None).cast("double") if prompt_col is None else col(prompt_col).cast("double")
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), share.alias("share"))
+    source = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), share.alias("share"))
     return source.mapInArrow(run, f"id {kind}, {SCHEMA}")

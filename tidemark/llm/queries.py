@@ -27,8 +27,17 @@ def op2_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack_documents(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
+    return packed(read_table(spark, sf_dir, "documents"))
+
+
+#: Loss-bearing tokens of a sequence; at least 256 of a full one are prompt.
+MAX_LOSS = 3840
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Packs documents as instruction data: the first line is the prompt, the rest bears loss."""
+    docs = docs.select("doc_id", "text", packing.first_line_share(F.col("text")).alias("prompt"))
+    return packing.pack_documents(docs, tokenizer_path(), prompt_col="prompt", max_loss=MAX_LOSS).withColumnRenamed("id", "doc_id")
 
 
 #: The rules of the URL query.
