@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, packing, repeats, simhash, toxicity
+from tidemark.llm import decontaminate, repeats, simhash, toxicity
 from tidemark.llm.common import is_integral, materialise, read_table
-from tidemark.llm.queries import tokenizer_path
+from tidemark.llm.queries import packed
 
 #: SQL can express neither the classifier nor the tokenizer; tests compare the stages with plain versions.
 ORACLE_SQL = None
@@ -34,8 +34,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer_path()).withColumnRenamed("id", "doc_id")
+    """Sequences of at most 4096 tokens, 64 pieces and 3840 loss-bearing tokens; of a text the first line is the prompt."""
+    return packed(docs)
 
 
 STAGES = [
