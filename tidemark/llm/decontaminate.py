@@ -3,7 +3,8 @@
 DataFrame operations only. The index holds postings (term, document, position) of the training text.
 Every benchmark window of ``window`` words is looked up through its ``ANCHORS`` rarest terms, as counted
 over the whole corpus: only their lists are stored, and their positions, less the term's offset in the
-window, are intersected to find where the window can start. What is left is compared word by word.
+item, are intersected to find where the item's windows can lie. Windows that share an anchor share its
+postings. What is left is compared word by word.
 Documents are known by id and a hash of the text, so repeated rows are harmless.
 """
 
@@ -12,20 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import checked_broadcast, col, materialise
 
 ANCHORS = 3
-#: Rows up to which a table is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """A broadcast where the row count allows it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def words_of(text: Column) -> Column:
     """Words with A-Z lower-cased, as an array; null has none."""
     return _trimmed(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _GAPS))
@@ -42,12 +36,10 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def windows_of(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(wid, words, items): distinct windows of the items' words; a shorter item that has words is one window."""
-    words = items.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("w")).where("size(w) > 0")
-    cut = F.expr(f"transform(sequence(1, greatest(size(w) - {window - 1}, 1)), i -> slice(w, i, {window}))")
-    spread = words.select("item", F.explode(cut).alias("words"))
-    return spread.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("wid", F.xxhash64(F.to_json("words")))
+def sequences_of(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(sid, w, items): the distinct word sequences of the items, with the sorted ids of those that have it."""
+    words = items.select(col(id_col).cast("string").alias("item"), words_of(col(text_col)).alias("w")).where("size(w) > 0")
+    return words.groupBy("w").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("sid", F.xxhash64(F.to_json("w")))
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -59,77 +51,98 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 class PositionalIndex:
-    """Postings of a corpus for the windows of a benchmark."""
+    """Postings of a corpus for the windows of a benchmark: ``window`` words each, a shorter item being one window.
+
+    ``docs``: doc_id and text. ``sequences`` holds, for each distinct item text, its windows: where they begin and
+    which of their words are their rarest terms. ``anchors`` holds these words once, however many windows share them.
+    """
 
     def __init__(self, docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = 10):
-        """``docs``: doc_id and text."""
-        self.docs = docs
-        self.windows = materialise(windows_of(items, item_id, item_text, window), "windows")
-        terms = self.windows.select("wid", F.posexplode("words").alias("off", "term"))
-        vocabulary = _checked(terms.select("term").distinct())
+        self.docs, self.window = docs, window
+        plain = materialise(sequences_of(items, item_id, item_text), "sequences")
+        terms = plain.select("sid", F.posexplode("w").alias("ipos", "term"))
+        vocabulary = checked_broadcast(terms.select("term").distinct())
         counted = tokens(docs).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("n"))
-        ranked = terms.join(_checked(materialise(counted, "terms")), "term", "left").fillna({"n": 0})
-        # The rarest terms of each window first; a window's ranks are in one small group.
-        picked = ranked.groupBy("wid").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "off", "term"))), 1, ANCHORS).alias("a"))
-        anchors = picked.select("wid", F.size("a").alias("n_anchors"), F.posexplode("a").alias("rank", "x"))
-        self.anchors = materialise(anchors.select("wid", "n_anchors", "rank", "x.off", "x.term"), "anchors")
-        lists = _checked(self.anchors.select("term").distinct())
+        ranked = terms.join(checked_broadcast(materialise(counted, "terms")), "term", "left").fillna({"n": 0})
+        by_place = ranked.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("ipos", "n"))).alias("r"))
+        rarest = f"slice(array_sort(transform(slice(r, s + 1, {window}), x -> named_struct('n', x.n, 'ipos', x.ipos))), 1, {ANCHORS})"
+        windows = f"transform(sequence(0, greatest(size(w) - {window}, 0)), s -> named_struct('s', s, 'need', transform({rarest}, x -> x.ipos)))"
+        self.sequences = materialise(plain.join(by_place, "sid").select("sid", "w", "items", F.expr(windows).alias("windows")), "windows")
+        places = self.sequences.select("sid", "w", F.explode(F.array_distinct(F.flatten("windows.need"))).alias("ipos"))
+        self.anchors = materialise(places.select("sid", "ipos", F.expr("w[ipos]").alias("term")), "anchors")
+        lists = checked_broadcast(self.anchors.select("term").distinct())
         self.postings = materialise(tokens(docs).join(lists, "term"), "postings")
 
     def candidates(self) -> DataFrame:
-        """(doc_id, th, wid, start): where the offset-adjusted lists of all anchors of a window meet."""
-        met = self.postings.join(_checked(self.anchors), "term")
-        met = met.groupBy("doc_id", "th", "wid", (F.col("pos") - F.col("off")).alias("start"), "n_anchors").agg(
-            F.bit_or(F.expr("shiftleft(1, rank)")).alias("seen")
-        )
-        return met.where("start >= 0 AND seen = shiftleft(1, n_anchors) - 1").select("doc_id", "th", "wid", "start")
+        """(doc_id, th, w, items, shift, starts): windows of an item (``starts``) whose anchors' offset-adjusted lists
+        meet in a document, the item's first word being at ``shift``."""
+        met = self.postings.join(checked_broadcast(self.anchors), "term")
+        met = met.groupBy("doc_id", "th", "sid", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("seen"))
+        whole = "filter(windows, x -> shift + x.s >= 0 AND size(array_except(x.need, seen)) = 0)"
+        wide = met.where(f"size(seen) > 0").join(checked_broadcast(self.sequences), "sid")
+        return wide.select("doc_id", "th", "w", "items", "shift", F.expr(f"transform({whole}, x -> x.s)").alias("starts")).where("size(starts) > 0")
 
     def phrase_matches(self) -> DataFrame:
-        """(doc_id, th, matches): of documents with a candidate, the windows that occur word by word: start, words, items."""
-        wide = self.candidates().join(_checked(self.windows), "wid")
-        found = materialise(wide.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "words", "items")).alias("c")), "candidates")
+        """(doc_id, th, matches): of documents with a candidate, the windows that occur word by word: start, size, items."""
+        grouped = self.candidates().groupBy("doc_id", "th").agg(F.collect_list(F.struct("shift", "w", "items", "starts")).alias("c"))
+        found = materialise(grouped, "candidates")
         texts = self.docs.select("doc_id", text_key(F.col("text")).alias("th"), "text")
-        hashes = found.select("th").distinct()
-        if hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            texts = texts.join(F.broadcast(hashes), "th", "left_semi")
-        same_id = F.expr("d.th = f.th AND d.doc_id <=> f.doc_id")
-        both = texts.alias("d").join(found.hint("shuffle_hash").alias("f"), same_id).select("d.doc_id", "d.th", "d.text", "c")
+        texts = texts.join(checked_broadcast(found.select("th").distinct()), "th", "left_semi")
+        both = texts.alias("d").join(found.alias("f"), F.expr("d.th = f.th AND d.doc_id <=> f.doc_id")).select("d.doc_id", "d.th", "d.text", "c")
+
+        def exact(words):
+            def of_item(x):
+                size = F.least(F.size(x["w"]), F.lit(self.window))
+                same = F.filter(x["starts"], lambda s: F.slice(words, x["shift"] + s + 1, size) == F.slice(x["w"], s + 1, size))
+                return F.transform(same, lambda s: F.struct((x["shift"] + s).alias("start"), size.alias("size"), x["items"].alias("items")))
+
+            return F.flatten(F.transform("c", of_item))
+
         # Bound as a variable the words are cut once a document; a plain column would be put into the inner function.
-        exact = F.transform(F.array(words_of(F.col("text"))), lambda w: F.filter("c", lambda x: F.slice(w, x["start"] + 1, F.size(x["words"])) == x["words"]))
-        kept = both.select("doc_id", "th", exact[0].alias("matches"))
+        matches = F.transform(F.array(words_of(F.col("text"))), exact)[0]
+        kept = both.select("doc_id", "th", matches.alias("matches"))
         return kept.where("size(matches) > 0").dropDuplicates(["doc_id", "th"])
 
     def proximity_matches(self, slop: int = 20) -> DataFrame:
-        """(doc_id, th, wid, at): all anchors of a window within ``slop`` words of its rarest one's posting at ``at``, in any order."""
-        near = self.postings.join(_checked(self.anchors), "term").withColumn("cell", F.floor(F.col("pos") / slop))
-        first = near.where("rank = 0").select("doc_id", "th", "wid", "n_anchors", F.col("pos").alias("at"), F.explode(F.expr("array(cell - 1, cell, cell + 1)")).alias("cell"))
-        meets = first.join(near.select("doc_id", "th", "wid", "cell", "pos", "rank"), ["doc_id", "th", "wid", "cell"])
+        """(doc_id, th, sid, s, at): windows all of whose anchors are within ``slop`` words of their rarest one's posting
+        at ``at``, in any order."""
+        need = self.sequences.select("sid", "w", F.explode("windows").alias("x")).select("sid", "w", "x.s", F.size("x.need").alias("n_anchors"), F.posexplode("x.need").alias("rank", "ipos"))
+        anchors = checked_broadcast(need.select("sid", "s", "n_anchors", "rank", F.expr("w[ipos]").alias("term")))
+        near = self.postings.join(anchors, "term").withColumn("cell", F.floor(F.col("pos") / slop))
+        key = ["doc_id", "th", "sid", "s", "cell"]
+        first = near.where("rank = 0").select(*key[:4], "n_anchors", F.col("pos").alias("at"), F.explode(F.expr("array(cell - 1, cell, cell + 1)")).alias("cell"))
+        meets = first.join(near.select(*key, "pos", "rank"), key)
         meets = meets.where(F.abs(F.col("pos") - F.col("at")) <= slop)
-        seen = meets.groupBy("doc_id", "th", "wid", "at", "n_anchors").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("seen"))
-        return seen.where("seen = shiftleft(1, n_anchors) - 1").select("doc_id", "th", "wid", "at")
+        seen = meets.groupBy("doc_id", "th", "sid", "s", "at", "n_anchors").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("seen"))
+        return seen.where("seen = shiftleft(1, n_anchors) - 1").select("doc_id", "th", "sid", "s", "at")
 
 
 def clean_rows(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows in which no benchmark window occurs, all columns as they were."""
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    matches = PositionalIndex(own, items, window=window).phrase_matches()
-    hit = _checked(materialise(matches.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "contaminated"))
-    same = (text_key(F.col(text_col)) == F.col("_th")) & F.col(id_col).eqNullSafe(F.col("_id"))
-    return docs.join(hit, same, "left_anti")
+    """The rows in which no benchmark window occurs, all columns as they were.
+
+    Null and empty texts, and all rows where the benchmark is empty, stay; repeated rows stay or go together; null
+    ids are compared like others; columns may have any name; texts of any length are read whole.
+    """
+    own = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    hit = checked_broadcast(materialise(PositionalIndex(own, items, window=window).phrase_matches().select("doc_id", "th"), "contaminated"))
+    # The user's columns travel as one, so that no name of theirs meets one of ours.
+    packed = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(id_col).alias("doc_id"), text_key(col(text_col)).alias("th"))
+    kept = packed.alias("d").join(hit.alias("h"), F.expr("d.th = h.th AND d.doc_id <=> h.doc_id"), "left_anti")
+    return kept.select(*[kept["row"][c].alias(c) for c in docs.columns])
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words. Repeated rows get equal results. An empty benchmark hits
-    nothing. Texts and items are used whole; further columns are ignored.
+    nothing. Texts and items are used whole; further columns are ignored, whatever their names.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    own = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     index = PositionalIndex(own, items, window=window)
     hits = index.phrase_matches().select(
         "doc_id",
         "th",
-        F.expr("size(array_distinct(flatten(transform(matches, m -> sequence(m.start, m.start + size(m.words) - 1)))))").cast("bigint").alias("n_hit"),
+        F.expr("size(array_distinct(flatten(transform(matches, m -> sequence(m.start, m.start + m.size - 1)))))").cast("bigint").alias("n_hit"),
         F.expr("array_sort(array_distinct(flatten(transform(matches, m -> m.items))))").alias("items"),
     )
     parts = F.split(F.coalesce("text", F.lit("")), _GAPS)
