@@ -3,7 +3,7 @@
 DataFrame operations only. The URLs a rule decides are the labelled ones. The trees see length, depth,
 digit share, character entropy, parameter and hyphen counts, and the block rate and frequency of the
 host's suffix among the labelled URLs. Features are coarse, so the labelled rows are counted per
-distinct feature vector before the fit and every one of them takes part. Suffix statistics are kept per
+distinct feature vector before the fit and every one of them takes part, both verdicts with the same total weight. Suffix statistics are kept per
 hashed suffix; that table has ``SUFFIX_BUCKETS`` rows at any size of input and may be broadcast.
 """
 
@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import col, materialise
+
 SUFFIX_BUCKETS = 1024
 FEATURES = ["n_length", "n_depth", "digit_share", "entropy", "n_params", "n_hyphens", "n_labels", "suffix_rate", "suffix_log"]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,28 +72,34 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", tree
 
     Where the labelled URLs show one verdict only, or there are none, that verdict (or allow) is every
     page's. Null and malformed URLs have empty host and path and are judged by the trees. Repeated rows
-    are judged alike; columns of the input that clash with a result's name are replaced.
+    are judged alike; columns of the input that clash with a result's name are replaced. Very long URLs are read
+    whole; an empty table gives an empty one.
+
+    Both verdicts weigh the same in the fit, whatever their numbers among the labelled URLs, so that a score of one
+    half means that the features speak for neither.
     """
     taken = {"host", "path", "rule", "rule_verdict", "bucket", "score", "verdict", *FEATURES}
     own = [c for c in pages.columns if c not in taken]
-    parts = pages.select(*own).withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
+    parts = pages.select(*map(col, own)).withColumn("host", host_of(col(url))).withColumn("path", path_of(col(url)))
     marked = lexical(match_rules(parts, rules), url)
     labelled = marked.where("rule_verdict is not null").withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
-    by_vector = labelled.groupBy(*FEATURES[:7], "bucket", "label").agg(F.count("*").cast("double").alias("weight")).cache()
-    totals = {r["label"]: r["weight"] for r in by_vector.groupBy("label").agg(F.sum("weight").alias("weight")).collect()}
+    by_vector = materialise(labelled.groupBy(*FEATURES[:7], "bucket", "label").agg(F.count("*").cast("double").alias("n")), "labelled_urls")
+    totals = {r["label"]: r["n"] for r in by_vector.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     if len(totals) < 2:
         only = "block" if totals and next(iter(totals)) == 1.0 else "allow"
         scored = marked.withColumn("score", F.lit(1.0 if only == "block" else 0.0))
-        by_vector.unpersist()
     else:
-        rate = totals[1.0] / (totals[0.0] + totals[1.0])
+        # A verdict's URLs have one half of the weight together.
+        half = (totals[0.0] + totals[1.0]) / 2
+        each = F.when(F.col("label") == 1.0, half / totals[1.0]).otherwise(half / totals[0.0])
+        by_vector = by_vector.withColumn("weight", F.col("n") * each)
         suffixes = by_vector.groupBy("bucket").agg(
-            F.round((F.sum(F.col("weight") * F.col("label")) + 20 * rate) / (F.sum("weight") + 20), 2).alias("suffix_rate"),
-            F.round(F.log1p(F.sum("weight")), 1).alias("suffix_log"),
+            F.round((F.sum(F.col("weight") * F.col("label")) + 20 * 0.5) / (F.sum("weight") + 20), 2).alias("suffix_rate"),
+            F.round(F.log1p(F.sum("n")), 1).alias("suffix_log"),
         )
 
         def with_suffix(df):
-            return df.join(F.broadcast(suffixes), "bucket", "left").fillna({"suffix_rate": round(rate, 2), "suffix_log": 0.0})
+            return df.join(F.broadcast(suffixes), "bucket", "left").fillna({"suffix_rate": 0.5, "suffix_log": 0.0})
 
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="_features")
         booster = GBTClassifier(featuresCol="_features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=17)
@@ -99,4 +107,4 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", tree
         model = model.setRawPredictionCol("").setPredictionCol("").setProbabilityCol("_probability")
         scored = model.transform(assemble.transform(with_suffix(marked))).withColumn("score", vector_to_array("_probability")[1])
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
-    return scored.withColumn("verdict", verdict).select(*own, "host", "path", "rule", "score", "verdict")
+    return scored.withColumn("verdict", verdict).select(*map(col, own), "host", "path", "rule", "score", "verdict")
