@@ -7,6 +7,8 @@ bucket then needs only its own rows and the one row that is carried over its bor
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +30,11 @@ def asof_join(
     ``direction``: ``forward`` finds the first right time >= the left one, ``backward`` the last <= it.
     Further away than ``tolerance`` is null. Ties of right times take the greatest value. ``bucket`` (at
     least the tolerance) cuts time into parts that are filled apart; rows near a border go to both. Without
-    keys a bucket is required, as all rows would meet in one task.
+    keys and bucket all rows meet in one task, which is warned of.
     """
     keys = list(keys)
     if not keys and bucket is None:
-        raise ValueError("an as-of join without keys needs a bucket")
+        warnings.warn("an as-of join without keys and bucket puts both tables in one task", stacklevel=2)
     ahead = direction == "forward"
     series = right.where(F.col(right_time).isNotNull()).groupBy(*keys, F.col(right_time).alias("_t")).agg(F.max(value).alias("_v"))
     if bucket is not None:

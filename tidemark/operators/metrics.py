@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import ordered
+
 
 def roc_auc(df: DataFrame, score: str, label: str, weight: str | None = None, keys: list[str] = ()) -> DataFrame:
     """Weighted Mann-Whitney AUC with half credit for ties; null where a class is missing.
@@ -29,7 +31,6 @@ def expected_calibration_error(df: DataFrame, prob: str, label: str, bins: int =
 
 def risk_coverage(df: DataFrame, confidence: str, correct: str, order: str, coverages: list[float]) -> DataFrame:
     """Accuracy of the ``ceil(n * c)`` most confident rows for each coverage c; ties by ``order``."""
-    n = df.agg(F.count("*").alias("n"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(confidence), order))).crossJoin(F.broadcast(n))
+    ranked = ordered(df, [F.desc(confidence), order])
     wanted = ranked.withColumn("coverage", F.explode(F.array(*[F.lit(float(c)) for c in coverages])))
-    return wanted.where(F.col("_r") <= F.ceil(F.col("n") * F.col("coverage"))).groupBy("coverage").agg(F.count("*").alias("n"), F.avg(correct).alias("accuracy"))
+    return wanted.where(F.col("rn") <= F.ceil(F.col("n_rows") * F.col("coverage"))).groupBy("coverage").agg(F.count("*").alias("n"), F.avg(correct).alias("accuracy"))

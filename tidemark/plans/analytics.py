@@ -8,10 +8,13 @@ DAY = 86_400_000_000
 
 
 def _scored(q) -> str:
-    """Labelled documents with a score in [0, 1] from the rank of their length."""
+    """Labelled documents with a score in (0, 1) from the rank of their length."""
+    if q.spark:
+        return "s AS (SELECT * FROM scored)"
     return (
         "s AS (SELECT l.doc_id, CAST(l.quality AS BIGINT) AS y, d.source, d.lang, "
-        "(row_number() OVER (ORDER BY d.n_chars, l.doc_id) - 0.5E0) / (count(*) OVER ()) AS p, CAST(d.n_chars AS DOUBLE) AS x "
+        "(row_number() OVER (ORDER BY d.n_chars, l.doc_id) - 0.5E0) / (count(*) OVER ()) AS p, CAST(d.n_chars AS DOUBLE) AS x, "
+        "row_number() OVER (ORDER BY d.n_chars, l.doc_id) AS rn, count(*) OVER () AS n_rows "
         "FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"
     )
 
@@ -41,12 +44,14 @@ PLANS = {
         WITH {_scored(q)}, c AS (SELECT y, least(greatest(CAST(p AS DOUBLE), 1e-6), 1 - 1e-6) AS p FROM s)
         SELECT round(avg((p - y) * (p - y)), 8) AS brier, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 8) AS logloss FROM c""",
     "reliability_bins": lambda q: f"""
-        WITH {_scored(q)}, b AS (SELECT p, y, ntile(5) OVER (ORDER BY p, doc_id) AS bin FROM s)
-        SELECT bin, count(*) AS n, round(avg(p), 8) AS confidence, round(avg(y), 8) AS accuracy FROM b GROUP BY bin""",
+        WITH {_scored(q)}, b AS (SELECT p, y, """ + ("greatest(1, (rn - 1) * 5 div (n_rows - 1) + CAST((rn - 1) * 5 % (n_rows - 1) > 0 AS BIGINT))" if q.spark else "CASE WHEN rn <= 1 + (n_rows - 1) * 0.2 THEN 1 WHEN rn <= 1 + (n_rows - 1) * 0.4 THEN 2 WHEN rn <= 1 + (n_rows - 1) * 0.6 THEN 3 WHEN rn <= 1 + (n_rows - 1) * 0.8 THEN 4 ELSE 5 END") + """ AS bin FROM s),
+        g AS (SELECT bin, count(*) AS n, round(avg(p), 8) AS confidence, round(avg(y), 8) AS accuracy FROM b GROUP BY bin)
+        SELECT *, coalesce(accuracy >= lag(accuracy) OVER (ORDER BY bin), true) AS not_falling FROM g""",
     "winsorized_top_removed": lambda q: f"""
         WITH e AS (SELECT {q.quantile('l_extendedprice', 0.05)} AS lo, {q.quantile('l_extendedprice', 0.95)} AS hi FROM lineitem),
         w AS (SELECT avg(least(greatest(l_extendedprice, lo), hi)) AS m FROM lineitem CROSS JOIN e),
-        t AS (SELECT avg(l_extendedprice) AS m FROM (SELECT l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) x WHERE r > 5)
+        h AS (SELECT sum(p) AS s, count(*) AS n FROM (SELECT l_extendedprice AS p FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 5) x),
+        t AS (SELECT (sum(l_extendedprice) - max(h.s)) / (count(*) - max(h.n)) AS m FROM lineitem CROSS JOIN h)
         SELECT round(w.m, 4) AS winsorized, round(t.m, 4) AS without_top5 FROM w CROSS JOIN t""",
     "exact_quantiles": lambda q: f"""
         SELECT p_brand, {', '.join(f'round({q.quantile("p_retailprice", p)}, 6) AS q{int(100 * p)}' for p in (0.1, 0.25, 0.5, 0.75, 0.9))} FROM part GROUP BY p_brand""",
@@ -97,7 +102,7 @@ PLANS = {
         SELECT event_id, count(value) OVER w AS n, round(avg(value) OVER w, 6) AS mean, round(min(value) OVER w, 6) AS low, round(max(value) OVER w, 6) AS high
         FROM e WINDOW w AS (PARTITION BY event_type ORDER BY t RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING)""",
     "reference_cdf_rank": lambda q: "SELECT p_partkey, round(cume_dist() OVER (PARTITION BY p_brand ORDER BY p_retailprice), 8) AS cdf FROM part",
-    "midrank": lambda q: """
+    "midrank": lambda q: "SELECT p_partkey, round((2 * (upto - same) + same + 1) / (2.0E0 * n_rows), 8) AS midrank FROM part p JOIN size_ranks r ON p.p_size = r.p_size" if q.spark else """
         WITH c AS (SELECT p_partkey, rank() OVER (ORDER BY p_size) AS r, count(*) OVER (PARTITION BY p_size) AS same, count(*) OVER () AS n FROM part)
         SELECT p_partkey, round((2 * (r - 1) + same + 1) / (2.0E0 * n), 8) AS midrank FROM c""",
     "group_pct_rank": lambda q: """
@@ -112,20 +117,20 @@ PLANS = {
         WITH o AS (SELECT o_orderkey, {q.us('o_orderdate')} AS t FROM orders), c AS (SELECT {', '.join(f'{q.quantile("CAST(t AS DOUBLE)", p)} AS c{int(p * 100)}' for p in (0.45, 0.6, 0.75, 0.9))} FROM o)
         SELECT o_orderkey, CASE WHEN t <= c45 THEN 0 WHEN t <= c60 THEN 1 WHEN t <= c75 THEN 2 WHEN t <= c90 THEN 3 ELSE 4 END AS fold FROM o CROSS JOIN c""",
     "ntile_embargo_folds": lambda q: f"""
-        WITH o AS (SELECT o_orderkey, {q.us('o_orderdate')} AS t, ntile(5) OVER (ORDER BY o_orderdate, o_orderkey) AS fold FROM orders),
+        WITH o AS (SELECT o_orderkey, {q.us('o_orderdate')} AS t, {'fifth' if q.spark else 'ntile(5) OVER (ORDER BY o_orderdate, o_orderkey)'} AS fold FROM {'orders_in_time' if q.spark else 'orders'}),
         b AS (SELECT fold, min(t) AS lo FROM o GROUP BY fold)
         SELECT o.o_orderkey, o.fold, b.lo IS NOT NULL AND b.lo - o.t <= 2100000000 AS embargoed FROM o LEFT JOIN b ON b.fold = o.fold + 1""",
-    "group_split_70": lambda q: """
+    "group_split_70": lambda q: "SELECT o_custkey, CASE WHEN upto <= 0.7E0 * upto_all THEN 'train' ELSE 'valid' END AS part FROM customers_in_time" if q.spark else """
         WITH g AS (SELECT o_custkey, min(o_orderdate) AS first, count(*) AS n FROM orders GROUP BY o_custkey),
         c AS (SELECT o_custkey, sum(n) OVER (ORDER BY first, o_custkey) AS upto, sum(n) OVER () AS total FROM g)
         SELECT o_custkey, CASE WHEN upto <= 0.7E0 * total THEN 'train' ELSE 'valid' END AS part FROM c""",
     "ticker_embargo_purge": lambda q: f"""
-        WITH o AS (SELECT o_orderkey, o_custkey, {q.us('o_orderdate')} AS t, ntile(10) OVER (ORDER BY o_orderdate, o_orderkey) AS k FROM orders),
+        WITH o AS (SELECT o_orderkey, o_custkey, {q.us('o_orderdate')} AS t, {'tenth' if q.spark else 'ntile(10) OVER (ORDER BY o_orderdate, o_orderkey)'} AS k FROM {'orders_in_time' if q.spark else 'orders'}),
         v AS (SELECT o_custkey, min(t) AS first FROM o WHERE k > 7 GROUP BY o_custkey)
         SELECT o.o_orderkey FROM o LEFT JOIN v ON o.o_custkey = v.o_custkey WHERE k <= 7 AND (v.first IS NULL OR o.t < v.first - {7 * DAY})""",
     "hash_role_100": lambda q: f"SELECT c_custkey, {q.hash32(q.string('c_custkey'))} % 100 AS slot, CASE WHEN {q.hash32(q.string('c_custkey'))} % 100 < 60 THEN 'dev' WHEN {q.hash32(q.string('c_custkey'))} % 100 < 80 THEN 'seal' ELSE 'quarantine' END AS role FROM customer",
     "hash_sample_k": lambda q: f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {q.sha(q.string('doc_id'))}) AS k FROM documents) x WHERE k <= 5",
-    "round_robin_strata": lambda q: f"""
+    "round_robin_strata": lambda q: "SELECT doc_id, lang, k, place FROM round_robin" if q.spark else f"""
         WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {q.sha(q.string('doc_id'))}) AS k FROM documents)
         SELECT doc_id, lang, k, row_number() OVER (ORDER BY k, lang) AS place FROM r""",
     "cut_day_bootstrap": lambda q: f"""
@@ -137,7 +142,7 @@ PLANS = {
     "threshold_grid_best": lambda q: f"""
         WITH {_scored(q)}, g AS (SELECT {q.sequence(30, 70)} AS pct), m AS (SELECT pct, avg(CASE WHEN (p >= pct / 100.0E0) = (y = 1) THEN 1.0E0 ELSE 0.0E0 END) AS acc FROM s CROSS JOIN g GROUP BY pct)
         SELECT pct, round(acc, 8) AS accuracy FROM (SELECT *, row_number() OVER (ORDER BY round(acc, 10) DESC, abs(pct - 50), pct) AS k FROM m) x WHERE k = 1""",
-    "rank_policy": lambda q: """
+    "rank_policy": lambda q: "SELECT p_partkey, round(direction, 8) AS direction, round(confidence, 8) AS confidence, confidence >= 0.86E0 AS high FROM policy_ranks" if q.spark else """
         WITH r AS (SELECT p_partkey, cume_dist() OVER (ORDER BY p_retailprice) AS a, cume_dist() OVER (ORDER BY p_size) AS b FROM part),
         d AS (SELECT p_partkey, 0.6E0 * a + 0.4E0 * b AS direction FROM r), c AS (SELECT *, cume_dist() OVER (ORDER BY round(abs(direction - 0.5E0), 10)) AS confidence FROM d)
         SELECT p_partkey, round(direction, 8) AS direction, round(confidence, 8) AS confidence, confidence >= 0.86E0 AS high FROM c""",
@@ -177,7 +182,7 @@ PLANS = {
         WITH u AS (SELECT n_nationkey AS k, n_name AS name, 0 AS age FROM nation UNION ALL SELECT r_regionkey, r_name, 1 FROM region)
         SELECT k, name FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY age DESC) AS o FROM u) x WHERE o = 1""",
     "intersect_except": lambda q: "(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT r_regionkey FROM region",
-    "global_rank": lambda q: "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders",
+    "global_rank": lambda q: "SELECT o_orderkey, rn AS place FROM orders_by_priority" if q.spark else "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders",
     "decayed_intensity": lambda q: f"""
         WITH e AS (SELECT event_id, user_id, {q.us('ts')} / 1.0E6 AS t FROM events)
         SELECT a.event_id, round(coalesce(sum(power(2.0E0, -(a.t - b.t) / 3600)), 0), 6) AS h1, round(coalesce(sum(power(2.0E0, -(a.t - b.t) / 86400)), 0), 6) AS d1

@@ -6,7 +6,9 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
 from tidemark.session import load
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,15 +29,9 @@ class SparkSQL:
     def hash32(self, x):
         return f"CAST(conv(substr(sha2({x}, 256), 1, 8), 16, 10) AS BIGINT)"
 
-    def sub(self, x, pattern, to):
-        return f"regexp_replace({x}, '{pattern}', '{to}')"
-
     def sequence(self, a, b):
         return f"explode(sequence({a}, {b}))"
 
-    def has(self, x, s):
-        return f"contains({x}, '{s}')"
-
     def string(self, x):
         return f"CAST({x} AS STRING)"
 
@@ -58,15 +54,9 @@ class DuckSQL:
     def hash32(self, x):
         return f"CAST(('0x' || substr(sha256({x}), 1, 8)) AS BIGINT)"
 
-    def sub(self, x, pattern, to):
-        return f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
-
     def sequence(self, a, b):
         return f"unnest(generate_series({a}, {b}))"
 
-    def has(self, x, s):
-        return f"contains({x}, '{s}')"
-
     def string(self, x):
         return f"CAST({x} AS VARCHAR)"
 
@@ -77,15 +67,72 @@ class DuckSQL:
 S, D = SparkSQL(), DuckSQL()
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with a score in (0, 1) from the rank of their length."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    rows = load(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("bigint").alias("y")).join(docs, "doc_id")
+    ranked = ordered.ordered(rows, ["n_chars", "doc_id"])
+    p = ((F.col("rn") - F.lit(0.5)) / F.col("n_rows")).alias("p")
+    return ranked.select("doc_id", "y", "source", "lang", p, F.col("n_chars").cast("double").alias("x"), "rn", "n_rows")
+
+
+def orders_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    ranked = ordered.ordered(rows, ["o_orderdate", "o_orderkey"])
+    return ranked.select("*", ordered.equal_parts(5).alias("fifth"), ordered.equal_parts(10).alias("tenth"))
+
+
+def customers_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"), F.count("*").alias("n"))
+    return ordered.ordered(groups, ["first", "o_custkey"], {"upto": "n"})
+
+
+def price_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.value_ranks(load(spark, sf_dir, "part"), "p_retailprice")
+
+
+def size_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.value_ranks(load(spark, sf_dir, "part"), "p_size")
+
+
+def orders_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return ordered.ordered(rows, ["o_orderpriority", F.desc("o_totalprice"), "o_orderkey"])
+
+
+def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their place ``k`` within their language by a hash, and the place of (k, lang) among all."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    ranked = ordered.ordered(rows, ["lang", "h"])
+    first = ranked.groupBy("lang").agg(F.min("rn").alias("first"))
+    within = ranked.join(F.broadcast(first), "lang").select("doc_id", "lang", (F.col("rn") - F.col("first") + 1).alias("k"))
+    return ordered.ordered(within, ["k", "lang"]).select("doc_id", "lang", "k", F.col("rn").alias("place"))
+
+
+def policy_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with a direction from two ranks and the rank of its distance from one half."""
+    part = load(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
+    share = lambda name: (F.col("upto") / F.col("n_rows")).alias(name)
+    price = ordered.value_ranks(part, "p_retailprice").select("p_retailprice", share("a"))
+    size = ordered.value_ranks(part, "p_size").select("p_size", share("b"))
+    directed = part.join(price, "p_retailprice").join(size, "p_size").withColumn("direction", F.col("a") * 0.6 + F.col("b") * 0.4)
+    directed = directed.withColumn("margin", F.round(F.abs(F.col("direction") - 0.5), 10))
+    return directed.join(ordered.value_ranks(directed, "margin").select("margin", share("confidence")), "margin").select("p_partkey", "direction", "confidence")
+
+
+#: Tables that put rows in a global order; Spark plans name them, the SQL of the other engine has a window.
+VIEWS = {f.__name__: f for f in (scored, orders_in_time, customers_in_time, price_ranks, size_ranks, orders_by_priority, round_robin, policy_ranks)}
+
+
 def statement(build: Callable[[object], str]) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
-    """(Spark query, DuckDB text) of a statement builder; driver tables are named as they are."""
+    """(Spark query, DuckDB text) of a statement builder; driver tables and ``VIEWS`` follow FROM or JOIN by name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = build(S)
-        used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text)]
+        text, sources = build(S), TABLES + list(VIEWS)
+        used = [t for t in sources if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text)]
+        text = text.replace("{", "{{").replace("}", "}}")
         for t in used:
             text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)
-        text = re.sub(r"\{(?!(" + "|".join(TABLES) + r")\})", "{{", text)
-        return spark.sql(text, **{t: load(spark, sf_dir, t) for t in used})
+        return spark.sql(text, **{t: VIEWS[t](spark, sf_dir) if t in VIEWS else load(spark, sf_dir, t) for t in used})
 
     return run, build(D)
