@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import analytics, timing
+from tidemark.plans import analytics, labels, news, timing
 
-QUERIES = timing.QUERIES | analytics.QUERIES
-ORACLES = timing.ORACLES | analytics.ORACLES
+QUERIES = timing.QUERIES | analytics.QUERIES | labels.QUERIES | news.QUERIES
+ORACLES = timing.ORACLES | analytics.ORACLES | labels.ORACLES | news.ORACLES

@@ -14,6 +14,10 @@ from tidemark.session import load
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def quoted(word: str | None) -> str:
+    return "CAST(NULL AS VARCHAR(99))" if word is None else "'" + word.replace("'", "''") + "'"
+
+
 class SparkSQL:
     spark = True
 
@@ -38,6 +42,66 @@ class SparkSQL:
     def every(self, x):
         return f"every({x})"
 
+    def sub(self, x, pattern, to):
+        return f"regexp_replace({x}, '{pattern}', '{to}')"
+
+    def arr(self, words):
+        return "array(" + ", ".join(quoted(w) for w in words) + ")"
+
+    def at(self, words, i):
+        return f"element_at({self.arr(words)}, CAST({i} AS INT) + 1)"
+
+    def filter(self, a, v, cond):
+        return f"filter({a}, {v} -> {cond})"
+
+    def map(self, a, v, expr):
+        return f"transform({a}, {v} -> {expr})"
+
+    def len(self, a):
+        return f"CAST(size({a}) AS BIGINT)"
+
+    def distinct(self, a):
+        return f"array_distinct({a})"
+
+    def both(self, a, b):
+        return f"array_intersect({a}, {b})"
+
+    def either(self, a, b):
+        return f"array_union({a}, {b})"
+
+    def joined(self, a, sep=","):
+        return f"array_join(array_sort({a}), '{sep}')"
+
+    def split(self, x, sep=" "):
+        return f"split({x}, '{sep}')"
+
+    def slice(self, a, start, n):
+        return f"slice({a}, {start}, {n})"
+
+    def items(self, x):
+        return f"collect_list({x})"
+
+    def median(self, x):
+        return self.quantile(x, 0.5)
+
+    def local(self, ts, zone):
+        return f"CAST(from_utc_timestamp(CAST(CAST({ts} AS STRING) AS TIMESTAMP), '{zone}') AS TIMESTAMP_NTZ)"
+
+    def at_most(self, x, by):
+        return f"max_by({x}, {by})"
+
+    def at_least(self, x, by):
+        return f"min_by({x}, {by})"
+
+    def seconds(self, c):
+        return f"(hour({c}) * 3600 + minute({c}) * 60 + second({c}))"
+
+    def day(self, c):
+        return f"datediff(CAST({c} AS DATE), DATE '1970-01-01')"
+
+    def back(self, us):
+        return f"timestampadd(MICROSECOND, {us}, TIMESTAMP_NTZ '1970-01-01 00:00:00')"
+
 
 class DuckSQL:
     spark = False
@@ -63,6 +127,66 @@ class DuckSQL:
     def every(self, x):
         return f"bool_and({x})"
 
+    def sub(self, x, pattern, to):
+        return f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+
+    def arr(self, words):
+        return "[" + ", ".join(quoted(w) for w in words) + "]"
+
+    def at(self, words, i):
+        return f"{self.arr(words)}[CAST({i} AS INT) + 1]"
+
+    def filter(self, a, v, cond):
+        return f"list_filter({a}, lambda {v}: {cond})"
+
+    def map(self, a, v, expr):
+        return f"list_transform({a}, lambda {v}: {expr})"
+
+    def len(self, a):
+        return f"len({a})"
+
+    def distinct(self, a):
+        return f"list_distinct({a})"
+
+    def both(self, a, b):
+        return f"list_intersect({a}, {b})"
+
+    def either(self, a, b):
+        return f"list_distinct(list_concat({a}, {b}))"
+
+    def joined(self, a, sep=","):
+        return f"array_to_string(list_sort({a}), '{sep}')"
+
+    def split(self, x, sep=" "):
+        return f"string_split({x}, '{sep}')"
+
+    def slice(self, a, start, n):
+        return f"list_slice({a}, {start}, {start} + {n} - 1)"
+
+    def items(self, x):
+        return f"list({x})"
+
+    def median(self, x):
+        return self.quantile(x, 0.5)
+
+    def local(self, ts, zone):
+        return f"(({ts} AT TIME ZONE 'UTC') AT TIME ZONE '{zone}')"
+
+    def at_most(self, x, by):
+        return f"arg_max({x}, {by})"
+
+    def at_least(self, x, by):
+        return f"arg_min({x}, {by})"
+
+    def seconds(self, c):
+        return f"(hour({c}) * 3600 + minute({c}) * 60 + second({c}))"
+
+    def day(self, c):
+        return f"date_diff('day', DATE '1970-01-01', CAST({c} AS DATE))"
+
+    def back(self, us):
+        return f"make_timestamp(CAST({us} AS BIGINT))"
+
 
 S, D = SparkSQL(), DuckSQL()
 
@@ -124,15 +248,15 @@ def policy_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIEWS = {f.__name__: f for f in (scored, orders_in_time, customers_in_time, price_ranks, size_ranks, orders_by_priority, round_robin, policy_ranks)}
 
 
-def statement(build: Callable[[object], str]) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
-    """(Spark query, DuckDB text) of a statement builder; driver tables and ``VIEWS`` follow FROM or JOIN by name."""
+def statement(build: Callable[[object], str], views: dict[str, Callable] = VIEWS) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """(Spark query, DuckDB text) of a statement builder; driver tables and ``views`` follow FROM or JOIN by name."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text, sources = build(S), TABLES + list(VIEWS)
+        text, sources = build(S), TABLES + list(views)
         used = [t for t in sources if re.search(rf"\b(FROM|JOIN)\s+{t}\b", text)]
         text = text.replace("{", "{{").replace("}", "}}")
         for t in used:
             text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)
-        return spark.sql(text, **{t: VIEWS[t](spark, sf_dir) if t in VIEWS else load(spark, sf_dir, t) for t in used})
+        return spark.sql(text, **{t: views[t](spark, sf_dir) if t in views else load(spark, sf_dir, t) for t in used})
 
     return run, build(D)
