@@ -149,8 +149,9 @@ def near_duplicates(q) -> str:
     else:
         cells = f"c AS (SELECT l.uid AS u, r.uid AS v FROM w l JOIN w r ON l.ticker = r.ticker WHERE (l.t < r.t OR l.t = r.t AND l.uid < r.uid) AND r.t - l.t <= {48 * HOUR})"
     return f"""WITH {base}, {cells},
-        j AS (SELECT u, v, {_jaccard(q, 'l.hw', 'r.hw')} AS headline_j, {_jaccard(q, 'l.bw', 'r.bw')} AS body_j, l.body = '' OR r.body = '' AS no_body FROM c JOIN w l ON l.uid = u JOIN w r ON r.uid = v)
-        SELECT u, v, round(headline_j, 8) AS headline_j, round(body_j, 8) AS body_j FROM j WHERE headline_j >= 0.88 AND (body_j >= 0.72 OR no_body)"""
+        j AS (SELECT u, v, l.bw AS lw, r.bw AS rw, {_jaccard(q, 'l.hw', 'r.hw')} AS headline_j, l.body = '' OR r.body = '' AS no_body FROM c JOIN w l ON l.uid = u JOIN w r ON r.uid = v),
+        k AS (SELECT u, v, headline_j, no_body, {_jaccard(q, 'lw', 'rw')} AS body_j FROM j WHERE headline_j >= 0.88)
+        SELECT u, v, round(headline_j, 8) AS headline_j, round(body_j, 8) AS body_j FROM k WHERE body_j >= 0.72 OR no_body"""
 
 
 def novelty(q) -> str:
