@@ -2,7 +2,7 @@
 
 Confirmed toxic rows are the positives; every document, labelled or not, is unlabelled text. The risk of the
 negatives is estimated as the unlabelled risk less the class prior times the positives' share of it, and where that
-estimate turns negative its gradient is reversed (the non-negative correction). The model is linear in distinct
+estimate falls below zero it counts as zero (the non-negative correction). The model is linear in distinct
 hashed words and six measures of form.
 
 All rows outside the held-out bucket take part. A first pass counts in how many rows each hashed word occurs, a
@@ -64,11 +64,14 @@ def risk_parts(theta: np.ndarray, ptr, slot, value, shape, positive) -> np.ndarr
 
 
 def descent_gradient(parts: np.ndarray, prior: float) -> np.ndarray:
-    """The gradient to descend by: of the non-negative risk, or away from it where the negatives' risk is below zero."""
+    """The gradient of the non-negative risk, to which the negatives' part adds nothing where it is below zero.
+
+    Steps back from there, which suit the noise of small batches, would keep the whole sum from ever getting further.
+    """
     n_pos, n_all = max(parts[0, 0], 1.0), max(parts[2, 0], 1.0)
     negative = parts[2, 1] / n_all - prior * parts[1, 1] / n_pos
     of_negative = parts[2, 2:] / n_all - prior * parts[1, 2:] / n_pos
-    return prior * parts[0, 2:] / n_pos + of_negative if negative >= 0 else -of_negative
+    return prior * parts[0, 2:] / n_pos + (of_negative if negative >= 0 else 0)
 
 
 def _summed(rows: DataFrame) -> list:
@@ -162,7 +165,7 @@ def _parts(compact: DataFrame, theta: np.ndarray) -> np.ndarray:
     return sum((np.frombuffer(bytes(r[1]), np.float64) for r in _summed(found)), np.zeros(3 * (2 + len(theta)))).reshape(3, -1)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = 40, rate: float = 0.15, l2: float = 2e-3) -> PUModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = 50, rate: float = 0.04, l2: float = 5e-4) -> PUModel:
     """Fits on all rows outside the held-out bucket, by Adam on the whole non-negative risk with the logistic loss.
 
     A document is positive if any label of its id says so; null labels say nothing, null and empty texts have form
