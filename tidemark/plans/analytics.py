@@ -25,9 +25,6 @@ PLANS = {
     "projection_pushdown": lambda q: "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01 00:00:00' AND l_returnflag = 'R'",
     "semi_join": lambda q: "SELECT d.doc_id, d.source FROM documents d LEFT SEMI JOIN labels l ON d.doc_id = l.doc_id" if q.spark else "SELECT d.doc_id, d.source FROM documents d SEMI JOIN labels l ON d.doc_id = l.doc_id",
     "anti_join": lambda q: "SELECT d.doc_id, d.source FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l.doc_id" if q.spark else "SELECT d.doc_id, d.source FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id",
-    "checked_left_join": lambda q: """
-        SELECT c.c_custkey, c.c_mktsegment, n.n_name, r.r_name FROM customer c
-        LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey""",
     "group_aggregate": lambda q: """
         SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price,
         min(l_discount) AS min_discount, max(l_tax) AS max_tax, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY l_returnflag, l_linestatus""",
