@@ -70,3 +70,64 @@ def test_text_expressions(spark):
 def test_islands_touching_intervals_merge(spark):
     rows = spark.createDataFrame([("k", 0, 5), ("k", 5, 9), ("k", 20, 21)], "k string, lo int, hi int")
     assert _rows(sequential.merge_intervals(rows, ["k"], "lo", "hi").select("lo", "hi", "n")) == [(0, 9, 2), (20, 21, 1)]
+
+
+def test_global_order_numbers_sums_and_bins(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import ordered
+
+    rows = [(i * 7 % 50, i) for i in range(203)]
+    df = spark.createDataFrame(rows, "v int, id int")
+    got = ordered.ordered(df, [F.desc("v"), "id"], {"upto": "id"}).withColumn("part", ordered.equal_parts(5)).withColumn("bin", ordered.quantile_bins(5)).orderBy("rn").collect()
+    want, total = sorted(rows, key=lambda r: (-r[0], r[1])), 0
+    import numpy as np
+    import pandas as pd
+
+    parts = np.concatenate([np.full(len(p), k + 1) for k, p in enumerate(np.array_split(np.arange(203), 5))])
+    bins = pd.qcut(pd.Series(np.arange(1, 204)), 5, labels=False) + 1
+    for k, (r, (v, i)) in enumerate(zip(got, want)):
+        total += i
+        assert (r["v"], r["id"], r["rn"], r["n_rows"], r["upto"], r["part"], r["bin"]) == (v, i, k + 1, 203, total, parts[k], bins[k])
+        assert r["upto_all"] == sum(range(203))
+    assert ordered.ordered(df.limit(0), ["v", "id"]).count() == 0
+    ranks = {r["v"]: (r["same"], r["upto"]) for r in ordered.value_ranks(df, "v").collect()}
+    assert all(ranks[v] == (sum(x == v for x, _ in rows), sum(x <= v for x, _ in rows)) for v in range(50))
+
+
+def test_checked_join_raises(spark):
+    import pytest
+
+    from tidemark.operators import joins
+
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "k int, x string")
+    right = spark.createDataFrame([(1, "u"), (2, "v")], "k int, y string")
+    assert joins.checked_join(left, right, ["k"], "left", "m:1").count() == 3
+    with pytest.raises(ValueError, match="left side"):
+        joins.checked_join(left, right, ["k"], "inner", "1:1")
+    with pytest.raises(ValueError, match="right side"):
+        joins.checked_join(right, left, ["k"], "inner", "1:1")
+
+
+def test_safe_public_url_and_text_rules(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import articles
+    from tidemark.functions import text as tx
+
+    urls = {
+        "http://example.com/a": True, "https://1.1.1.1": True, "http://172.32.0.1/": True, "http://172.31.255.255/": False, "http://127.0.0.1:80/": False, "http://0.0.0.0": False,
+        "http://[::1]/": False, "http://[fd00::1]:8080/": False, "http://[2606:4700::1]/": True, "ftp://a.b": False, "http://u:p@a.b": False, "http://localhost.": False, "http://x.local": False,
+        "": False, "http:///x": False, "http://999.1.1.1/": True, "http://224.0.0.1/": False,
+    }
+    df = spark.createDataFrame(list(urls.items()) + [(None, False)], "u string, want boolean")
+    assert df.where(articles.safe_public_url(F.col("u")) != F.col("want")).collect() == []
+    times = {"2026-01-02": "DATE_ONLY", "2026-01-02T03:04:05Z": "EXACT_SECOND", "2026-01-02 3:04 PM": "EXACT_MINUTE", "2026-01-02T14Z": "HOUR_ONLY", "soon": "UNKNOWN", "Mon, 05 Jan 2026 07:08:09 +0900": "EXACT_SECOND"}
+    got = spark.createDataFrame(list(times.items()), "t string, want string").withColumn("got", tx.time_precision(F.col("t"))).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    pages = {"<p>a&nbsp;b &eacute;<br/>c</p> <script>x</script> <b>d</b>": "a b é\nc\n d", "": "", "a<br>\n\n<br />b": "a\nb"}
+    got = spark.createDataFrame(list(pages.items()), "h string, want string").withColumn("got", tx.html_text(F.col("h"))).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+    links = {"HTTP://WWW.A.com//x//?b=2&utm_x=1&a=1&Ref=q": "http://a.com/x?a=1&b=2", "https://a.com": "https://a.com/", "https://a.com/?k": "https://a.com/?k="}
+    got = spark.createDataFrame(list(links.items()), "u string, want string").withColumn("got", tx.canonical_url(F.col("u"))).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]

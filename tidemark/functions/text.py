@@ -1,9 +1,13 @@
-"""Text, URL and HTML expressions: built-in functions only, so they stay inside generated code."""
+"""Text, URL and HTML expressions: built-in functions, so that they stay inside generated code, but for one decoder."""
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def clean(text: Column) -> Column:
@@ -47,39 +51,63 @@ def norm_ticker(ticker: Column, market: Column) -> Column:
     return F.when(market == "KR", padded).otherwise(F.replace(F.upper(F.trim(ticker)), F.lit("."), F.lit("-")))
 
 
-#: Query parameters that only track where a reader came from.
-TRACKING = ("fbclid", "gclid", "ref", "source")
-
-
-def canonical_url(url: Column) -> Column:
-    """Lower-case host without ``www.``, single slashes, no closing slash, no tracking parameters, the others sorted."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]*)", 1)), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), "/+", "/"), "/$", "")
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    keep = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.startswith(p, F.lit("utm_")) & ~F.split(p, "=")[0].isin(*TRACKING))
-    tail = F.array_join(F.array_sort(keep), "&")
-    return F.concat(F.lower(F.regexp_extract(url, r"^([a-zA-Z]+)://", 1)), F.lit("://"), host, path, F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(""))
-
-
-def html_text(html: Column) -> Column:
-    """Scripts and styles removed, breaks and paragraph ends to lines, tags to spaces, common entities decoded, space collapsed."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    out = F.regexp_replace(out, r"(?is)<br[^>]*>|</p>", "\n")
+# Query parameters that only track where a reader came from, in the two forms of canonical URLs.
+TRACKING_SORTED = ("ref", "source", "output")
+TRACKING_ORDERED = ("fbclid", "gclid", "mc_cid", "mc_eid", "oc", "ref", "ref_src", "source")
+
+
+def canonical_url(url: Column, ordered: bool = False) -> Column:
+    """A URL without tracking parameters (nor ``utm_``), doubled or closing slashes; a bare host has the path ``/``.
+
+    By default the host loses ``www.`` and parameters are sorted; with ``ordered`` the host stays as it is but for its
+    case, a closing dot and the scheme's own port, parameters keep their order, and what is not http(s) stays as it is.
+    Parameters are compared as they are written; a parameter without a value gets an empty one.
+    """
+    raw = F.trim(F.coalesce(url, F.lit("")))
+    scheme = F.lower(F.regexp_extract(raw, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
+    host = F.lower(F.regexp_extract(raw, r"^[^:/?#]+://([^/?#]*)", 1))
+    path = F.regexp_replace(F.regexp_extract(raw, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), "/{2,}", "/")
+    path = F.regexp_replace(path, "/+$", "")
+    query = F.regexp_extract(raw, r"^[^?#]*\?([^#]*)", 1)
+    dropped = TRACKING_ORDERED if ordered else TRACKING_SORTED
+    name = lambda p: F.lower(F.split(p, "=")[0])
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.startswith(name(p), F.lit("utm_")) & ~name(p).isin(*dropped))
+    kept = F.transform(kept, lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("="))))
+    if ordered:
+        host = F.regexp_replace(F.regexp_replace(host, F.when(scheme == "http", ":80$").otherwise(":443$"), ""), r"\.$", "")
+    else:
+        host, kept = F.regexp_replace(host, r"^www\.", ""), F.array_sort(kept)
+    tail = F.array_join(kept, "&")
+    made = F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(tail != "", F.concat(F.lit("?"), tail)).otherwise(""))
+    whole = scheme.isin("http", "https") & (host != "") if ordered else host != ""
+    return F.when(whole, made).otherwise(raw)
+
+
+@F.pandas_udf(StringType())
+def unescape(text: pd.Series) -> pd.Series:
+    """Every character reference of the standard decoded."""
+    return text.map(html.unescape, na_action="ignore")
+
+
+def html_text(markup: Column) -> Column:
+    """Scripts and styles removed, breaks and paragraph ends to lines, tags to spaces, references decoded.
+
+    Runs of blanks become one space, runs of empty lines one line break. The decoder alone runs in Python, on batches.
+    """
+    out = F.regexp_replace(F.coalesce(markup, F.lit("")), r"(?is)<(script|style).*?>.*?</\1>", " ")
+    out = F.regexp_replace(out, r"(?is)<br\s*/?>|</p\s*>", "\n")
     out = F.regexp_replace(out, r"(?s)<[^>]+>", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
+    out = F.regexp_replace(unescape(out), r"[ \t\r\f\x0B]+", " ")
+    return F.regexp_replace(F.regexp_replace(out, r"\n\s*\n+", "\n"), r"^\s+|\s+$", "")
 
 
 def time_precision(text: Column) -> Column:
-    """The precision a time's literal shape shows."""
-    return (
-        F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), "DATE_ONLY")
-        .when(text.rlike(r"(^|[T ])\d{1,2}:\d{2}:\d{2}"), "EXACT_SECOND")
-        .when(text.rlike(r"(^|[T ])\d{1,2}:\d{2}"), "EXACT_MINUTE")
-        .when(text.rlike(r"[T ]\d{1,2}(Z|[+-]\d{2}:?\d{2})?$"), "HOUR_ONLY")
-        .otherwise("UNKNOWN")
-    )
+    """How precise a time is by the shape of its literal: the parts of its clock, else a bare day or hour."""
+    clock = F.regexp_extract(text, r"(^|(?<=[T ]))[0-9]{1,2}(:[0-9]{2}){1,2}", 0)
+    parts = F.length(clock) - F.length(F.replace(clock, F.lit(":"), F.lit("")))
+    day = F.regexp_extract(text, r"^ *([0-9]{4}-[0-9]{2}-[0-9]{2}) *(.*)$", 1)
+    rest = F.regexp_extract(text, r"[T ]([0-9]{1,2})(Z|[+-][0-9]{2}:?[0-9]{2})?$", 1)
+    return F.when(parts == 2, "EXACT_SECOND").when(parts == 1, "EXACT_MINUTE").when((day != "") & (F.length(F.trim(text)) == 10), "DATE_ONLY").when(rest != "", "HOUR_ONLY").otherwise("UNKNOWN")
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:

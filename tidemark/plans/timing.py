@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import articles
 from tidemark.functions import text as tx
 from tidemark.operators import asof, graph, metrics, sequential
 from tidemark.session import load
@@ -217,22 +218,48 @@ def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 URL_SQL = r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\.', '') AS host,
-regexp_replace(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g'), '/$', '') AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages),
-k AS (SELECT *, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND string_split(x, '=')[1] NOT IN ('fbclid', 'gclid', 'ref', 'source'))), '&') AS tail FROM p)
-SELECT page_id, scheme || '://' || host || path || CASE WHEN tail <> '' THEN '?' || tail ELSE '' END AS canonical FROM k"""
+rtrim(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '/') AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages),
+k AS (SELECT *, [x for x in string_split(q, '&') if x <> '' AND NOT starts_with(lower(x), 'utm_') AND lower(string_split(x, '=')[1]) NOT IN ('ref', 'source', 'output')] AS kept FROM p),
+t AS (SELECT *, array_to_string(list_sort([CASE WHEN contains(x, '=') THEN x ELSE x || '=' END for x in kept]), '&') AS tail FROM k)
+SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN tail <> '' THEN '?' || tail ELSE '' END AS canonical FROM t"""
+
+
+def url_canonical_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "pages").select("page_id", tx.canonical_url(F.col("url"), ordered=True).alias("canonical"))
+
+
+URL_ORDERED_SQL = r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '\.$', '') AS host,
+rtrim(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/{2,}', '/', 'g'), '/') AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS q FROM pages),
+k AS (SELECT *, array_to_string([CASE WHEN contains(x, '=') THEN x ELSE x || '=' END for x in string_split(q, '&') if x <> '' AND NOT starts_with(lower(x), 'utm_')
+AND lower(string_split(x, '=')[1]) NOT IN ('fbclid', 'gclid', 'mc_cid', 'mc_eid', 'oc', 'ref', 'ref_src', 'source')], '&') AS tail FROM p)
+SELECT page_id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN tail <> '' THEN '?' || tail ELSE '' END AS canonical FROM k"""
 
 
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
 
 
+# The tables hold these references only; the operator decodes all there are.
 HTML_SQL = (
-    "SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, "
-    r"'(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?is)<br[^>]*>|</p>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g'), "
-    r"""'&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g')) AS text FROM pages"""
+    "WITH r AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>|<style.*?>.*?</style>', ' ', 'g'), "
+    r"'(?is)<br\s*/?>|</p\s*>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g') AS t FROM pages), "
+    "d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS t FROM r) "
+    r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t\r\f\x0B]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM d"
 )
 
 
+def public_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of the pages and of literal addresses, with whether they may be fetched."""
+    odd = ["http://10.1.2.3/a", "https://8.8.8.8/x", "http://172.20.0.1", "ftp://example.com", "http://user@example.com", "https://LOCALHOST:8080/", "http://printer.local/", "http://192.168.1.1:80/", "https://203.0.114.1/"]
+    pages = load(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
+    literal = spark.range(1).select(F.posexplode(F.array(*map(F.lit, odd))).alias("id", "url")).select((-1 - F.col("id")).cast("bigint").alias("id"), "url")
+    return pages.union(literal).select("id", articles.safe_public_url(F.col("url")).alias("safe"))
+
+
+PUBLIC_SQL = """SELECT page_id AS id, regexp_matches(url, '^https?://[^/?#@]+([/?#]|$)') AS safe FROM pages
+UNION ALL SELECT * FROM (VALUES (-1, false), (-2, true), (-3, false), (-4, false), (-5, false), (-6, false), (-7, false), (-8, false), (-9, true)) t(id, safe)"""
+
+
 def title_and_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("html")
     return load(spark, sf_dir, "pages").select(
@@ -305,6 +332,8 @@ _PAIRS = {
     "syndication_roots": (syndication_roots, ROOTS_SQL),
     "keyword_counts": (keyword_counts, KEYWORDS_SQL),
     "url_canonical": (url_canonical, URL_SQL),
+    "url_canonical_ordered": (url_canonical_ordered, URL_ORDERED_SQL),
+    "public_urls": (public_urls, PUBLIC_SQL),
     "html_to_text": (html_to_text, HTML_SQL),
     "title_and_meta": (title_and_meta, TITLE_SQL),
     "benchmark_containment": (benchmark_containment, CONTAINMENT_SQL),
