@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import shuffle_partitions
+from tidemark.llm.common import col, frugal, numbered, shuffle_partitions
 from tidemark.llm.features import words_of
 
 BUCKETS = 1 << 21
@@ -48,8 +48,12 @@ def term_hashes(text: str | None) -> np.ndarray:
 
 
 def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> np.ndarray:
-    """Flags of the hashed terms whose document frequency lies in the band, from counts over all documents."""
+    """Flags of the hashed terms whose document frequency lies in the band, from counts over all documents.
 
+    Null and empty texts count as documents without terms; an empty table flags nothing that a document could have.
+    """
+
+    @frugal
     def count(batches):
         seen = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
@@ -72,7 +76,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] =
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part.tobytes()], pa.binary())], ["block", "counts"])
 
     schema = "block bigint, counts binary"
-    blocks = docs.select(text_col).mapInArrow(count, schema)
+    blocks = docs.select(col(text_col)).mapInArrow(count, schema)
     n = min(shuffle_partitions(docs.sparkSession), BUCKETS // _BLOCK)
     summed = {r[0]: np.frombuffer(bytes(r[1]), np.int64) for r in blocks.repartition(n, "block").mapInArrow(add, schema).collect()}
     n_docs = int(summed.pop(-1)[0]) if -1 in summed else 0
@@ -129,36 +133,38 @@ def edited(text: str, following: str) -> str:
 def fingerprints_with_next(docs: DataFrame, flags: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of the text edited with the next document's, and their likeness.
 
-    Documents are taken in ascending id (null first, ties by text), the first following the last. They
-    are dealt out by ranges of ids; the first rows of a range also go to the range before, so that no
-    task needs more than its own rows. Null text is empty.
+    Documents are taken in ascending id (null first, rows of one id by a hash of their texts), the first following the
+    last. They are dealt out by ranges; the first row of a range also goes to the range before, so that no task needs
+    more than its own rows and one. Null text is empty; whole texts of any length are read; equal texts have equal
+    fingerprints; ids may be of any type that can be sorted; other columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
-    low = -(2**63)
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    order = F.coalesce("id", F.lit(low))
+    rows = numbered(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), "id", "text")
+    own = rows.select("doc", rows["row"]["id"].alias("id"), F.col("data").cast("string").alias("text"))
     parts = 4 * shuffle_partitions(spark)
     cuts = [i / parts for i in range(1, parts)]
-    smallest, bounds = own.agg(F.min(order), F.percentile_approx(order, cuts, 20 * parts)).first()
+    smallest, bounds = own.agg(F.min("doc"), F.percentile_approx("doc", cuts, 20 * parts)).first()
     bounds = np.unique(np.array(bounds or [], np.int64))
     bounds = bounds[bounds > (smallest if smallest is not None else 0)]
 
+    @frugal
     def deal(batches):
         for batch in batches:
-            ids = batch.column(0).fill_null(low).to_numpy()
-            part = np.searchsorted(bounds, ids, side="right")
-            for guest, rows in ((False, np.arange(len(ids))), (True, np.flatnonzero(np.isin(ids, bounds) | (ids == smallest)))):
+            numbers = batch.column(0).to_numpy()
+            part = np.searchsorted(bounds, numbers, side="right")
+            for guest, rows in ((False, np.arange(len(numbers))), (True, np.flatnonzero(np.isin(numbers, bounds) | (numbers == smallest)))):
                 if len(rows):
                     to = part[rows] - 1 if guest else part[rows]
                     to = np.where(to < 0, len(bounds), to)
                     taken = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.full(len(rows), guest)), *taken.columns], ["part", "guest", "id", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(np.full(len(rows), guest)), *taken.columns], ["part", "guest", "doc", "id", "text"])
 
+    @frugal
     def run(batches):
         waiting = None  # the row whose next one is not seen yet: (part, id, text, fingerprint)
         for batch in batches:
             rows = []
-            for part, guest, key, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, guest, _, key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if waiting is not None and waiting[0] != part:
                     waiting = None  # its guest has been used, or it was a guest
                 if guest and waiting is None:
@@ -172,10 +178,12 @@ def fingerprints_with_next(docs: DataFrame, flags: np.ndarray, id_col: str = "do
                     rows.append((k, len(t), sha, as_text(m), as_text(mark_new), likeness(m, mark_new), likeness(m, mark)))
                 waiting = None if guest else (part, key, text, mark)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                id_type = batch.column(3).type
+                yield pa.RecordBatch.from_arrays([pa.array(c, t or id_type) for c, t in zip(zip(*rows), kinds)], names)
 
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-    dealt = own.mapInArrow(deal, "part bigint, guest boolean, id bigint, text string")
-    placed = dealt.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "guest", "id", "text")
-    return placed.mapInArrow(run, "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    kinds = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+    kind = docs.schema[id_col].dataType.simpleString()
+    dealt = own.mapInArrow(deal, f"part bigint, guest boolean, doc bigint, id {kind}, text string")
+    placed = dealt.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part", "guest", "doc")
+    return placed.mapInArrow(run, f"id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import holdout_bucket
+from tidemark.llm.common import col, holdout_bucket
 from tidemark.llm.features import N_SHAPE, Sample, bounded_rows, collect_features, score_rows
 
 SLOTS = 1 << 15
@@ -83,16 +83,24 @@ class OrdinalModel:
 
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """``ratings``: (doc_id, grade 0 .. grades-1). Fits on at most ``MAX_TRAIN`` rows outside the held-out bucket."""
-    rated = ratings.where(holdout_bucket("doc_id", HELD_OUT_MOD) != 0).where("grade is not null").dropDuplicates(["doc_id"])
+    """``ratings``: (doc_id, grade 0 .. grades-1). Fits on at most ``MAX_TRAIN`` rows outside the held-out bucket.
+
+    Null grades say nothing; of conflicting grades of one id the least counts; null and empty texts have form only;
+    texts are read whole; repeated documents count each. Without rated rows all weights are nought.
+    """
+    rated = ratings.where(holdout_bucket("doc_id", HELD_OUT_MOD) != 0).where("grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = bounded_rows(rated, "doc_id", MAX_TRAIN)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     sample = collect_features(texts.join(chosen, "doc_id"), "text", ["doc_id", "grade"], SLOTS)
     return OrdinalModel(grades).fit(sample, sample.kept["grade"].to_numpy(dtype=np.int64))
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, bucket, expected_grade, tails): null and empty texts are scored as a text without words."""
+    """(id, bucket, expected_grade, tails), one row for each of ``docs``.
+
+    Null and empty texts are scored as a text without words, whole texts of any length are read, equal texts score
+    alike, a null id is kept (bucket 0), other columns are ignored, an empty table gives an empty one.
+    """
     k = model.grades - 1
 
     def link(*found):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import col, frugal, is_integral, materialise, shuffle_partitions
+from tidemark.llm.common import frugal, materialise, numbered, shuffle_partitions
 
 #: Bytes of an anchor.
 K = 24
@@ -556,24 +556,6 @@ def _whole_keys(key: np.ndarray, length: np.ndarray):
         a = b
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, data, row): a unique number of every row, ascending with the id, the text's bytes, all other columns.
-
-    The number is the id itself where ids are whole numbers, unique and not null. Otherwise rows are ranked by id
-    (null first), then by a hash of the text, over range partitions.
-    """
-    others = [c for c in docs.columns if c != text_col]
-    own = docs.select(F.struct(*map(col, others)).alias("row"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("data"))
-    if is_integral(docs, id_col):
-        n, distinct, missing = docs.agg(F.count("*"), F.count_distinct(col(id_col)), F.count(F.when(col(id_col).isNull(), 1))).first()
-        if not missing and n == distinct:
-            return own.select(own["row"][id_col].cast("bigint").alias("doc"), "data", "row")
-    order = [own["row"][id_col].asc_nulls_first(), F.xxhash64("data")]
-    ranged = own.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    # Within a partition the numbers ascend, and partitions ascend in the order.
-    return materialise(ranged.select(F.monotonically_increasing_id().alias("doc"), "data", "row"), "numbered")
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 100) -> DataFrame:
     """(row, data, cover): the columns of ``docs`` but the text, its bytes, and those to remove, as [from, to) pairs.
 

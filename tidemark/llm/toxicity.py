@@ -27,6 +27,8 @@ EVIDENCE = 4.0
 USED = 4096
 #: Rows to a compact row, and tasks that add up what the others found.
 ROWS, ADDERS = 2000, 16
+#: Tasks whose sums (100 KB each) the driver adds itself.
+FEW_TASKS = 64
 HELD_OUT_MOD = 5
 _BLOCK = 1 << 13
 
@@ -160,9 +162,13 @@ def _parts(compact: DataFrame, theta: np.ndarray) -> np.ndarray:
                 total += risk_parts(theta, ptr, slot, value, shape.reshape(-1, N_SHAPE), positive)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "sums"])
 
-    # Each adder first takes a share of the tasks; what they found is added on the driver.
-    found = compact.mapInArrow(run, "block bigint, sums binary").withColumn("block", F.pmod(F.spark_partition_id(), F.lit(ADDERS)).cast("bigint"))
-    return sum((np.frombuffer(bytes(r[1]), np.float64) for r in _summed(found)), np.zeros(3 * (2 + len(theta)))).reshape(3, -1)
+    found = compact.mapInArrow(run, "block bigint, sums binary")
+    if compact.rdd.getNumPartitions() > FEW_TASKS:
+        # Each adder first takes a share of the tasks; what they found is added on the driver.
+        rows = _summed(found.withColumn("block", F.pmod(F.spark_partition_id(), F.lit(ADDERS)).cast("bigint")))
+    else:
+        rows = found.collect()
+    return sum((np.frombuffer(bytes(r[1]), np.float64) for r in rows), np.zeros(3 * (2 + len(theta)))).reshape(3, -1)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = 50, rate: float = 0.04, l2: float = 5e-4) -> PUModel:
