@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import analytics, labels, news, policies, timing
+from tidemark.plans import analytics, labels, landed_rows, news, policies, timing
 
-QUERIES = timing.QUERIES | analytics.QUERIES | labels.QUERIES | news.QUERIES | policies.QUERIES
-ORACLES = timing.ORACLES | analytics.ORACLES | labels.ORACLES | news.ORACLES | policies.ORACLES
+QUERIES = timing.QUERIES | analytics.QUERIES | labels.QUERIES | landed_rows.QUERIES | news.QUERIES | policies.QUERIES
+ORACLES = timing.ORACLES | analytics.ORACLES | labels.ORACLES | landed_rows.ORACLES | news.ORACLES | policies.ORACLES

@@ -14,11 +14,17 @@ def csv_table(spark: SparkSession, path: str | list[str], schema: str, columns:
     return rows.select(*columns) if columns else rows
 
 
+def audited_json_lines(spark: SparkSession, path: str | list[str], schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of a JSON-lines ledger, gzipped or plain: lines that do not parse come whole as ``line``."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("_r"))
+    good = parsed.where("_r IS NOT NULL AND _r._bad IS NULL").select("_r.*").drop("_bad")
+    return good, parsed.where("_r IS NULL OR _r._bad IS NOT NULL").select(F.col("value").alias("line"))
+
+
 def json_lines(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """A JSON-lines ledger, gzipped or plain; lines that do not parse are left out."""
-    marked = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    good = marked.where("_bad IS NULL")
-    return good.drop("_bad")
+    """The rows of a JSON-lines ledger; see ``audited_json_lines`` for the lines that do not parse."""
+    return audited_json_lines(spark, path, schema)[0]
 
 
 def news_bucket(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:

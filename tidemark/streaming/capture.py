@@ -18,11 +18,12 @@ def flag_usable(rows: DataFrame, published: str = "published_at", captured: str
 
 
 def first_seen(rows: DataFrame, key: str, captured: str = "captured_at", horizon: str = "7 days") -> DataFrame:
-    """One row per key within the horizon; the watermark bounds the state. On a batch table: the earliest row of each key."""
+    """One row per key within the horizon; the watermark bounds the state. On a batch table: the earliest row of each key,
+    of rows captured at one time the least. A stream keeps what arrives first."""
     if rows.isStreaming:
         return rows.withWatermark(captured, horizon).dropDuplicatesWithinWatermark([key])
-    best = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), F.col(captured)).alias("_r"))
-    return best.select("_r.*")
+    best = rows.groupBy(key).agg(F.min(F.struct(F.col(captured).alias("_at"), F.struct(*rows.columns).alias("_row"))).alias("_r"))
+    return best.select("_r._row.*")
 
 
 #: Fixed values of the retry rule: minutes of the first delay, its ceiling, equal deterministic failures to quarantine.
