@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy_spacing(df: DataFrame, keys: list[str], time: str, order: str, gap: int, strict: bool = True, split: int | None = None) -> DataFrame:
+def greedy_spacing(df: DataFrame, keys: list[str], time: str, order: str, gap: int, strict: bool = True) -> DataFrame:
     """Rows that are kept when each must follow the last *kept* row of its key by more than ``gap`` (or at least, if not strict).
 
-    A key's times are cut into runs that no later row can look across (a pause longer than the gap begins
-    a new run whose first row is always kept), so a hot key is folded in many small arrays.
+    Rows are sorted within their partition and folded as they pass, the state being the last kept time: a key of any
+    size is read in bounded memory, and the fold jumps from one kept row to the next. Null times are left out.
     """
-    w = Window.partitionBy(*keys).orderBy(time, order)
-    pause = F.col(time) - F.lag(time).over(w)
-    apart = pause > gap if strict else pause >= gap
-    runs = df.withColumn("_run", F.sum(F.when(apart, 1).otherwise(0)).over(w))
-    rows = F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), F.col(order).alias("o"))))
-    folded = runs.groupBy(*keys, "_run").agg(rows.alias("r"))
-    beyond = "x.t - s.last > {0}" if strict else "x.t - s.last >= {0}"
-    kind = df.schema[order].dataType.simpleString()
-    fold = (
-        f"aggregate(r, named_struct('last', CAST(NULL AS BIGINT), 'kept', CAST(array() AS array<struct<t:bigint,o:{kind}>>)), (s, x) -> "
-        f"CASE WHEN s.last IS NULL OR {beyond.format(gap)} THEN named_struct('last', CAST(x.t AS BIGINT), 'kept', "
-        f"concat(s.kept, array(named_struct('t', CAST(x.t AS BIGINT), 'o', x.o)))) ELSE s END, s -> s.kept)"
-    )
-    kept = folded.select(*keys, F.explode(F.expr(fold)).alias("_kept"))
-    return kept.select(*keys, F.col("_kept.t").alias(time), F.col("_kept.o").alias(order))
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, last = None, None
+        for frame in frames:
+            own = frame[keys]
+            starts = np.flatnonzero((own.ne(own.shift()) & ~(own.isna() & own.shift().isna())).any(axis=1).to_numpy())
+            starts = starts if len(starts) and starts[0] == 0 else np.concatenate(([0], starts))
+            times, kept = frame[time].to_numpy(np.int64), []
+            for a, b in zip(starts, np.append(starts[1:], len(frame))):
+                key = tuple(None if pd.isna(x) else x for x in own.iloc[a])
+                at = a
+                if key == last_key:
+                    at = a + int(np.searchsorted(times[a:b], last + gap, side="right" if strict else "left"))
+                while at < b:
+                    kept.append(at)
+                    last = int(times[at])
+                    at = a + int(np.searchsorted(times[a:b], last + gap, side="right" if strict else "left"))
+                last_key = key
+            yield frame.iloc[kept]
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*keys, time, order).where(F.col(time).isNotNull()).repartition(parts, *keys).sortWithinPartitions(*keys, time, order)
+    return rows.mapInPandas(fold, rows.schema)
 
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

@@ -126,7 +126,8 @@ PLANS = {
         v AS (SELECT o_custkey, min(t) AS first FROM o WHERE k > 7 GROUP BY o_custkey)
         SELECT o.o_orderkey FROM o LEFT JOIN v ON o.o_custkey = v.o_custkey WHERE k <= 7 AND (v.first IS NULL OR o.t < v.first - {7 * DAY})""",
     "hash_role_100": lambda q: f"SELECT c_custkey, {q.hash32(q.string('c_custkey'))} % 100 AS slot, CASE WHEN {q.hash32(q.string('c_custkey'))} % 100 < 60 THEN 'dev' WHEN {q.hash32(q.string('c_custkey'))} % 100 < 80 THEN 'seal' ELSE 'quarantine' END AS role FROM customer",
-    "hash_sample_k": lambda q: f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {q.sha(q.string('doc_id'))}) AS k FROM documents) x WHERE k <= 5",
+    # The five least hashes of a part of a source first, so that no task sees a whole source.
+    "hash_sample_k": lambda q: f"SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h) AS k FROM (SELECT *, row_number() OVER (PARTITION BY source, part ORDER BY h) AS j FROM (SELECT doc_id, source, {q.sha(q.string('doc_id'))} AS h, doc_id % 64 AS part FROM documents) a) b WHERE j <= 5) c WHERE k <= 5" if q.spark else f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {q.sha(q.string('doc_id'))}) AS k FROM documents) x WHERE k <= 5",
     "round_robin_strata": lambda q: "SELECT doc_id, lang, k, place FROM round_robin" if q.spark else f"""
         WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {q.sha(q.string('doc_id'))}) AS k FROM documents)
         SELECT doc_id, lang, k, row_number() OVER (ORDER BY k, lang) AS place FROM r""",
