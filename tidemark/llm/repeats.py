@@ -9,9 +9,9 @@ and left-character arrays over the spans it holds and scans the LCP intervals wi
 whose suffixes are preceded by different bytes (or begin a span) is a maximal repeat and is put out with
 all its occurrences.
 
-An anchor that very many spans share is refined: its windows get longer anchors, in the end the longest there is,
-the window itself; these are counted like the others, and those that occur twice or more go through the same arrays.
 Before the shuffle equal spans of a batch are put out as repeats of the earliest, which alone travels on.
+An anchor that very many different spans share is refined: its windows get the longest anchor there is, the window
+itself; these are counted like the others, and those that occur twice or more go through the same arrays.
 Parts of a passage that is longer than a span are joined again by ``passages``.
 """
 
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import frugal, materialise, numbered, shuffle_partitions
+from tidemark.llm.common import checked_broadcast, frugal, materialise, numbered, shuffle_partitions
 
 #: Bytes of an anchor.
 K = 24
-#: Spans from which on an anchor's windows get longer anchors.
+#: Different spans from which on an anchor's windows get anchors of their own.
 REFINE_FROM = 2000
 #: Bytes of spans a task sorts at a time (whole anchors, so a little more).
 CHUNK = 1 << 19
@@ -266,6 +266,28 @@ def _steps(sizes: np.ndarray, at_most: int):
         i = j
 
 
+def _settled(data, start, doc, at, size, key):
+    """Spans (bytes of ``data`` from ``start``, at ``at`` in ``doc``) as rows of ``_SPAN``: of equal ones only the
+    earliest has a body, the others are pairs with it."""
+    mark = np.concatenate([_marks(data, start[i : i + STEP_SPANS], size[i : i + STEP_SPANS]) for i in range(0, len(key), STEP_SPANS)])
+    order = np.lexsort((at, doc, size, mark, key))
+    key, doc, at, size, start, mark = (x[order] for x in (key, doc, at, size, start, mark))
+    alike = np.concatenate(([False], (key[1:] == key[:-1]) & (size[1:] == size[:-1]) & (mark[1:] == mark[:-1])))
+    head = np.maximum.accumulate(np.where(alike, 0, np.arange(len(key))))
+    # The bytes decide, not the hash.
+    for late in _parts(np.flatnonzero(alike)):
+        differs = _gather(data, start[late], size[late]) != _gather(data, start[head[late]], size[late])
+        alike[late] = ~np.logical_or.reduceat(differs, np.cumsum(size[late]) - size[late])
+    for lone in _parts(np.flatnonzero(~alike)):
+        ends = pa.py_buffer(np.concatenate(([0], np.cumsum(size[lone]))).astype(np.int32))
+        body = pa.Array.from_buffers(pa.binary(), len(lone), [None, ends, pa.py_buffer(_gather(data, start[lone], size[lone]))])
+        nulls = pa.nulls(len(lone), pa.int64())
+        yield _batch([key[lone], body, doc[lone], at[lone], nulls, nulls, size[lone]], _SPAN)
+    for late in _parts(np.flatnonzero(alike)):
+        first = head[late]
+        yield _batch([doc[late], pa.nulls(len(late), pa.binary()), doc[first], at[first], doc[late], at[late], size[late]], _SPAN)
+
+
 class RepeatFinder:
     """Repeats of at least ``min_bytes`` bytes (100 to 150) among texts known by a unique ``doc`` number.
 
@@ -275,8 +297,8 @@ class RepeatFinder:
 
     def __init__(self, texts: DataFrame, min_bytes: int = 100):
         # A span's windows, at most min_bytes - K + 1, are counted in seven bits.
-        if not 2 * K < min_bytes <= K + 127:
-            raise ValueError("min_bytes must be above twice the anchor's length and at most 127 above it")
+        if not K < min_bytes <= K + 127:
+            raise ValueError("min_bytes must be above the anchor's length and at most 127 above it")
         self.n = shuffle_partitions(texts.sparkSession)
         self.texts, self.min_bytes = texts, min_bytes
 
@@ -301,27 +323,6 @@ class RepeatFinder:
 
         return self._repeated(self.texts, anchors)
 
-    def _refined(self, shared: DataFrame, k: int) -> DataFrame:
-        """(doc, h, code): the windows of the ``shared`` spans under anchors of ``k`` bytes, where these occur twice."""
-        least = self.min_bytes
-        lists = shared.groupBy("doc").agg(F.collect_list("code").alias("codes"))
-        level = np.int64(k << 48)
-
-        def anchors(batches):
-            for batch in batches:
-                offsets, data = _binary(batch.column(1))
-                docs = batch.column(0).to_numpy()
-                sizes, codes = _lists(batch.column(2))
-                owner = np.repeat(np.arange(len(docs)), sizes)
-                first, size = codes >> _SHIFT, (codes & ((1 << _SHIFT) - 1)) + least - 1
-                for i in range(0, len(codes), STEP_SPANS // 8):
-                    own, at, n = owner[i : i + STEP_SPANS // 8], first[i : i + STEP_SPANS // 8], size[i : i + STEP_SPANS // 8]
-                    ends = np.cumsum(n)
-                    who, h, begin, count = spans(_gather(data, offsets[own] + at, n), ends - n, ends, least, k)
-                    yield docs[own[who]], h ^ level, ((at[who] + begin) << _SHIFT) | count
-
-        return self._repeated(self.texts.join(lists, "doc").select("doc", "data", "codes"), anchors)
-
     def _repeated(self, rows: DataFrame, anchors) -> DataFrame:
         """(doc, h, code) of what ``anchors`` finds in the rows, less the anchors that occur once."""
 
@@ -390,13 +391,6 @@ class RepeatFinder:
         """(key, body, doc, pos) of the earliest of equal spans of a batch; the others as pairs with it."""
         least = self.min_bytes
         found = materialise(self._anchors(), "anchors")
-        for k in (least - K, least):
-            shared = found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > REFINE_FROM).select("h")
-            shared = materialise(shared, "shared_anchors")
-            if not shared.limit(1).count():
-                break
-            finer = materialise(self._refined(found.join(shared, "h", "left_semi"), k), "finer_anchors")
-            found = found.join(shared, "h", "left_anti").select("doc", "h", "code").unionByName(finer)
         lists = found.groupBy("doc").agg(F.collect_list(F.struct("h", "code")).alias("s")).select("doc", "s.h", "s.code")
 
         @frugal
@@ -408,33 +402,47 @@ class RepeatFinder:
                 codes = _lists(batch.column(3))[1]
                 upto = np.concatenate(([0], np.cumsum(sizes)))
                 for i, j in _steps(sizes, SETTLE_SPANS):
-                    owner = np.repeat(np.arange(i, j), sizes[i:j])
-                    yield from settle(data, offsets[owner], docs[owner], keys[upto[i] : upto[j]], codes[upto[i] : upto[j]])
-
-        def settle(data, offset, doc, key, code):
-            at = code >> _SHIFT
-            size = (code & ((1 << _SHIFT) - 1)) + least - 1
-            start = offset + at
-            mark = np.concatenate([_marks(data, start[i : i + STEP_SPANS], size[i : i + STEP_SPANS]) for i in range(0, len(key), STEP_SPANS)])
-            order = np.lexsort((at, doc, size, mark, key))
-            key, doc, at, size, start, mark = (x[order] for x in (key, doc, at, size, start, mark))
-            alike = np.concatenate(([False], (key[1:] == key[:-1]) & (size[1:] == size[:-1]) & (mark[1:] == mark[:-1])))
-            head = np.maximum.accumulate(np.where(alike, 0, np.arange(len(key))))
-            # The bytes decide, not the hash.
-            for late in _parts(np.flatnonzero(alike)):
-                differs = _gather(data, start[late], size[late]) != _gather(data, start[head[late]], size[late])
-                alike[late] = ~np.logical_or.reduceat(differs, np.cumsum(size[late]) - size[late])
-            for lone in _parts(np.flatnonzero(~alike)):
-                ends = pa.py_buffer(np.concatenate(([0], np.cumsum(size[lone]))).astype(np.int32))
-                body = pa.Array.from_buffers(pa.binary(), len(lone), [None, ends, pa.py_buffer(_gather(data, start[lone], size[lone]))])
-                nulls = pa.nulls(len(lone), pa.int64())
-                yield _batch([key[lone], body, doc[lone], at[lone], nulls, nulls, size[lone]], _SPAN)
-            for late in _parts(np.flatnonzero(alike)):
-                first = head[late]
-                yield _batch([doc[late], pa.nulls(len(late), pa.binary()), doc[first], at[first], doc[late], at[late], size[late]], _SPAN)
+                    owner, code = np.repeat(np.arange(i, j), sizes[i:j]), codes[upto[i] : upto[j]]
+                    at = code >> _SHIFT
+                    yield from _settled(data, offsets[owner] + at, docs[owner], at, (code & ((1 << _SHIFT) - 1)) + least - 1, keys[upto[i] : upto[j]])
 
         return self.texts.join(lists, "doc").select("doc", "data", "h", "code").mapInArrow(cut, _SPAN)
 
+    def _windows(self, shared: DataFrame) -> DataFrame:
+        """The windows that occur twice or more among the spans ``shared``, each as a span with the window for anchor."""
+        least = self.min_bytes
+
+        def anchors(batches):
+            for batch in batches:
+                for part in (batch.slice(i, STEP_SPANS // 8) for i in range(0, len(batch), STEP_SPANS // 8)):
+                    doc, pos, size = (part.column(k).to_numpy() for k in (2, 3, 6))
+                    offsets, body = _binary(part.column(1))
+                    count = size - least + 1
+                    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    marks = _rolling(body, least)[np.repeat(offsets[:-1], count) + within].view(np.int64)
+                    yield np.repeat(doc, count), marks ^ np.int64(least << 48), ((np.repeat(pos, count) + within) << _SHIFT) | 1
+
+        found = materialise(self._repeated(shared, anchors), "windows")
+        lists = found.groupBy("doc").agg(F.collect_list(F.struct("h", "code")).alias("s")).select("doc", "s.h", "s.code")
+
+        @frugal
+        def cut(batches):
+            for batch in batches:
+                offsets, data = _binary(batch.column(0))
+                docs, first, length = (batch.column(k).to_numpy() for k in (1, 2, 3))
+                sizes, keys = _lists(batch.column(4))
+                codes = _lists(batch.column(5))[1]
+                upto = np.concatenate(([0], np.cumsum(sizes)))
+                for i, j in _steps(sizes, SETTLE_SPANS):
+                    owner, at = np.repeat(np.arange(i, j), sizes[i:j]), codes[upto[i] : upto[j]] >> _SHIFT
+                    # A document's list has the windows of all its spans.
+                    own = np.flatnonzero((at >= first[owner]) & (at + least <= first[owner] + length[owner]))
+                    owner, at, key = owner[own], at[own], keys[upto[i] : upto[j]][own]
+                    if len(own):
+                        yield from _settled(data, offsets[owner] + at - first[owner], docs[owner], at, np.full(len(own), least), key)
+
+        return shared.join(lists, "doc").select("body", "doc", "pos", "length", "h", "code").mapInArrow(cut, _SPAN)
+
     def repeats(self) -> DataFrame:
         """(repeat_id, length, doc, pos, first_doc, first_pos): every occurrence of the maximal repeats.
 
@@ -491,7 +499,24 @@ class RepeatFinder:
             found = _scan(_gather(body, start[several], length[several]), length[several], doc[several], pos[several], least)
             return None if found is None else _occurrences(*found, base)
 
-        dealt = self._spans().repartition(self.n, "key").sortWithinPartitions("key")
+        spans_ = materialise(self._spans(), "spans")
+        counts = spans_.groupBy("key").agg(F.count("body").alias("n")).where(F.col("n") > REFINE_FROM)
+        shared = materialise(counts.select("key", F.lit(True).alias("shared")), "shared_anchors")
+        if shared.limit(1).count():
+
+            def taken(on: bool):
+                @frugal
+                def run(batches):
+                    for batch in batches:
+                        flag = pc.and_(pc.fill_null(batch.column(7), False), batch.column(1).is_valid())
+                        yield pa.RecordBatch.from_arrays(batch.columns[:7], batch.schema.names[:7]).filter(flag if on else pc.invert(flag))
+
+                return run
+
+            flagged = spans_.join(checked_broadcast(shared), "key", "left").select(*spans_.columns, "shared")
+            refined = materialise(flagged.mapInArrow(taken(True), _SPAN), "refined")
+            spans_ = flagged.mapInArrow(taken(False), _SPAN).unionByName(self._windows(refined))
+        dealt = spans_.repartition(self.n, "key").sortWithinPartitions("key")
         return dealt.mapInArrow(scan, _REPEAT)
 
     def passages(self) -> DataFrame:
