@@ -33,7 +33,7 @@ K = 24
 #: Different spans from which on an anchor's windows get anchors of their own.
 REFINE_FROM = 2000
 #: Bytes of spans a task sorts at a time (whole anchors, so a little more).
-CHUNK = 1 << 19
+CHUNK = 1 << 16
 #: Bytes of text, spans and anchor rows that are looked at in one step.
 STEP_BYTES, STEP_SPANS, STEP_ROWS = 1 << 18, 10_000, 1_000_000
 #: Spans among which equal ones are looked for before the shuffle (those of whole texts, so a little more).
@@ -97,10 +97,19 @@ def spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_bytes: int,
     return who, grams[anchor[cut]].view(np.int64), valid[cut] - starts[who], count
 
 
-def _rank(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    ranked = keys[order]
-    out = np.empty(len(keys), np.uint64)
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys below 2 to the ``bits`` and the keys in it. Key and place are sorted as one number where they fit."""
+    own = max(1, (len(key) - 1).bit_length())
+    if bits + own > 64:
+        order = np.argsort(key)
+        return order, key[order]
+    packed = np.sort((key << np.uint64(own)) | np.arange(len(key), dtype=np.uint64))
+    return (packed & np.uint64((1 << own) - 1)).astype(np.int64), packed >> np.uint64(own)
+
+
+def _rank(key: np.ndarray, bits: int) -> np.ndarray:
+    order, ranked = _sorted(key, bits)
+    out = np.empty(len(key), np.uint64)
     out[order] = np.cumsum(np.concatenate(([0], (ranked[1:] != ranked[:-1]).astype(np.uint64))), dtype=np.uint64)
     return out
 
@@ -114,29 +123,29 @@ def _shifted(rank: np.ndarray, by: int) -> np.ndarray:
 def suffix_array(buf: np.ndarray, length_left: np.ndarray, first: np.ndarray, min_bytes: int):
     """Sorted suffixes among ``first`` (those with ``min_bytes`` left in their span) and the LCP of neighbours.
 
-    Prefix doubling on ranks of 8, 16, 32 and 64 bytes; spans are shorter than 192 bytes. ``buf`` ends
+    Prefix doubling on ranks of 4, 8, 16, 32 and 64 bytes; spans are shorter than 192 bytes. ``buf`` ends
     with at least 192 bytes of padding.
     """
     words = np.zeros(len(buf), np.uint64)
-    for i in range(8):
-        words[: len(buf) - i] |= buf[i:].astype(np.uint64) << np.uint64(56 - 8 * i)
+    for i in range(4):
+        words[: len(buf) - i] |= buf[i:].astype(np.uint64) << np.uint64(24 - 8 * i)
     # Bytes beyond the span read as nothing, so that a span's end cannot match what lies behind it.
-    short = np.flatnonzero(length_left < 8)
+    short = np.flatnonzero(length_left < 4)
     keep = length_left[short].astype(np.uint64) * np.uint64(8)
-    words[short] = np.where(keep > 0, words[short] & ~(np.uint64(0xFFFFFFFFFFFFFFFF) >> keep), 0)
-    levels = {8: _rank(words)}
-    size = np.uint64(32)
-    for n in (8, 16, 32):
-        levels[2 * n] = _rank((levels[n] << size) | _shifted(levels[n], n))
+    words[short] = words[short] & ~(np.uint64(0xFFFFFFFF) >> keep)
+    levels = {4: _rank(words, 32)}
+    bits = len(buf).bit_length()
+    size = np.uint64(bits)
+    for n in (4, 8, 16, 32):
+        levels[2 * n] = _rank((levels[n] << size) | _shifted(levels[n], n), 2 * bits)
     r64 = levels[64]
-    r128 = _rank((r64[first] << size) | r64[first + 64])
-    order = np.argsort((r128 << size) | r64[first + 128], kind="stable")
-    sa = first[order]
+    r128 = _rank((r64[first] << size) | r64[first + 64], 2 * bits)
+    sa = first[_sorted((r128 << size) | r64[first + 128], 2 * bits)[0]]
     a, b = sa[:-1], sa[1:]
     lcp = np.zeros(len(a), np.int64)
-    for n in (64, 64, 64, 32, 16, 8):
+    for n in (64, 64, 64, 32, 16, 8, 4):
         lcp += n * (levels[n][np.minimum(a + lcp, len(buf) - 1)] == levels[n][np.minimum(b + lcp, len(buf) - 1)])
-    for _ in range(8):
+    for _ in range(4):
         x, y = np.minimum(a + lcp, len(buf) - 1), np.minimum(b + lcp, len(buf) - 1)
         lcp += (buf[x] == buf[y]) & (lcp < np.minimum(length_left[a], length_left[b]))
     lcp = np.minimum(lcp, np.minimum(length_left[a], length_left[b]))
