@@ -68,8 +68,10 @@ class PositionalIndex:
         rarest = f"slice(array_sort(transform(slice(r, s + 1, {window}), x -> named_struct('n', x.n, 'ipos', x.ipos))), 1, {ANCHORS})"
         windows = f"transform(sequence(0, greatest(size(w) - {window}, 0)), s -> named_struct('s', s, 'need', transform({rarest}, x -> x.ipos)))"
         self.sequences = materialise(plain.join(by_place, "sid").select("sid", "w", "items", F.expr(windows).alias("windows")), "windows")
-        places = self.sequences.select("sid", "w", F.explode(F.array_distinct(F.flatten("windows.need"))).alias("ipos"))
-        self.anchors = materialise(places.select("sid", "ipos", F.expr("w[ipos]").alias("term")), "anchors")
+        # No window can lie where fewer of an item's anchors meet than any of its windows has.
+        least = F.expr("array_min(transform(windows, x -> size(x.need)))").alias("least")
+        places = self.sequences.select("sid", "w", least, F.explode(F.array_distinct(F.flatten("windows.need"))).alias("ipos"))
+        self.anchors = materialise(places.select("sid", "ipos", "least", F.expr("w[ipos]").alias("term")), "anchors")
         lists = checked_broadcast(self.anchors.select("term").distinct())
         self.postings = materialise(tokens(docs).join(lists, "term"), "postings")
 
@@ -77,9 +79,9 @@ class PositionalIndex:
         """(doc_id, th, w, items, shift, starts): windows of an item (``starts``) whose anchors' offset-adjusted lists
         meet in a document, the item's first word being at ``shift``."""
         met = self.postings.join(checked_broadcast(self.anchors), "term")
-        met = met.groupBy("doc_id", "th", "sid", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("seen"))
+        met = met.groupBy("doc_id", "th", "sid", "least", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("seen"))
         whole = "filter(windows, x -> shift + x.s >= 0 AND size(array_except(x.need, seen)) = 0)"
-        wide = met.where(f"size(seen) > 0").join(checked_broadcast(self.sequences), "sid")
+        wide = met.where("size(seen) >= least").join(checked_broadcast(self.sequences), "sid")
         return wide.select("doc_id", "th", "w", "items", "shift", F.expr(f"transform({whole}, x -> x.s)").alias("starts")).where("size(starts) > 0")
 
     def phrase_matches(self) -> DataFrame:
