@@ -195,11 +195,14 @@ def maximal_repeats(sa: np.ndarray, lcp: np.ndarray, left: np.ndarray, min_bytes
 def _scan(body: np.ndarray, size: np.ndarray, doc: np.ndarray, first: np.ndarray, min_bytes: int):
     """Maximal repeats among adjacent spans, as (repeat number, length, doc, position) columns."""
     pad = 256
-    buf = np.concatenate((body, np.zeros(pad, np.uint8)))
-    start = np.cumsum(size) - size
-    span = np.repeat(np.arange(len(size)), size)
+    # Four zeros after a span keep what follows it from deciding its suffixes' order.
+    wide = size + 4
+    start = np.cumsum(wide) - wide
+    span = np.repeat(np.arange(len(size)), wide)
     within = np.arange(len(span)) - start[span]
-    left_over = np.concatenate((size[span] - within, np.zeros(pad, np.int64)))
+    buf = np.zeros(len(span) + pad, np.uint8)
+    buf[np.flatnonzero(within < size[span])] = body
+    left_over = np.concatenate((np.maximum(size[span] - within, 0), np.zeros(pad, np.int64)))
     suffixes = np.flatnonzero(left_over[: len(span)] >= min_bytes)
     if len(suffixes) < 2:
         return None
