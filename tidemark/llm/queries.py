@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html_extract, imatch, language_id, packing, quality, repeats, simhash, toxicity, url_filter
+from tidemark.llm import decontaminate, filter_audit, html_extract, imatch, language_id, packing, periodic, quality, repeats, simhash, toxicity, url_filter, warc
 from tidemark.llm.common import read_table
+from tidemark.storage import scratch
 
 
 def tokenizer_path() -> str:
@@ -97,6 +100,34 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read_table(spark, sf_dir, "pages"))
 
 
+def with_periods(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """About one document in ten gets a periodic tail, its place and period told by the id."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    period = words[a : a + p]
+    return words[:a] + (period * ((n - a) // p + 1))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.run_digest(periodic.periodic_runs(docs, rewrite=with_periods, keep_text=False)).withColumnRenamed("id", "doc_id")
+
+
+def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    warc.write_archive(read_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archive(spark, folder).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_imatch": op1_imatch,
     "op2_byte_gru_language": op2_byte_gru_language,
@@ -108,6 +139,9 @@ QUERIES = {
     "op8_positional_decontamination": op8_positional_decontamination,
     "op9_pu_toxicity": op9_pu_toxicity,
     "op10_html_text": op10_html_text,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_warc_archive": op12_warc_archive,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Windows of ten words (or a whole shorter item) of both tables meet as text; positions and items are then counted.
@@ -123,4 +157,28 @@ m AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM h GROUP BY doc
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op8_positional_decontamination": OP8_SQL}
+OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+f AS (SELECT page_id, body, octet_length(encode(body)) AS n, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest, CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to FROM f"""
+
+#: Every combination of part and failed filters is counted, and meets every order and step directly.
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, part, len(w) < 200 AS A, 100 * len(list_distinct(w)) < 50 * len(w) AS B, 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text) AS C,
+    regexp_matches(text, '[#$%&*|]') AS D, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS E FROM t),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+c AS (SELECT part, concat(CASE WHEN A THEN 'A' ELSE '' END, CASE WHEN B THEN 'B' ELSE '' END, CASE WHEN C THEN 'C' ELSE '' END, CASE WHEN D THEN 'D' ELSE '' END, CASE WHEN E THEN 'E' ELSE '' END) AS fails,
+    count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad FROM x LEFT JOIN l USING (doc_id) GROUP BY ALL),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k),
+o AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM k a JOIN k b ON b.k <> a.k JOIN k c ON c.k NOT IN (a.k, b.k) JOIN k d ON d.k NOT IN (a.k, b.k, c.k) JOIN k e ON e.k NOT IN (a.k, b.k, c.k, d.k)),
+s AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INT) AS step FROM o),
+h AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, part, fails, n, good, bad, contains(fails, substr(filter_order, step, 1)) AS own,
+    coalesce(list_bool_or(list_transform(range(1, step), lambda i: contains(fails, substr(filter_order, CAST(i AS INT), 1)))), false) AS gone FROM s CROSS JOIN c),
+r AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN own AND gone THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN own AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN own AND NOT gone THEN bad ELSE 0 END) AS toxic_lost FROM h GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
+
+ORACLES: dict[str, str] = {"op8_positional_decontamination": OP8_SQL, "op12_warc_archive": OP12_SQL, "op13_filter_audit": OP13_SQL}
