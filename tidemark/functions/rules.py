@@ -105,3 +105,10 @@ UNKNOWN_PUBLISHERS = ["", "unknown", "n/a", "na", "none", "null"]
 PRECISE = ["EXACT_SECOND", "EXACT_MINUTE"]
 LEAST_HEADLINE, LEAST_BODY = 8, 80
 CRAWL_SECONDS, CRAWL_LAG_SECONDS = 5, 3600
+
+# Fixed values of the event features.
+PUBLISHER_CLASSES = ["WIRE", "MAJOR_FINANCIAL", "MAJOR_GENERAL", "BIOTECH_SPECIALIST", "ISSUER_OFFICIAL", "PR_DISTRIBUTOR", "REGULATORY", "AGGREGATOR", "OTHER"]
+PRECISION_ORDER = {"UNKNOWN": 0, "DATE_ONLY": 1, "HOUR_ONLY": 2, "EXACT_MINUTE": 3, "EXACT_SECOND": 4}
+CONFIDENCE_ORDER = {"UNKNOWN": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3}
+POSITIVE_TOPICS = ["FDA_APPROVAL", "TRIAL_POSITIVE", "ENDPOINT_MET"]
+NEGATIVE_TOPICS = ["FDA_REJECTION_CRL", "TRIAL_NEGATIVE", "ENDPOINT_MISSED", "CLINICAL_HOLD", "SAFETY_SIGNAL", "RECALL"]
