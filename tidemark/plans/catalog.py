@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import analytics, features, labels, landed_rows, news, policies, timing
+from tidemark.plans import analytics, features, labels, landed_rows, models, news, policies, timing
 
-QUERIES = features.QUERIES | timing.QUERIES | analytics.QUERIES | labels.QUERIES | landed_rows.QUERIES | news.QUERIES | policies.QUERIES
-ORACLES = features.ORACLES | timing.ORACLES | analytics.ORACLES | labels.ORACLES | landed_rows.ORACLES | news.ORACLES | policies.ORACLES
+QUERIES = features.QUERIES | models.QUERIES | timing.QUERIES | analytics.QUERIES | labels.QUERIES | landed_rows.QUERIES | news.QUERIES | policies.QUERIES
+ORACLES = features.ORACLES | models.ORACLES | timing.ORACLES | analytics.ORACLES | labels.ORACLES | landed_rows.ORACLES | news.ORACLES | policies.ORACLES
