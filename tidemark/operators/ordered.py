@@ -61,3 +61,30 @@ def equal_parts(k: int, number: str = "rn", total: str = "n_rows") -> Column:
 def quantile_bins(k: int, number: str = "rn", total: str = "n_rows") -> Column:
     """The bin (from 1) of ranks 1 .. n cut at their k-quantiles with linear interpolation, each bin closed above."""
     return F.greatest(F.lit(1), F.expr(f"({number} - 1) * {k} div greatest({total} - 1, 1) + CAST(({number} - 1) * {k} % greatest({total} - 1, 1) > 0 AS BIGINT)")).cast("int")
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] = ()) -> DataFrame:
+    """(keys, share, quantile, n): exact quantiles with linear interpolation, per group, of the values that are not null.
+
+    Values are counted first, then put in order over ranges and found by their rank: no task and no aggregate holds a group's
+    values, however large the group. Null keys are a group; a group without a value has no row.
+    """
+    keys = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k) for k in keys], F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_same"))
+    placed = ordered(counts, [*keys, "_v"], {"_upto": "_same"}).select(*keys, "_v", "_same", "_upto")
+    groups = placed.groupBy(*keys).agg(F.sum("_same").alias("n"), F.min(F.col("_upto") - F.col("_same")).alias("_start"))
+    if keys:
+        named = groups.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", "_start")
+        own = placed.join(named, [placed[k].eqNullSafe(named[f"_k{i}"]) for i, k in enumerate(keys)])
+    else:
+        own = placed.join(F.broadcast(groups))  # one row
+    upto = F.col("_upto") - F.col("_start")
+    holds = lambda rank: (rank >= upto - F.col("_same")) & (rank < upto)
+    wanted = []
+    for share in shares:
+        at = F.lit(float(share)) * (F.col("n") - 1)
+        low, high = holds(F.floor(at)), holds(F.ceil(at))
+        wanted.append(F.when(low | high, F.struct(F.lit(float(share)).alias("share"), (at - F.floor(at)).alias("part"), F.when(low, F.col("_v")).alias("low"), F.when(high, F.col("_v")).alias("high"))))
+    hits = own.select(*keys, "n", F.explode(F.array_compact(F.array(*wanted))).alias("w")).select(*keys, "n", "w.*")
+    ends = hits.groupBy(*keys, "share").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.max("part").alias("part"), F.max("n").alias("n"))
+    return ends.select(*keys, "share", ((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high")).alias("quantile"), "n")
