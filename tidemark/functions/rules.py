@@ -112,3 +112,11 @@ PRECISION_ORDER = {"UNKNOWN": 0, "DATE_ONLY": 1, "HOUR_ONLY": 2, "EXACT_MINUTE":
 CONFIDENCE_ORDER = {"UNKNOWN": 0, "LOW": 1, "MEDIUM": 2, "HIGH": 3}
 POSITIVE_TOPICS = ["FDA_APPROVAL", "TRIAL_POSITIVE", "ENDPOINT_MET"]
 NEGATIVE_TOPICS = ["FDA_REJECTION_CRL", "TRIAL_NEGATIVE", "ENDPOINT_MISSED", "CLINICAL_HOLD", "SAFETY_SIGNAL", "RECALL"]
+
+# Fixed values of matching a headline within a disclosure: words that tell nothing, window and stride in words.
+UNINFORMATIVE = [
+    "a", "an", "and", "are", "as", "at", "be", "been", "being", "by", "for", "from", "has", "have", "in", "into", "is", "it", "its", "of", "on", "or",
+    "that", "the", "their", "this", "to", "was", "were", "will", "with", "update", "corrected", "rpt", "brief", "factbox", "exclusive", "sources", "says",
+    "said", "company", "companies", "corp", "corporation", "inc", "incorporated", "plc", "ltd", "limited", "co", "new", "u", "s", "us",
+]
+MATCH_WINDOW, MATCH_STRIDE = 160, 40

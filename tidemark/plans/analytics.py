@@ -45,7 +45,7 @@ PLANS = {
         g AS (SELECT bin, count(*) AS n, round(avg(p), 8) AS confidence, round(avg(y), 8) AS accuracy FROM b GROUP BY bin)
         SELECT *, coalesce(accuracy >= lag(accuracy) OVER (ORDER BY bin), true) AS not_falling FROM g""",
     "winsorized_top_removed": lambda q: f"""
-        WITH e AS (SELECT {q.quantile('l_extendedprice', 0.05)} AS lo, {q.quantile('l_extendedprice', 0.95)} AS hi FROM lineitem),
+        WITH e AS ({'SELECT q0 AS lo, q4 AS hi FROM price_quantiles' if q.spark else f"SELECT {q.quantile('l_extendedprice', 0.05)} AS lo, {q.quantile('l_extendedprice', 0.95)} AS hi FROM lineitem"}),
         w AS (SELECT avg(least(greatest(l_extendedprice, lo), hi)) AS m FROM lineitem CROSS JOIN e),
         h AS (SELECT sum(p) AS s, count(*) AS n FROM (SELECT l_extendedprice AS p FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 5) x),
         t AS (SELECT (sum(l_extendedprice) - max(h.s)) / (count(*) - max(h.n)) AS m FROM lineitem CROSS JOIN h)
@@ -111,7 +111,7 @@ PLANS = {
         FROM supplier s JOIN g ON s.s_nationkey = g.s_nationkey""",
     "first_per_key": lambda q: "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS k FROM orders) x WHERE k = 1",
     "time_quantile_folds": lambda q: f"""
-        WITH o AS (SELECT o_orderkey, {q.us('o_orderdate')} AS t FROM orders), c AS (SELECT {', '.join(f'{q.quantile("CAST(t AS DOUBLE)", p)} AS c{int(p * 100)}' for p in (0.45, 0.6, 0.75, 0.9))} FROM o)
+        WITH o AS (SELECT o_orderkey, {q.us('o_orderdate')} AS t FROM orders), c AS ({'SELECT q0 AS c45, q1 AS c60, q2 AS c75, q3 AS c90 FROM order_time_quantiles' if q.spark else 'SELECT ' + ', '.join(f'{q.quantile("CAST(t AS DOUBLE)", p)} AS c{int(p * 100)}' for p in (0.45, 0.6, 0.75, 0.9)) + ' FROM o'})
         SELECT o_orderkey, CASE WHEN t <= c45 THEN 0 WHEN t <= c60 THEN 1 WHEN t <= c75 THEN 2 WHEN t <= c90 THEN 3 ELSE 4 END AS fold FROM o CROSS JOIN c""",
     "ntile_embargo_folds": lambda q: f"""
         WITH o AS (SELECT o_orderkey, {q.us('o_orderdate')} AS t, {'fifth' if q.spark else 'ntile(5) OVER (ORDER BY o_orderdate, o_orderkey)'} AS fold FROM {'orders_in_time' if q.spark else 'orders'}),
@@ -133,7 +133,7 @@ PLANS = {
         SELECT doc_id, lang, k, row_number() OVER (ORDER BY k, lang) AS place FROM r""",
     "cut_day_bootstrap": lambda q: f"""
         WITH d AS (SELECT CAST(floor({q.us('o_orderdate')} / {DAY}.0E0) AS BIGINT) AS day, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1),
-        k AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS m FROM d), r AS (SELECT {q.sequence(1, 20)} AS rep),
+        k AS (SELECT *, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS m FROM d), r AS (SELECT {q.sequence(1, 600)} AS rep),
         draw AS (SELECT rep, {q.hash32(f"{q.string('rep')} || '-' || {q.string('i')}")} % m AS pick FROM r CROSS JOIN k),
         b AS (SELECT rep, sum(s) / sum(n) AS mean FROM draw JOIN k ON k.i = draw.pick GROUP BY rep)
         SELECT round({q.quantile('mean', 0.025)}, 4) AS lower95, round({q.quantile('mean', 0.975)}, 4) AS upper95, round(avg(mean), 4) AS centre FROM b""",
@@ -146,10 +146,10 @@ PLANS = {
         SELECT p_partkey, round(direction, 8) AS direction, round(confidence, 8) AS confidence, confidence >= 0.86E0 AS high FROM c""",
     "mean_reversion_score": lambda q: f"""
         WITH l AS (SELECT event_id, user_id, ln((value + 1) / (lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) + 1)) AS r FROM events WHERE value >= 0),
-        s AS (SELECT {q.quantile('abs(r)', 0.9)} AS scale FROM l)
+        s AS ({'SELECT q0 AS scale FROM move_quantiles' if q.spark else f"SELECT {q.quantile('abs(r)', 0.9)} AS scale FROM l"})
         SELECT event_id, round(1 / (1 + exp(r / scale)), 6) AS probability FROM l CROSS JOIN s WHERE r IS NOT NULL""",
     "robust_scale": lambda q: f"""
-        WITH g AS (SELECT {q.quantile('l_extendedprice', 0.5)} AS m, {q.quantile('l_extendedprice', 0.75)} - {q.quantile('l_extendedprice', 0.25)} AS iqr FROM lineitem)
+        WITH g AS ({'SELECT q2 AS m, q3 - q1 AS iqr FROM price_quantiles' if q.spark else f"SELECT {q.quantile('l_extendedprice', 0.5)} AS m, {q.quantile('l_extendedprice', 0.75)} - {q.quantile('l_extendedprice', 0.25)} AS iqr FROM lineitem"})
         SELECT l_orderkey, l_linenumber, round(least(greatest((l_extendedprice - m) / nullif(iqr, 0), -8), 8), 6) AS scaled FROM lineitem CROSS JOIN g""",
     "probability_blend": lambda q: f"""
         WITH {_scored(q)} SELECT doc_id, round(1 / (1 + exp(-(ln(p / (1 - p)) + 0.25E0))), 8) AS shifted, round(0.7E0 * p + 0.3E0 * 0.5E0, 8) AS blended FROM s""",

@@ -244,8 +244,34 @@ def policy_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return directed.join(ordered.value_ranks(directed, "margin").select("margin", share("confidence")), "margin").select("p_partkey", "direction", "confidence")
 
 
+def _quantile_row(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """One row with the exact quantiles q0, q1, ... of ``value``, found by ranks over ranges."""
+    found = ordered.exact_quantiles(df, value, shares)
+    return found.agg(*[F.max(F.when(F.col("share") == share, F.col("quantile"))).alias(f"q{i}") for i, share in enumerate(shares)])
+
+
+def price_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quantile_row(load(spark, sf_dir, "lineitem"), "l_extendedprice", [0.05, 0.25, 0.5, 0.75, 0.95])
+
+
+def order_time_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "orders").select(F.expr(S.us("o_orderdate")).cast("double").alias("t"))
+    return _quantile_row(rows, "t", [0.45, 0.6, 0.75, 0.9])
+
+
+def margin_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "events").select(F.expr("abs(value / 100.0E0 - 0.5E0) * 2").alias("margin"))
+    return _quantile_row(rows, "margin", [0.8, 1.0])
+
+
+def move_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ninth decile of the moves between a user's neighbouring events."""
+    moves = load(spark, sf_dir, "events").where("value >= 0").selectExpr("abs(ln((value + 1) / (lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) + 1))) AS r")
+    return _quantile_row(moves, "r", [0.9])
+
+
 #: Tables that put rows in a global order; Spark plans name them, the SQL of the other engine has a window.
-VIEWS = {f.__name__: f for f in (scored, orders_in_time, customers_in_time, price_ranks, size_ranks, orders_by_priority, round_robin, policy_ranks)}
+VIEWS = {f.__name__: f for f in (scored, orders_in_time, customers_in_time, price_ranks, size_ranks, orders_by_priority, round_robin, policy_ranks, price_quantiles, order_time_quantiles, margin_quantiles, move_quantiles)}
 
 
 def statement(build: Callable[[object], str], views: dict[str, Callable] = VIEWS) -> tuple[Callable[[SparkSession, str], DataFrame], str]:

@@ -6,7 +6,11 @@ its id for what the table does not hold (times, precision, confidence).
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from tidemark.functions import rules
+from tidemark.operators import containment, graph, roots
 from tidemark.plans.dialect import statement
 
 HOUR, DAY = 3600, 86_400
@@ -139,26 +143,28 @@ def near_duplicates(q) -> str:
     """Pairs of one language (for the ticker) within 48 hours whose headlines and bodies are nearly the same."""
     base = f"{_articles(q, 5)}, w AS (SELECT uid, coalesce(lang, '') AS ticker, t, body, {_words(q, 'headline')} AS hw, {_words(q, 'headline || body')} AS bw FROM a)"
     if q.spark:
-        # Two headlines of that similarity share one of the first words of both, in the order of the alphabet.
+        # Two headlines of that similarity share one of the first words of both, the rarest first.
         cells = (
-            "p AS (SELECT w.*, cell, word FROM w LATERAL VIEW explode(slice(array_sort(hw), 1, CAST(size(hw) - ceil(0.88 * size(hw)) + 1 AS INT))) x AS word "
-            f"LATERAL VIEW explode(array(floor(t / {48 * HOUR}), floor(t / {48 * HOUR}) + 1)) y AS cell WHERE size(hw) > 0), "
-            "c AS (SELECT DISTINCT l.uid AS u, r.uid AS v FROM p l JOIN p r ON l.ticker = r.ticker AND l.cell = r.cell AND l.word = r.word "
-            f"WHERE (l.t < r.t OR l.t = r.t AND l.uid < r.uid) AND r.t - l.t <= {48 * HOUR})"
+            "e AS (SELECT uid, explode(hw) AS word FROM w), n AS (SELECT word, count(*) AS n FROM e GROUP BY word), o AS (SELECT uid, array_sort(collect_list(struct(n, e.word))) AS o FROM e JOIN n ON n.word = e.word GROUP BY uid), "
+            f"p AS (SELECT w.uid, ticker, t, hw, body = '' AS bare, cell, x.word AS word FROM w JOIN o ON o.uid = w.uid LATERAL VIEW explode(slice(o, 1, CAST(size(o) - ceil(0.88 * size(o)) + 1 AS INT))) z AS x "
+            f"LATERAL VIEW explode(array(floor(t / {48 * HOUR}), floor(t / {48 * HOUR}) + 1)) y AS cell), "
+            f"c AS (SELECT DISTINCT l.uid AS u, r.uid AS v, {_jaccard(q, 'l.hw', 'r.hw')} AS headline_j, l.bare OR r.bare AS no_body FROM p l JOIN p r ON l.ticker = r.ticker AND l.cell = r.cell AND l.word = r.word "
+            f"AND (l.t < r.t OR l.t = r.t AND l.uid < r.uid) AND r.t - l.t <= {48 * HOUR} AND {_jaccard(q, 'l.hw', 'r.hw')} >= 0.88)"
         )
+        likeness = "j AS (SELECT u, v, l.bw AS lw, r.bw AS rw, headline_j, no_body FROM c JOIN w l ON l.uid = u JOIN w r ON r.uid = v)"
     else:
         cells = f"c AS (SELECT l.uid AS u, r.uid AS v FROM w l JOIN w r ON l.ticker = r.ticker WHERE (l.t < r.t OR l.t = r.t AND l.uid < r.uid) AND r.t - l.t <= {48 * HOUR})"
-    return f"""WITH {base}, {cells},
-        j AS (SELECT u, v, l.bw AS lw, r.bw AS rw, {_jaccard(q, 'l.hw', 'r.hw')} AS headline_j, l.body = '' OR r.body = '' AS no_body FROM c JOIN w l ON l.uid = u JOIN w r ON r.uid = v),
+        likeness = f"j AS (SELECT u, v, l.bw AS lw, r.bw AS rw, {_jaccard(q, 'l.hw', 'r.hw')} AS headline_j, l.body = '' OR r.body = '' AS no_body FROM c JOIN w l ON l.uid = u JOIN w r ON r.uid = v)"
+    return f"""WITH {base}, {cells}, {likeness},
         k AS (SELECT u, v, headline_j, no_body, {_jaccard(q, 'lw', 'rw')} AS body_j FROM j WHERE headline_j >= 0.88)
         SELECT u, v, round(headline_j, 8) AS headline_j, round(body_j, 8) AS body_j FROM k WHERE body_j >= 0.72 OR no_body"""
 
 
 def novelty(q) -> str:
-    """The likeness of each article of the last fortnight to earlier ones of its ticker in three windows, and what it says."""
+    """The likeness of each article to earlier ones of its ticker in three windows, and what it says."""
     best = lambda days: f"max(CASE WHEN p.t >= c.t - {days * DAY} THEN {_jaccard(q, 'c.w', 'p.w')} END)"
     cells = f"JOIN (SELECT x.*, {'explode(array(0, 1))' if q.spark else 'unnest([0, 1])'} AS later FROM x) p ON p.ticker = c.ticker AND floor(p.t / {30 * DAY}) + p.later = floor(c.t / {30 * DAY})"
-    return f"""WITH {_articles(q)}, x AS (SELECT uid, ticker, t, {_words(q, 'headline || body')} AS w FROM a), c AS (SELECT * FROM x WHERE t >= {46 * DAY}),
+    return f"""WITH {_articles(q)}, x AS (SELECT uid, ticker, t, {_words(q, 'headline || body')} AS w FROM a), c AS (SELECT * FROM x),
         s AS (SELECT c.uid, {best(1)} AS d1, {best(7)} AS d7, {best(30)} AS d30 FROM c {cells} WHERE p.t < c.t AND p.t >= c.t - {30 * DAY} GROUP BY c.uid)
         SELECT c.uid, round(d1, 8) AS like_24h, round(d7, 8) AS like_7d, round(d30, 8) AS like_30d, coalesce(d30 >= 0.85, false) AS duplicate,
         CASE WHEN d30 >= 0.85 THEN 'NEAR_DUPLICATE_PRIOR_NEWS' WHEN d30 >= 0.55 THEN 'MINOR_UPDATE_OR_REPUBLICATION' ELSE 'NOVEL_STORY' END AS recycling FROM c LEFT JOIN s ON s.uid = c.uid"""
@@ -166,15 +172,16 @@ def novelty(q) -> str:
 
 def event_links(q) -> str:
     """Orders as events, documents as articles: explicit id, id and time where ids collide, time of the source, nearest within a day."""
-    return f"""WITH e AS (SELECT o_orderkey AS id, o_orderkey % 400 AS raw, o_custkey % 20 AS ticker, {q.us('o_orderdate')} / 1000000 + o_orderkey % 86400 AS t FROM orders WHERE o_orderkey % 7 = 0),
+    return f"""WITH e AS (SELECT o_orderkey AS id, o_orderkey % 400 AS raw, o_custkey % 20 AS ticker, {q.us('o_orderdate')} / 1000000 + o_orderkey % 86400 AS t FROM orders),
         d AS (SELECT doc_id AS uid, CASE WHEN doc_id % 5 = 0 THEN doc_id % 400 WHEN doc_id % 5 = 1 THEN doc_id % 40 END AS explicit, doc_id % 20 AS ticker,
             CASE WHEN doc_id % 4 <> 3 THEN (SELECT min(t) FROM e) + floor({q.hash32(q.string('doc_id'))} / 64) % ((SELECT max(t) - min(t) FROM e)) END AS published,
             CASE WHEN doc_id % 3 = 0 THEN doc_id * 37 % 15000 END AS ref FROM documents),
         s AS (SELECT d.*, e.t + doc_id_slip AS source_time FROM (SELECT d.*, uid % 3 - 1 AS doc_id_slip FROM d) d LEFT JOIN (SELECT id, min(t) AS t FROM e GROUP BY id) e ON e.id = d.ref),
+        f AS (SELECT e.*, {q.sequence(-1, 1)} AS later FROM e), c AS (SELECT f.*, floor(t / {DAY}) + later AS cell FROM f),
         r AS (SELECT s.uid, count(e.id) AS n, min(e.id) AS one, count(CASE WHEN e.ticker = s.ticker AND abs(e.t - s.source_time) <= 1 THEN 1 END) AS n_exact,
             min(CASE WHEN e.ticker = s.ticker AND abs(e.t - s.source_time) <= 1 THEN e.id END) AS exact FROM s JOIN e ON e.raw = s.explicit GROUP BY s.uid),
-        x AS (SELECT s.uid, count(e.id) AS n, min(e.id) AS one FROM s JOIN e ON e.ticker = s.ticker AND abs(e.t - s.source_time) <= 1 GROUP BY s.uid),
-        w AS (SELECT s.uid, count(e.id) AS n, min(e.id) AS one FROM s JOIN e ON e.ticker = s.ticker AND abs(e.t - s.published) <= {DAY} GROUP BY s.uid)
+        x AS (SELECT s.uid, count(e.id) AS n, min(e.id) AS one FROM s JOIN c e ON e.ticker = s.ticker AND e.cell = floor(s.source_time / {DAY}) AND abs(e.t - s.source_time) <= 1 GROUP BY s.uid),
+        w AS (SELECT s.uid, count(e.id) AS n, min(e.id) AS one FROM s JOIN c e ON e.ticker = s.ticker AND e.cell = floor(s.published / {DAY}) AND abs(e.t - s.published) <= {DAY} GROUP BY s.uid)
         SELECT s.uid, CASE WHEN r.n = 1 THEN r.one WHEN r.n > 1 THEN CASE WHEN n_exact = 1 THEN exact END WHEN x.n = 1 THEN x.one WHEN x.n > 1 THEN NULL WHEN w.n = 1 AND published IS NOT NULL THEN w.one END AS event_id,
         CASE WHEN r.n = 1 THEN 'EXPLICIT' WHEN r.n > 1 AND n_exact = 1 THEN 'COLLISION_RESOLVED' WHEN r.n > 1 THEN 'AMBIGUOUS_ID' WHEN x.n = 1 THEN 'SOURCE_TIME' WHEN x.n > 1 THEN 'AMBIGUOUS_TIME'
             WHEN published IS NULL THEN 'UNLINKED' WHEN w.n IS NULL THEN 'OUTSIDE_24H' WHEN w.n = 1 THEN 'NEAREST_24H' ELSE 'AMBIGUOUS_24H' END AS method
@@ -193,19 +200,43 @@ def token_overlap(q) -> str:
     stop = ["the", "of", "and", "to", "in", "is", "for", "der", "die", "und", "le", "la", "de", "que", "en"]
     salient = lambda c: q.filter(q.map(q.split(_normal(q, c)), "w", q.sub("w", "(은|는|이|가|을|를|의|에)$", "")), "w", f"length(w) > 1 AND NOT {'array_contains' if q.spark else 'list_contains'}({q.arr(stop)}, w)")
     codes = q.distinct(q.filter(q.split(q.sub(q.sub("lower(headline || body)", "-", ""), "[^a-z0-9]+", " ")), "w", f"length(w) >= 4 AND {q.sub('w', '[0-9]', '')} <> w AND {q.sub('w', '[a-z]', '')} <> w"))
-    return f"""WITH {_articles(q)}, s AS (SELECT uid, {q.distinct(salient('headline'))} AS hw, {q.distinct(salient('substr(body, 1, 400)'))} AS bw, {codes} AS codes FROM a)
+    return f"""WITH {_articles(q)}, s AS (SELECT uid, {q.distinct(salient('headline'))} AS hw, {q.distinct(salient('body'))} AS bw, {codes} AS codes FROM a)
         SELECT uid, {q.len('hw')} AS n_words, {q.len(q.both('hw', 'bw'))} AS shared, CASE WHEN {q.len('hw')} = 0 THEN 0.0E0 ELSE round({q.len(q.both('hw', 'bw'))} * 1.0E0 / {q.len('hw')}, 8) END AS coverage, {q.joined('codes')} AS codes FROM s"""
 
 
-def window_match(q) -> str:
-    """The best window of a document's words for each benchmark item's first words: (words found, coverage, place), windows of 60 words every 30."""
-    starts = "sequence(0, greatest(size(w) - 1, 0), 30)" if q.spark else "range(0, greatest(len(w), 1), 30)"
-    best = "array_max" if q.spark else "list_max"
-    pack = (lambda n, s: f"named_struct('n', {n}, 's', -({s}))") if q.spark else (lambda n, s: f"{{'n': {n}, 's': -({s})}}")
-    count = f"{q.len(q.both('h', q.distinct(q.slice('w', 's + 1', 60))))}"
-    return f"""WITH d AS (SELECT doc_id, {q.split(_normal(q, "coalesce(text, '')"))} AS w FROM documents WHERE doc_id % 10 = 0), b AS (SELECT item_id, {q.distinct(q.slice(q.split(_normal(q, 'text')), '1', '12'))} AS h FROM benchmark WHERE item_id % 4 = 0),
-        m AS (SELECT doc_id, item_id, {q.len('h')} AS size_, {best}({q.map(starts, 's', pack(count, 's'))}) AS best FROM d CROSS JOIN b)
-        SELECT doc_id, item_id, best.n AS found, -best.s AS place, round(best.n * 1.0E0 / size_, 8) AS coverage FROM m WHERE best.n >= 4"""
+def _informative(q, x: str) -> str:
+    """Words of three letters or more (one hyphen allowed) that tell something and are no number, in order."""
+    found = f"regexp_extract_all(lower(coalesce({x}, '')), '[a-z0-9]+(-[a-z0-9]+)?', 0)"
+    has = "array_contains" if q.spark else "list_contains"
+    return q.filter(found, "w", f"length(w) >= 3 AND NOT {has}({q.arr(rules.UNINFORMATIVE)}, w) AND {q.sub('w', '[0-9]', '')} <> ''")
+
+
+DOC_TOKENS = statement(lambda q: f"SELECT doc_id, length(text) AS n_chars, {_informative(q, 'text')} AS tokens FROM documents")
+ITEM_TOKENS = statement(lambda q: f"SELECT item_id, {q.distinct(_informative(q, 'text'))} AS tokens FROM benchmark")
+
+
+def window_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that a window of 160 of a document's words matches: the window that shares most, its coverage and likeness.
+
+    A window covers 60 % of the item's words, so the document has as many: such pairs alone are looked at window by window.
+    """
+    docs, items = DOC_TOKENS[0](spark, sf_dir), ITEM_TOKENS[0](spark, sf_dir).withColumnRenamed("tokens", "item_tokens")
+    joined = lambda df, c: df.withColumn("text", F.array_join(c, " "))
+    pairs = containment.contained(joined(docs, "tokens"), joined(items, "item_tokens"), "doc_id", "item_id", "text", "tokens", 0.6)
+    near = pairs.where("shared >= 4").join(docs, pairs["doc"] == docs["doc_id"]).join(items, pairs["item"] == items["item_id"])
+    cut = f"slice(tokens, s + 1, {rules.MATCH_WINDOW})"
+    both = f"size(array_intersect(item_tokens, {cut}))"
+    best = F.expr(f"array_max(transform(sequence(0, greatest(size(tokens) - 1, 0), {rules.MATCH_STRIDE}), s -> named_struct('n', {both}, 'j', {both} / size(array_union(item_tokens, {cut})))))")
+    rows = near.select("doc_id", "item_id", "n_chars", F.size("item_tokens").alias("m"), best.alias("b"))
+    high = "n_chars >= 80 AND b.j >= 0.04 AND (m <= 6 AND b.n >= 4 AND b.n >= 0.8 * m OR b.n >= 5 AND b.n >= 0.6 * m)"
+    return rows.where(high).select("doc_id", "item_id", F.col("b.n").cast("bigint").alias("found"), F.round(F.col("b.n") / F.col("m"), 8).alias("coverage"), F.round("b.j", 8).alias("likeness"))
+
+
+WINDOW_SQL = f"""WITH d AS ({DOC_TOKENS[1]}), i AS ({ITEM_TOKENS[1]}),
+w AS (SELECT doc_id, n_chars, list_distinct(list_slice(tokens, s + 1, s + {rules.MATCH_WINDOW})) AS win FROM (SELECT *, unnest(range(0, greatest(len(tokens), 1), {rules.MATCH_STRIDE})) AS s FROM d) x),
+m AS (SELECT doc_id, item_id, n_chars, len(i.tokens) AS m, len(list_intersect(i.tokens, win)) AS n, len(list_distinct(list_concat(i.tokens, win))) AS u FROM w CROSS JOIN i),
+b AS (SELECT doc_id, item_id, n_chars, m, n, n / u AS j, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, n / u DESC) AS k FROM m WHERE n >= 4)
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS found, round(n / m, 8) AS coverage, round(j, 8) AS likeness FROM b WHERE k = 1 AND n_chars >= 80 AND j >= 0.04 AND (m <= 6 AND n >= 0.8 * m OR n >= 5 AND n >= 0.6 * m)"""
 
 
 def filing_features(q) -> str:
@@ -244,21 +275,43 @@ def set_aggregates(q) -> str:
     return f"""SELECT source, '["' || {q.joined(q.distinct(q.items('lang')), '","')} || '"]' AS langs, count(*) AS n, count(DISTINCT lang) AS n_langs FROM documents WHERE lang IS NOT NULL GROUP BY source"""
 
 
-def near_shares(q) -> str:
-    """Whether two articles share a root: by likeness of character 5-grams of headlines, or a short excerpt held by the other."""
-    grams = lambda x: q.distinct(q.map("sequence(1, greatest(length(z) - 4, 1))" if q.spark else "range(1, greatest(length(z) - 4, 1) + 1)", "i", "substr(z, CAST(i AS INT), 5)").replace("z", x))
-    return f"""WITH {_articles(q)}, z AS (SELECT uid, ticker, replace({_normal(q, 'headline')}, ' ', '') AS s FROM a), g AS (SELECT uid, ticker, s, {grams('s')} AS c FROM z WHERE s <> ''),
-        p AS (SELECT l.uid AS u, r.uid AS v, l.c AS a, r.c AS b FROM g l JOIN g r ON l.ticker = r.ticker AND substr(l.s, 1, 5) = substr(r.s, 1, 5) AND l.uid < r.uid)
-        SELECT u, v, round({_jaccard(q, 'a', 'b')}, 8) AS likeness, round({q.len(q.both('a', 'b'))} * 1.0E0 / least({q.len('a')}, {q.len('b')}), 8) AS containment,
-        CASE WHEN {_jaccard(q, 'a', 'b')} >= 0.82 THEN 'SAME' WHEN {_jaccard(q, 'a', 'b')} >= 0.55 THEN 'LIKELY' WHEN {q.len(q.both('a', 'b'))} * 1.0E0 / least({q.len('a')}, {q.len('b')}) >= 0.7 THEN 'EXCERPT' ELSE 'OTHER' END AS sharing FROM p"""
+STORIES = statement(
+    lambda q: f"""SELECT uid, headline, headline || body AS body, t, event, row_number() OVER (PARTITION BY event ORDER BY uid) AS k FROM (SELECT *, {q.sha("source_ || substr(" + _normal(q, 'headline') + ", 1, 24)")} AS event FROM (SELECT a.*, coalesce(lang, '') AS source_ FROM ({_articles(q, 5).removeprefix('a AS (').removesuffix(')')}) a) b) c"""
+)
+
+
+def information_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles that share the root of the first article that begins like them in their language, and why."""
+    rows = STORIES[0](spark, sf_dir)
+    first = rows.groupBy("event").agg(F.min("uid").alias("uid"), F.count("*").alias("n")).where("n > 1").select("event", "uid")
+    bases = rows.join(first, ["event", "uid"]).select("event", "uid", "headline", "body", "t")
+    got = roots.root_sharing(bases, rows.select("event", "uid", "headline", "body", "t"))
+    return got.select("base", "candidate", "reason")
+
+
+def syndication_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles linked by an equal text or as near copies within 48 hours; the root is the earliest, ties by id."""
+    rows = STORIES[0](spark, sf_dir).select("uid", "t", F.sha2("body", 256).alias("k"))
+    same = rows.join(rows.groupBy("k").agg(F.min("uid").alias("b")), "k").select(F.col("uid").alias("a"), "b")
+    near = STATEMENTS["doc_jaccard_pairs"][0](spark, sf_dir).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    groups = graph.components(same.union(near))
+    placed = rows.join(groups, F.col("uid") == F.col("node"), "left").withColumn("grp", F.coalesce("root", "uid"))
+    first = placed.groupBy("grp").agg(F.min(F.struct("t", "uid")).alias("first"))
+    return placed.join(first, "grp").select(F.col("uid").alias("doc_id"), F.col("first.uid").alias("root"))
 
 
 PLANS = {
     "event_type_argmax": event_type, "keyword_features": keyword_features, "topic_multilabel": topics, "publisher_resolution": publishers, "origin_inference": origins,
     "quality_tier_case": quality_tiers, "source_family_groups": source_family, "doc_jaccard_pairs": near_duplicates, "doc_novelty_max": novelty, "event_link_ladder": event_links,
-    "collision_id_map": id_map, "salient_overlap_codes": token_overlap, "token_window_match": window_match, "filing_features": filing_features, "alias_tickers": alias_tickers,
-    "event_text_view": event_text, "set_aggregates": set_aggregates, "root_sharing": near_shares,
+    "collision_id_map": id_map, "salient_overlap_codes": token_overlap, "filing_features": filing_features, "alias_tickers": alias_tickers,
+    "event_text_view": event_text, "set_aggregates": set_aggregates, 
 }
 STATEMENTS = {name: statement(build) for name, build in PLANS.items()}
-QUERIES = {name: pair[0] for name, pair in STATEMENTS.items()}
-ORACLES = {name: pair[1] for name, pair in STATEMENTS.items()}
+SYNDICATION_SQL = f"""WITH RECURSIVE s AS ({STORIES[1]}), p AS ({STATEMENTS['doc_jaccard_pairs'][1]}), k AS (SELECT uid, min(uid) OVER (PARTITION BY body) AS first FROM s),
+e AS (SELECT uid AS a, first AS b FROM k UNION SELECT first, uid FROM k UNION SELECT u, v FROM p UNION SELECT v, u FROM p),
+r AS (SELECT uid, uid AS at FROM s UNION SELECT r.uid, e.b FROM r JOIN e ON e.a = r.at)
+SELECT uid AS doc_id, root FROM (SELECT r.uid, s.uid AS root, row_number() OVER (PARTITION BY r.uid ORDER BY s.t, s.uid) AS k FROM r JOIN s ON s.uid = r.at) x WHERE k = 1"""
+
+BUILT = {"token_window_match": (window_match, WINDOW_SQL), "syndication_roots": (syndication_roots, SYNDICATION_SQL)}
+QUERIES = {name: pair[0] for name, pair in (STATEMENTS | BUILT).items()} | {"information_roots": information_roots}
+ORACLES = {name: pair[1] for name, pair in (STATEMENTS | BUILT).items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, joins, ordered
+from tidemark.operators import graph, joins, ordered, sequential
 from tidemark.plans.dialect import VIEWS, S, statement
 from tidemark.session import load
 
@@ -186,7 +186,7 @@ def frames(q) -> str:
     """Mean, sample deviation, range and place of the value in the last 1, 2, 5, 10, 30 and 60 minutes of a user's events."""
     sizes = (1, 2, 5, 10, 30, 60)
     each = lambda m: f"count(value) OVER w{m} AS n_{m}, round(avg(value) OVER w{m}, 6) AS mean_{m}, round(stddev_samp(value) OVER w{m}, 6) AS sd_{m}, round(max(value) OVER w{m} - min(value) OVER w{m}, 6) AS range_{m}"
-    windows = ", ".join(f"w{m} AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN {m * 60 * MINUTE} PRECEDING AND 1 PRECEDING)" for m in sizes)
+    windows = ", ".join(f"w{m} AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN {m * MINUTE} PRECEDING AND 1 PRECEDING)" for m in sizes)
     return f"WITH e AS (SELECT event_id, user_id, value, {q.us('ts')} AS t FROM events) SELECT event_id, {', '.join(map(each, sizes))} FROM e WINDOW {windows}"
 
 
@@ -269,7 +269,7 @@ def mod10(q) -> str:
 
 def gate(q) -> str:
     """The confidence gate of a policy: cut at a quantile of the margins, mapped to 0.86 + 0.14 m above it and 0.84 m below."""
-    return f"""WITH p AS (SELECT event_id, abs(value / 100.0E0 - 0.5E0) * 2 AS margin FROM events), g AS (SELECT {q.quantile('margin', 0.8)} AS cut, max(margin) AS top FROM p)
+    return f"""WITH p AS (SELECT event_id, abs(value / 100.0E0 - 0.5E0) * 2 AS margin FROM events), g AS ({'SELECT q0 AS cut, q1 AS top FROM margin_quantiles' if q.spark else f"SELECT {q.quantile('margin', 0.8)} AS cut, max(margin) AS top FROM p"})
         SELECT event_id, round(CASE WHEN margin >= cut THEN 0.86 + 0.14 * (margin - cut) / greatest(top - cut, 1e-9) ELSE 0.84 * margin / greatest(cut, 1e-9) END, 6) AS confidence, margin >= cut AS gated FROM p CROSS JOIN g"""
 
 
@@ -321,22 +321,36 @@ def two_hop(q) -> str:
         {hop('v', 'h')}, {hop('h', 'k')} SELECT node, round(x, 6) AS carried FROM k"""
 
 
-def suppressed(q) -> str:
-    """Keys for the ten-minute suppression of like headlines: rows per (source, first 120 characters) and how many follow at once."""
-    return f"""WITH a AS (SELECT doc_id, source, substr(trim({q.sub("lower(coalesce(text, ''))", '[^a-z0-9가-힣]+', ' ')}), 1, 120) AS head, {q.hash32(q.string('doc_id'))} % 7200 AS t FROM documents),
-        l AS (SELECT *, lag(t) OVER (PARTITION BY source, head ORDER BY t, doc_id) AS before FROM a) SELECT source, {q.sha('head')} AS head, count(*) AS n, count(CASE WHEN t - before < 600 THEN 1 END) AS close_followers FROM l GROUP BY source, head"""
+def _headlines(q) -> str:
+    return f"""SELECT doc_id, source, substr(trim({q.sub("lower(coalesce(text, ''))", '[^a-z0-9가-힣]+', ' ')}), 1, 120) AS head, {q.hash32(q.string('doc_id'))} % 7200 * 1000000 AS t FROM documents"""
+
+
+HEADLINES = statement(_headlines)
+
+
+def suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per (source, first 120 characters of the normalised headline) the rows, and those kept: each ten minutes or more after the last one kept."""
+    rows = HEADLINES[0](spark, sf_dir).withColumn("source", F.coalesce("source", F.lit(""))).withColumn("head", F.sha2("head", 256))
+    kept = sequential.greedy_spacing(rows, ["source", "head"], "t", "doc_id", 600 * 1_000_000, strict=False)
+    marks = rows.join(kept.select("doc_id", F.lit(1).alias("kept")), "doc_id", "left")
+    return marks.groupBy("source", "head").agg(F.count("*").alias("n"), F.count("kept").alias("kept"), F.min(F.when(F.col("kept") == 1, F.col("doc_id"))).alias("least_kept"))
+
+
+SUPPRESSED_SQL = f"""WITH RECURSIVE a AS (SELECT doc_id, coalesce(source, '') AS source, sha256(head) AS head, t, row_number() OVER (PARTITION BY coalesce(source, ''), head ORDER BY t, doc_id) AS k FROM ({HEADLINES[1]}) h),
+r AS (SELECT source, head, k, doc_id, t AS last, true AS kept FROM a WHERE k = 1 UNION ALL SELECT a.source, a.head, a.k, a.doc_id, CASE WHEN a.t - r.last >= 600000000 THEN a.t ELSE r.last END, a.t - r.last >= 600000000 FROM r JOIN a ON a.source = r.source AND a.head = r.head AND a.k = r.k + 1)
+SELECT source, head, count(*) AS n, count(*) FILTER (kept) AS kept, min(doc_id) FILTER (kept) AS least_kept FROM r GROUP BY source, head"""
 
 
 PLANS = {
     "prequential_prior_keys": prequential, "hierarchical_prior_levels": hierarchical, "decayed_intensity_types": decayed, "time_frames_six": frames, "gap_guarded_moves": gap_moves, "series_audits": audits,
     "provider_parity_gate": parity, "certification_twelve": certification, "dev_seal_split": dev_seal, "expanding_cv": expanding_cv, "fold_invariants": fold_invariants, "append_only_roles": roles,
     "hash_mod10_split": mod10, "gate_quantile": gate, "polarity_grid": polarity, "robust_scale_groups": scaling, "due_tasks": due_tasks, "work_queue": work_queue, "crosstab": crosstab,
-    "liquidity_bins": liquidity, "two_hop_propagation": two_hop, "headline_suppression_keys": suppressed,
+    "liquidity_bins": liquidity, "two_hop_propagation": two_hop,
 }
 STATEMENTS = {name: statement(build, VIEWS | {"orders_with_sums": orders_with_sums}) for name, build in PLANS.items()}
 BUILT = {
     "checked_left_join": (checked_left_join, CHECKED_LEFT_SQL), "checked_inner_join": (checked_inner_join, CHECKED_INNER_SQL), "split_manifest_components": (split_manifest, SPLIT_SQL),
-    "cosine_topk_softmax": (cosine_topk, COSINE_SQL), "pairwise_dispersion": (dispersion, DISPERSION_SQL),
+    "cosine_topk_softmax": (cosine_topk, COSINE_SQL), "pairwise_dispersion": (dispersion, DISPERSION_SQL), "headline_suppression_keys": (suppressed, SUPPRESSED_SQL),
 }
 QUERIES = {name: pair[0] for name, pair in (STATEMENTS | BUILT).items()}
 ORACLES = {name: pair[1] for name, pair in (STATEMENTS | BUILT).items()}

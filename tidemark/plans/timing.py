@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import articles
 from tidemark.functions import text as tx
-from tidemark.operators import asof, graph, metrics, sequential
+from tidemark.operators import asof, containment, graph, metrics, sequential
 from tidemark.session import load
 
 MINUTE = 60_000_000
@@ -190,19 +190,6 @@ COVERAGE_SQL = f"""WITH {_SCORED_SQL}, r AS (SELECT CASE WHEN (p >= 0.5) = (y =
 c AS (SELECT unnest([0.1::DOUBLE, 0.2, 0.5, 1.0]) AS coverage) SELECT coverage, count(*) AS n, round(avg(ok), 8) AS accuracy FROM r CROSS JOIN c WHERE k <= ceil(m * coverage) GROUP BY coverage"""
 
 
-def syndication_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents joined by an equal text or an equal first 200 characters; the root is the least id."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    keyed = docs.select("doc_id", F.explode(F.array(F.sha2("text", 256), F.sha2(F.concat(F.lit("head:"), F.substring("text", 1, 200)), 256))).alias("k"))
-    links = keyed.join(keyed.groupBy("k").agg(F.min("doc_id").alias("root")), "k").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
-    roots = graph.components(links)
-    return docs.select("doc_id").join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("root"))
-
-
-ROOTS_SQL = """WITH RECURSIVE k AS (SELECT doc_id, sha256(text) AS k FROM documents UNION ALL SELECT doc_id, sha256('head:' || substr(text, 1, 200)) FROM documents),
-m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS root FROM k), e AS (SELECT DISTINCT doc_id AS a, root AS b FROM m UNION SELECT DISTINCT root, doc_id FROM m),
-r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.root) SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id"""
-
 KEYWORDS = ["idiot", "stupid", "the", "license", "token"]
 
 
@@ -271,33 +258,24 @@ TITLE_SQL = """SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>',
 
 
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared distinct tokens of items and documents, for pairs that share at least 20: the join runs on tokens, not on pairs."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("tok"))
-    items = load(spark, sf_dir, "benchmark").select("item_id", tx.tokens(F.col("text")).alias("toks"))
-    spread = items.select("item_id", F.size("toks").alias("m"), F.explode("toks").alias("tok"))
-    hits = docs.join(spread, "tok").groupBy("doc_id", "item_id", "m").agg(F.count("*").alias("shared")).where("shared >= 20")
-    return hits.select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("m"), 8).alias("containment"))
+    """Share of an item's distinct words that a document has, where it is half or more; short items too."""
+    return _contained(spark, sf_dir, "words")
 
 
-_TOKENS_SQL = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9가-힣]+', ' ', 'g')), ' '), lambda x: length(x) > 1))"
-CONTAINMENT_SQL = f"""WITH d AS (SELECT doc_id, unnest({_TOKENS_SQL}) AS tok FROM documents), i AS (SELECT item_id, len(toks) AS m, unnest(toks) AS tok FROM (SELECT item_id, {_TOKENS_SQL} AS toks FROM benchmark) x)
-SELECT doc_id, item_id, count(*) AS shared, round(count(*) / max(m), 8) AS containment FROM d JOIN i USING (tok) GROUP BY doc_id, item_id HAVING count(*) >= 20"""
+def _contained(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    docs, items = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark").select("item_id", "text")
+    hits = containment.contained(docs, items, "doc_id", "item_id", "text", kind, 0.5)
+    return hits.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "shared", F.round(F.col("shared") / F.col("size"), 8).alias("containment"))
 
 
-def _char5(text):
-    """Distinct character 5-grams of the normalised text without spaces; a shorter text is its own gram, an empty one has none."""
-    plain = F.array(F.replace(tx.normalise(text), F.lit(" "), F.lit("")))
-    cut = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 4, F.lit(1))), lambda i: F.substr(t, i, F.lit(5)))
-    return F.filter(F.array_distinct(F.transform(plain, cut)[0]), lambda g: g != "")
+_TOKENS_SQL = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9가-힣]+', ' ', 'g')), ' '), lambda x: length(x) > 1))"
+CONTAINMENT_SQL = f"""WITH d AS (SELECT doc_id, unnest({_TOKENS_SQL}) AS tok FROM documents), i AS (SELECT item_id, len(toks) AS m, unnest(toks) AS tok FROM (SELECT item_id, {_TOKENS_SQL} AS toks FROM benchmark) x)
+SELECT doc_id, item_id, count(*) AS shared, round(count(*) / max(m), 8) AS containment FROM d JOIN i USING (tok) GROUP BY doc_id, item_id HAVING count(*) * 2 >= max(m)"""
 
 
 def doc_char5_containment_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of an item's distinct character 5-grams that a document has, where it is half or more; short items too."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.explode(_char5(F.col("text"))).alias("gram"))
-    items = load(spark, sf_dir, "benchmark").select("item_id", _char5(F.col("text")).alias("grams"))
-    spread = items.select("item_id", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
-    hits = docs.join(spread, "gram").groupBy("doc_id", "item_id", "m").agg(F.count("*").alias("shared")).where("shared * 2 >= m")
-    return hits.select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("m"), 8).alias("containment"))
+    return _contained(spark, sf_dir, "char5")
 
 
 _CHAR5_SQL = """list_distinct(list_filter([substr(t, i, 5) FOR i IN generate_series(1, greatest(length(t) - 4, 1))], lambda g: g <> ''))"""
@@ -329,7 +307,6 @@ _PAIRS = {
     "exact_auc": (exact_auc, AUC_SQL),
     "ece_10": (ece_10, ECE_SQL),
     "risk_coverage": (risk_coverage, COVERAGE_SQL),
-    "syndication_roots": (syndication_roots, ROOTS_SQL),
     "keyword_counts": (keyword_counts, KEYWORDS_SQL),
     "url_canonical": (url_canonical, URL_SQL),
     "url_canonical_ordered": (url_canonical_ordered, URL_ORDERED_SQL),
