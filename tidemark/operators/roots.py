@@ -24,12 +24,29 @@ def _grams(text: str) -> set[str]:
     return {packed[i : i + 5] for i in range(max(len(packed) - 4, 1))} if packed else set()
 
 
+def longest_common_subsequence(a: str, b: str) -> int:
+    """Its length, a column of the table at once in the bits of one number."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    whole = open_ = (1 << len(a)) - 1
+    for c in b:
+        hit = open_ & where.get(c, 0)
+        open_ = (open_ + hit | open_ - hit) & whole
+    return len(a) - open_.bit_count()
+
+
 def _alike(a: str, b: str, least: float) -> bool:
-    """Whether the ratio of matching blocks reaches ``least``; its cheap upper bounds are asked first."""
+    """Whether the ratio of matching blocks reaches ``least``.
+
+    Matching blocks are a common subsequence, so that its length bounds them; texts that pass this bound are near copies.
+    """
     if not a or not b:
         return False
     match = SequenceMatcher(None, a, b, autojunk=False)
-    return match.real_quick_ratio() >= least and match.quick_ratio() >= least and match.ratio() >= least
+    if match.real_quick_ratio() < least or match.quick_ratio() < least:
+        return False
+    return 2 * longest_common_subsequence(a, b) >= least * (len(a) + len(b)) and match.ratio() >= least
 
 
 def shared_root(base: str | None, other: str | None, base_headline: str | None, headline: str | None, seconds: float | None) -> str:

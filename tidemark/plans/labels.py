@@ -88,11 +88,14 @@ def label_rows(q) -> str:
     columns = [c.replace("entry /", "max(entry) /", 1) if c.startswith("entry /") else c for c in columns]
     names = [c.rsplit(" AS ", 1)[1] for c in columns]
     days = " UNION ALL ".join(f"SELECT '{m}' AS market, {q.day(q.local(q.back('bt'), z))} AS ld, {q.seconds(q.local(q.back('bt'), z))} AS bs, b.* FROM b" for m, (z, _, _) in ZONES.items())
+    # Moves between neighbouring bars of a session are the same for all its events: they are taken before events meet bars.
+    opens = "CASE market " + " ".join(f"WHEN '{m}' THEN {v[1]}" for m, v in ZONES.items()) + " END"
     return f"""WITH {_ladder(q)}, d AS ({days}),
-        o AS (SELECT s.event_id, s.et, s.entry, d.bt, d.bt + {CADENCE * 1_000_000} AS be, open, close, high, low, volume FROM s JOIN d ON d.market = s.market AND d.ld = s.ld
-            WHERE s.status = 'PLACED' AND d.bs >= s.op AND d.bt + {CADENCE * 1_000_000} <= s.et),
-        r AS (SELECT *, lag(bt) OVER w AS pt, close / nullif(lag(close) OVER w, 0) - 1 AS r FROM o WINDOW w AS (PARTITION BY event_id ORDER BY bt)),
-        u AS (SELECT *, lag(pt) OVER w AS ppt, lag(r) OVER w AS pr FROM r WINDOW w AS (PARTITION BY event_id ORDER BY bt)),
+        g AS (SELECT * FROM d WHERE bs >= {opens}),
+        r AS (SELECT *, lag(bt) OVER w AS pt, close / nullif(lag(close) OVER w, 0) - 1 AS r FROM g WINDOW w AS (PARTITION BY market, ld ORDER BY bt)),
+        v AS (SELECT *, lag(pt) OVER w AS ppt, lag(r) OVER w AS pr FROM r WINDOW w AS (PARTITION BY market, ld ORDER BY bt)),
+        u AS (SELECT s.event_id, s.et, s.entry, v.bt, v.bt + {CADENCE * 1_000_000} AS be, open, close, high, low, volume, pt, r, ppt, pr FROM s JOIN v ON v.market = s.market AND v.ld = s.ld
+            WHERE s.status = 'PLACED' AND v.bt + {CADENCE * 1_000_000} <= s.et),
         f AS (SELECT event_id, count(*) AS n_bars, {', '.join(columns)} FROM u GROUP BY event_id)
         SELECT s.event_id, CASE WHEN status <> 'PLACED' THEN status WHEN coalesce(n_bars, 0) < 2 THEN 'NO_PREHISTORY' ELSE 'OK' END AS status, s.market,
         CASE WHEN n_bars >= 2 THEN (et - t - {LAG * 1_000_000}) / 1E6 END AS entry_slip_s, CASE WHEN n_bars >= 2 THEN (xt - et) / 1E6 END AS hold_s, CASE WHEN n_bars >= 2 THEN round(exit / entry - 1, 8) END AS fwd_ret,
