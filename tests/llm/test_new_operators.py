@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import filter_audit, periodic, queries, warc
+from tidemark.llm import filter_audit, html_extract, periodic, queries, warc
 
 
 def plain_runs(words, min_length=24, min_periods=3):
@@ -232,3 +232,25 @@ def test_audit_of_nothing_and_of_other_filters(spark):
     assert got == {("XY", 1): (1, 2, 0, 1, 3), ("XY", 2): (1, 0, 1, 0, 1), ("YX", 1): (2, 1, 0, 0, 1), ("YX", 2): (1, 1, 1, 1, 3)}
     with pytest.raises(ValueError, match="between one and six"):
         filter_audit.interactions(flags, [], {})
+
+
+STORY = "".join(f"<p>{'Plain words of a story that goes on for a while here. ' * 4}</p>" for _ in range(5))
+
+
+@pytest.mark.parametrize("theme", ["has-sidebar", "no-sidebar", "comments-open", "social-policy", "post has-post-thumbnail hentry", "sidebar-layout", "withAds", "page-id-2 widgets-on", "single-ad-free", "noticeable"])
+def test_theme_classes_are_no_marks(theme):
+    for page in (f'<div class="{theme}"><article>{STORY}</article></div>', f'<article class="{theme}">{STORY}</article>', f'<article>{STORY}<p class="{theme}">One more paragraph of this story, which stays.</p></article>'):
+        assert html_extract.main_text(f"<body>{page}<footer>foot</footer></body>").count("Plain words") == 20
+
+
+def test_marked_parts_still_go():
+    for name in ("comments", "comment-list", "post-comments", "ad", "adBox", "google-ads", "ad slot", "newsletter-signup", "cookie-banner", "related-posts", "site-footer", "social-share-buttons", "sidebar widget", "share"):
+        page = f'<body><article>{STORY}<p class="share-price">The share price rose by a lot over the day.</p></article><div class="{name}"><p>Leave this text out of it, please, all of it.</p></div></body>'
+        got = html_extract.main_text(page)
+        assert "Leave this" not in got and "share price rose" in got and got.count("Plain words") == 20, name
+    comments = f'<section class="comments">{"".join(f"<article class=comment><p>{STORY}</p></article>" for _ in range(3))}</section>'
+    assert html_extract.main_text(f"<body><article><h1>Head</h1>{STORY}</article>{comments}</body>").count("Plain words") == 20
+
+
+def test_a_marked_frame_of_the_whole_page_is_kept():
+    assert html_extract.main_text(f'<body><div id="content" class="widget"><main>{STORY}</main></div><div class="widget"><p>side text</p></div></body>').count("Plain words") == 20

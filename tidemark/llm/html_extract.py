@@ -45,30 +45,42 @@ MARKS = set(
 OUTER_MARKS = set(
     "alert modal overlay reply side header topbar pager copyright widget widgets login search hidden skip toolbar dialog form".split()
 )
+ANY_MARKS = MARKS | OUTER_MARKS
 #: The same, of menus.
 MENU_MARKS = set("menu nav navbar navigation breadcrumb breadcrumbs pagination".split())
+#: Words that say where a marked element stands or what holds it; a class name with any other word (``has-sidebar``, ``comments-open``,
+#: ``share-price``) marks nothing.
+NEUTRAL = set(
+    "site page pages post posts article articles entry blog story user users reader readers google top bottom left right primary secondary inner outer first last global "
+    "wrapper wrap container holder box area region section block list item items bar panel slot unit row col column group inline link links button buttons icon icons text title message content js".split()
+)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _marks(attrs) -> tuple[set[str], bool]:
-    """The words of an element's marking attributes, and whether it is not shown."""
-    words: set[str] = set()
+def _marks(attrs) -> tuple[list[set[str]], bool]:
+    """The names in an element's marking attributes, each as its set of words, and whether the element is not shown."""
+    names: list[set[str]] = []
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            words.update(w.lower() for w in _WORDS.findall(value))
+            names += [{w.lower() for w in _WORDS.findall(part) if not w.isdigit()} for part in value.split()]
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _UNSEEN.search(value):
-            return words, True
-    return words, False
+            return names, True
+    return names, False
+
+
+def _says(names: list[set[str]], marks: set[str]) -> bool:
+    """Whether a whole name is made of marks and neutral words, with one mark at least."""
+    return any(words and not marks.isdisjoint(words) and words <= marks | NEUTRAL for words in names)
 
 
 class _Open:
     """An open element and what it inherits: every question about the ancestors is answered by the innermost one."""
 
-    __slots__ = ("tag", "boiler", "hidden", "menu", "article", "group")
+    __slots__ = ("tag", "boiler", "hidden", "menu", "article", "group", "mark")
 
-    def __init__(self, tag, boiler, hidden, menu, article, group):
-        self.tag, self.boiler, self.hidden, self.menu, self.article, self.group = tag, boiler, hidden, menu, article, group
+    def __init__(self, tag, boiler, hidden, menu, article, group, mark):
+        self.tag, self.boiler, self.hidden, self.menu, self.article, self.group, self.mark = tag, boiler, hidden, menu, article, group, mark
 
 
 class PageLines(HTMLParser):
@@ -82,7 +94,10 @@ class PageLines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, int]] = []
         self.parent: dict[int, int] = {}
-        self._open = [_Open("", False, False, False, 0, 0)]
+        self._open = [_Open("", False, False, False, 0, 0, 0)]
+        self._marks: list[int] = []  # of each line the outermost element around it whose name marks boilerplate, or 0
+        self._holders: set[int] = set()  # such elements that an article without a mark stands in
+        self._marked = 0
         self._count: Counter = Counter()
         self._text: list[str] = []
         self._linked = self._tags = self._groups = self._articles = 0
@@ -97,6 +112,7 @@ class PageLines(HTMLParser):
             text, top = " ".join("".join(self._text).split()), self._open[-1]
             if text and not top.boiler:
                 self.lines.append((text, min(self._linked, len(text)), self._tags, top.group, top.article))
+                self._marks.append(top.mark)
             self._text, self._linked = [], 0
         self._tags = 0
 
@@ -126,14 +142,20 @@ class PageLines(HTMLParser):
                 self._pop("p")
         if tag in VOID or tag == "html":
             return
-        words, unseen = _marks(attrs) if attrs else ((), False)
+        names, unseen = _marks(attrs) if attrs else ([], False)
         top = self._open[-1]
         outside = not top.article
-        marked = bool(words) and (not MARKS.isdisjoint(words) or outside and not OUTER_MARKS.isdisjoint(words)) and tag not in ("main", "body")
-        boiler = unseen or marked or tag in BOILERPLATE or tag == "header" and outside
-        menu = tag in MENUS or bool(words) and not MENU_MARKS.isdisjoint(words) and tag not in ("main", "body")
-        if not (block or hidden or boiler or menu):
+        marked = tag not in ("main", "body") and bool(names) and _says(names, ANY_MARKS if outside else MARKS)
+        boiler = unseen or tag in BOILERPLATE or tag == "header" and outside
+        menu = tag in MENUS or bool(names) and tag not in ("main", "body") and _says(names, MENU_MARKS)
+        if not (block or hidden or boiler or marked or menu):
             return
+        mark = top.mark
+        if marked and not mark:
+            self._marked += 1
+            mark = self._marked
+        elif tag in ARTICLES and outside and mark and not marked:
+            self._holders.add(mark)
         group, article = top.group, top.article
         if tag in GROUPS:
             self._groups += 1
@@ -143,7 +165,7 @@ class PageLines(HTMLParser):
         if tag in ARTICLES and outside:
             self._articles += 1
             article = self._articles
-        self._open.append(_Open(tag, top.boiler or boiler, top.hidden or hidden or unseen, top.menu or menu, article, group))
+        self._open.append(_Open(tag, top.boiler or boiler, top.hidden or hidden or unseen, top.menu or menu, article, group, mark))
         self._count[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
@@ -169,8 +191,12 @@ class PageLines(HTMLParser):
                 self._linked += len(data)
 
     def close(self):
+        """Leaves out the lines of marked elements, but for one that holds an article and most of the page's text: that is its frame."""
         super().close()
         self._flush()
+        size = np.bincount(self._marks, [len(line[0]) for line in self.lines], self._marked + 1) if self.lines else np.zeros(1)
+        kept = {0} | {m for m in self._holders if 2 * size[m] > size.sum()}
+        self.lines = [line for line, mark in zip(self.lines, self._marks) if mark in kept]
 
 
 def text_to_tag(lines, sigma: float = 1.5) -> tuple[np.ndarray, np.ndarray, float]:
