@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.operators import containment, graph, roots
+from tidemark.operators.novelty import greatest_likeness
 from tidemark.plans.dialect import statement
 
 HOUR, DAY = 3600, 86_400
@@ -170,6 +171,19 @@ def novelty(q) -> str:
         CASE WHEN d30 >= 0.85 THEN 'NEAR_DUPLICATE_PRIOR_NEWS' WHEN d30 >= 0.55 THEN 'MINOR_UPDATE_OR_REPUBLICATION' ELSE 'NOVEL_STORY' END AS recycling FROM c LEFT JOIN s ON s.uid = c.uid"""
 
 
+NOVELTY_WORDS = statement(lambda q: f"WITH {_articles(q)} SELECT uid, ticker, t, {_words(q, 'headline || body')} AS w FROM a")
+
+
+def novelty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeness of each article to earlier ones of its ticker in three windows, and what it says."""
+    rows = NOVELTY_WORDS[0](spark, sf_dir)
+    best = greatest_likeness(rows, "uid", "ticker", "t", "w", {"like_24h": DAY, "like_7d": 7 * DAY, "like_30d": 30 * DAY})
+    told = rows.select("uid").join(best, "uid", "left")
+    like = F.col("like_30d")
+    recycling = F.when(like >= 0.85, "NEAR_DUPLICATE_PRIOR_NEWS").when(like >= 0.55, "MINOR_UPDATE_OR_REPUBLICATION").otherwise("NOVEL_STORY")
+    return told.select("uid", *[F.round(c, 8).alias(c) for c in ("like_24h", "like_7d", "like_30d")], F.coalesce(like >= 0.85, F.lit(False)).alias("duplicate"), recycling.alias("recycling"))
+
+
 def event_links(q) -> str:
     """Orders as events, documents as articles: explicit id, id and time where ids collide, time of the source, nearest within a day."""
     return f"""WITH e AS (SELECT o_orderkey AS id, o_orderkey % 400 AS raw, o_custkey % 20 AS ticker, {q.us('o_orderdate')} / 1000000 + o_orderkey % 86400 AS t FROM orders),
@@ -312,6 +326,6 @@ e AS (SELECT uid AS a, first AS b FROM k UNION SELECT first, uid FROM k UNION SE
 r AS (SELECT uid, uid AS at FROM s UNION SELECT r.uid, e.b FROM r JOIN e ON e.a = r.at)
 SELECT uid AS doc_id, root FROM (SELECT r.uid, s.uid AS root, row_number() OVER (PARTITION BY r.uid ORDER BY s.t, s.uid) AS k FROM r JOIN s ON s.uid = r.at) x WHERE k = 1"""
 
-BUILT = {"token_window_match": (window_match, WINDOW_SQL), "syndication_roots": (syndication_roots, SYNDICATION_SQL)}
+BUILT = {"doc_novelty_max": (novelty_rows, STATEMENTS["doc_novelty_max"][1]), "token_window_match": (window_match, WINDOW_SQL), "syndication_roots": (syndication_roots, SYNDICATION_SQL)}
 QUERIES = {name: pair[0] for name, pair in (STATEMENTS | BUILT).items()} | {"information_roots": information_roots}
 ORACLES = {name: pair[1] for name, pair in (STATEMENTS | BUILT).items()}
