@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, html_extract, imatch, language_id, packing, quality, repeats, simhash, toxicity, url_filter
 
@@ -165,6 +166,30 @@ def test_packer_keeps_all_limits_where_each_binds():
     assert loss[:, 2].max() == 20 and (loss[:, 2] >= 16).mean() > 0.3
 
 
+def test_packing_counts_the_ids_of_the_first_line(spark):
+    """Loss-bearing ids of every sequence, counted from the tokenizer's ids of the first lines, stay within the limit."""
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(PATH).encode
+    count = lambda t: len(encode(t, add_special_tokens=False).ids)
+    rng = np.random.default_rng(5)
+    words = ["internationalisation", "a", "of", "Zürich", "x1y2z3", "don't", "...", "straightforwardly"]
+    say = lambda n: " ".join(rng.choice(words, n))
+    texts = [say(rng.integers(1, 60)) + "\n" + say(rng.integers(1, 90)) for _ in range(60)]
+    texts += [None, "", "\n", "\n" + say(20), say(30), say(300) + "\n", "one\r\n" + say(9), say(700) + "\nb"]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id int, text string, prompt string")
+    asked = docs.select("doc_id", "text", packing.first_line(F.col("text")).alias("p"), "prompt")
+    rows = packing.pack_documents(asked.coalesce(1), PATH, prompt_col="p", max_tokens=256, max_segments=8, max_loss=128).collect()
+    prompt = [count(t.split("\n")[0]) if t and "\n" in t else 0 for t in texts]
+    loss, tokens = {}, {}
+    for r in rows:
+        bears = max(0, r["start"] + r["length"] - max(r["start"], prompt[r["id"]]))
+        loss[r["sequence_id"]] = loss.get(r["sequence_id"], 0) + bears
+        tokens[r["id"]] = tokens.get(r["id"], 0) + r["length"]
+    assert max(loss.values()) == 128
+    assert [tokens[i] for i in range(len(texts))] == [count(t or "") + 1 for t in texts]
+
+
 def test_url_rules_and_trees(spark):
     rules = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/")]
     urls = ["http://A.example.COM/en/1", "http://a.example.com/en/77?x=1", "https://b.net/de/#q", "http://xcom/en/", None, "no scheme", "http://c.org/fr/1"] * 3

@@ -199,9 +199,9 @@ class SequencePacker:
         return out
 
 
-def first_line_share(text: Column) -> Column:
-    """The share of a text that is its first line: the prompt of instruction data. Zero where there is no second line."""
-    return F.coalesce(F.instr(text, "\n") / F.greatest(F.length(text), F.lit(1)), F.lit(0.0))
+def first_line(text: Column) -> Column:
+    """A text up to and with its first line break: the prompt of instruction data. Null where there is no second line."""
+    return F.when(F.instr(text, "\n") > 0, F.concat(F.substring_index(text, "\n", 1), F.lit("\n")))
 
 
 SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -220,8 +220,8 @@ def pack_documents(
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     No sequence has more than ``max_tokens`` tokens, ``max_segments`` pieces or ``max_loss`` loss-bearing tokens.
-    ``prompt_col`` holds the share (0 to 1) of a document's tokens, from its start on, that bear no loss; without it,
-    or where it is null, all bear loss. Null and empty texts are the end id alone, null ids are kept as they are,
+    ``prompt_col`` holds the leading part of a document's text that bears no loss: its ids are counted, at most all of the
+    document's; without it, or where it is null, all ids bear loss, the end id among them. Null and empty texts are the end id alone, null ids are kept as they are,
     repeated rows are packed once each, very long texts are cut, an empty table gives an empty one; extra columns
     are ignored, whatever their names.
     """
@@ -253,12 +253,11 @@ def pack_documents(
         for batch in batches:
             id_type = batch.column(0).type
             for part in (batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)):
-                keys, shares = part.column(0).to_pylist(), part.column(2).to_pylist()
-                for key, ids, share in zip(keys, words.encode(part.column(1)), shares):
+                for key, ids, prompt in zip(part.column(0).to_pylist(), words.encode(part.column(1)), words.encode(part.column(2))):
                     ids += END_ID.to_bytes(4, "little")
                     length = len(ids) // 4
                     held[number] = [key, ids, length]
-                    packer.add(number, length, min(length, max(0, round(length * (share or 0.0)))))
+                    packer.add(number, length, min(length, len(prompt) // 4))
                     number += 1
                 if len(packer.out) >= 5000:
                     yield rows()
@@ -266,7 +265,7 @@ def pack_documents(
         if packer.out:
             yield rows()
 
-    share = F.lit(None).cast("double") if prompt_col is None else col(prompt_col).cast("double")
+    prompt = F.lit(None).cast("string") if prompt_col is None else col(prompt_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), share.alias("share"))
+    source = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), prompt.alias("prompt"))
     return source.mapInArrow(run, f"id {kind}, {SCHEMA}")

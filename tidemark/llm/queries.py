@@ -39,7 +39,7 @@ MAX_LOSS = 3840
 
 def packed(docs: DataFrame) -> DataFrame:
     """Packs documents as instruction data: the first line is the prompt, the rest bears loss."""
-    docs = docs.select("doc_id", "text", packing.first_line_share(F.col("text")).alias("prompt"))
+    docs = docs.select("doc_id", "text", packing.first_line(F.col("text")).alias("prompt"))
     return packing.pack_documents(docs, tokenizer_path(), prompt_col="prompt", max_loss=MAX_LOSS).withColumnRenamed("id", "doc_id")
 
 
