@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import analytics, features, labels, landed_rows, models, news, page_rows, policies, timing
+from tidemark.plans import analytics, features, labels, landed_rows, legacy_labels, models, news, page_rows, policies, timing
 
-QUERIES = features.QUERIES | models.QUERIES | page_rows.QUERIES | timing.QUERIES | analytics.QUERIES | labels.QUERIES | landed_rows.QUERIES | news.QUERIES | policies.QUERIES
-ORACLES = features.ORACLES | models.ORACLES | page_rows.ORACLES | timing.ORACLES | analytics.ORACLES | labels.ORACLES | landed_rows.ORACLES | news.ORACLES | policies.ORACLES
+QUERIES = features.QUERIES | models.QUERIES | page_rows.QUERIES | timing.QUERIES | analytics.QUERIES | labels.QUERIES | legacy_labels.QUERIES | landed_rows.QUERIES | news.QUERIES | policies.QUERIES
+ORACLES = features.ORACLES | models.ORACLES | page_rows.ORACLES | timing.ORACLES | analytics.ORACLES | labels.ORACLES | legacy_labels.ORACLES | landed_rows.ORACLES | news.ORACLES | policies.ORACLES
