@@ -44,7 +44,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 #: The rules of the URL query.
-URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
 def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
