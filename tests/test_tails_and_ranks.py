@@ -1,5 +1,7 @@
 """Frames over blocks and ranks against a reference, by plain pandas and numpy."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -95,3 +97,21 @@ def test_gate_without_opportunities(spark):
     blend = _plain_rank(margin, margin, True)
     np.testing.assert_allclose([r["margin"] for r in got], blend)
     assert [r["gated"] for r in got] == (_plain_rank(blend, blend, True) >= 0.8).tolist()
+
+
+def test_time_frames_hold_minutes_and_hours(spark, tmp_path):
+    """Frames of 1 to 60 minutes and of 1 to 60 hours before each event, against counting them one by one."""
+    from tidemark.plans import catalog
+
+    start, seconds = datetime(2024, 3, 1), [0, 30, 59, 60, 3000, 3600, 3601, 7300, 90000, 216000, 216060]
+    rows = [(i, 7 + i % 2, float(i * i), start + timedelta(seconds=s)) for i, s in enumerate(seconds * 2)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["event_id"]: r for r in catalog.QUERIES["time_frames_six"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, user, _, t in rows:
+        for m in (1, 2, 5, 10, 30, 60):
+            for name, length in ((f"{m}", timedelta(minutes=m)), (f"{m}h", timedelta(hours=m))):
+                frame = [v for _, u, v, s in rows if u == user and t - length <= s < t]
+                assert got[i][f"n_{name}"] == len(frame)
+                assert got[i][f"mean_{name}"] == (round(sum(frame) / len(frame), 6) if frame else None)
+                assert got[i][f"range_{name}"] == (max(frame) - min(frame) if frame else None)
