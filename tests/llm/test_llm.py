@@ -584,3 +584,16 @@ def test_pipeline_stages(spark, sf_dir):
     hit = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
     assert clean.count() + hit.count() == len(before)
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_word_tokens_are_learnt_by_parts_and_equal_the_tokenizers():
+    """Chunks of odd characters, and words that are encoded once whatever their case and what follows them."""
+    rng = np.random.default_rng(8)
+    kinds = ["abcXYZ'<|>ÀéßñİΣσς×÷µª12 \t\n.,#_-́ 日é", "".join(map(chr, range(32, 0x250))), "ab 1!\x85\xa0\x1c ǅﬁК"]
+    texts = ["".join(rng.choice(list(kinds[i % 3]), 40)) for i in range(600)] + [None, "", "x" * 70 + "É" * 65, "<|startoftext|>a <|ENDOFTEXT|>"]
+    words, encode = packing.WordTokens(PATH), packing.WordTokens(PATH)._encode
+    got = words.encode(pa.array(texts, pa.string()))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [encode(t or "", add_special_tokens=False).ids for t in texts]
+    words = packing.WordTokens(PATH)
+    words.encode(pa.array(["Word word, WORD! wörd. WÖRD,", "word!!"]))
+    assert set(words.number) == {"", "word", "wörd", ",", "!", ".", "!!"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,23 @@ class Slots(dict):
         self.slots = np.zeros((1024, N_FORMS), np.int64)
 
     def __missing__(self, word: bytes) -> int:
-        number = len(self)
-        if number == len(self.slots):
-            self.slots = np.concatenate((self.slots, np.zeros_like(self.slots)))
-        self.slots[number] = [zlib.crc32(word) % self.size, *(zlib.crc32(word[:n], n) % self.size for n in PREFIXES)]
-        self[word] = number
+        number = self[word] = len(self)
         return number
 
+    def numbers(self, words: list[list[bytes]]) -> np.ndarray:
+        """The numbers of all words in order. New words are hashed together."""
+        known = len(self)
+        out = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        new = list(islice(self, known, None))
+        if len(self) > len(self.slots):
+            self.slots = np.concatenate((self.slots, np.zeros((max(len(self.slots), len(new)), N_FORMS), np.int64)))
+        hashed = self.slots[known : len(self)]
+        hashed[:, 0] = np.fromiter(map(zlib.crc32, new), np.int64, len(new))
+        for i, n in enumerate(PREFIXES, 1):
+            hashed[:, i] = np.fromiter(map(zlib.crc32, [w[:n] for w in new], repeat(n)), np.int64, len(new))
+        hashed %= self.size
+        return out
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
@@ -71,7 +82,7 @@ def features(texts: list[bytes | None], slots: Slots) -> tuple[np.ndarray, np.nd
     if len(slots) > CACHE:
         slots.clear()
     sizes = [len(w) for w in words]
-    numbers = np.array([n for w in words for n in map(slots.__getitem__, w)], np.int64)
+    numbers = slots.numbers(words)
     row = np.repeat(np.arange(len(texts)), sizes)
     key, count = np.unique(((row * slots.size)[:, None] + slots.slots[numbers]).ravel(), return_counts=True)
     shape = np.array([shape_features(t or b"", n) for t, n in zip(texts, sizes)], float).reshape(-1, N_SHAPE)
