@@ -597,3 +597,12 @@ def test_word_tokens_are_learnt_by_parts_and_equal_the_tokenizers():
     words = packing.WordTokens(PATH)
     words.encode(pa.array(["Word word, WORD! wörd. WÖRD,", "word!!"]))
     assert set(words.number) == {"", "word", "wörd", ",", "!", ".", "!!"}
+
+
+def test_new_words_are_hashed_together_like_one_by_one():
+    from tidemark.llm import features
+
+    slots, size = features.Slots(1 << 18), 1 << 18
+    for words in ([[b"toxic", b"a"], [], [b"toxic", "grüßen".encode()]], [[b"a", b"longer-word", b"toxic"]], [[]], [[b"w%d" % i for i in range(3000)]]):
+        got = slots.slots[slots.numbers(words)].tolist()
+        assert got == [[zlib.crc32(w) % size, *(zlib.crc32(w[:n], n) % size for n in features.PREFIXES)] for part in words for w in part]
