@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, repeats, simhash, toxicity
@@ -10,6 +12,8 @@ from tidemark.llm.queries import packed
 
 #: SQL can express neither the classifier nor the tokenizer; tests compare the stages with plain versions.
 ORACLE_SQL = None
+#: Documents in a batch that goes to Python at the packing stage.
+BATCH_ROWS = 1024
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +37,25 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.clean_rows(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Rows go to Python in batches of at most ``rows``; afterwards the session's setting is what it was."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows if int(before) <= 0 else min(rows, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens, 64 pieces and 3840 loss-bearing tokens; of a text the first line is the prompt."""
-    return packed(docs)
+    """Sequences of at most 4096 tokens, 64 pieces and 3840 loss-bearing tokens; of a text the first line is the prompt.
+
+    The executors' heaps have grown by now. Batches of 10,000 whole documents would need some 100 MB a task outside them.
+    """
+    with small_batches(spark):
+        return materialise(packed(docs), "packed")
 
 
 STAGES = [

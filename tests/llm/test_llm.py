@@ -604,5 +604,19 @@ def test_new_words_are_hashed_together_like_one_by_one():
 
     slots, size = features.Slots(1 << 18), 1 << 18
     for words in ([[b"toxic", b"a"], [], [b"toxic", "grüßen".encode()]], [[b"a", b"longer-word", b"toxic"]], [[]], [[b"w%d" % i for i in range(3000)]]):
-        got = slots.slots[slots.numbers(words)].tolist()
+        numbers = slots.numbers(words)
+        got = slots.slots[numbers].tolist()
         assert got == [[zlib.crc32(w) % size, *(zlib.crc32(w[:n], n) % size for n in features.PREFIXES)] for part in words for w in part]
+
+
+def test_pipeline_packs_in_small_batches_and_leaves_the_session_as_it_was(spark, docs, monkeypatch):
+    import corpus_pipeline
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    packed = corpus_pipeline.packed
+    monkeypatch.setattr(corpus_pipeline, "packed", lambda d: (seen.append(spark.conf.get(name)), packed(d))[1])
+    rows = corpus_pipeline.pack(spark, docs, "")
+    assert seen == [str(corpus_pipeline.BATCH_ROWS)] and spark.conf.get(name) == before
+    key = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, rows.collect())) == sorted(map(key, packed(docs).collect()))
