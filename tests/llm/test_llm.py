@@ -620,3 +620,11 @@ def test_pipeline_packs_in_small_batches_and_leaves_the_session_as_it_was(spark,
     assert seen == [str(corpus_pipeline.BATCH_ROWS)] and spark.conf.get(name) == before
     key = lambda r: (r["doc_id"], r["start"], r["length"], r["ids_crc32"])
     assert sorted(map(key, rows.collect())) == sorted(map(key, packed(docs).collect()))
+
+
+def test_spans_that_stay_come_in_the_order_of_the_texts():
+    data = np.frombuffer(np.random.default_rng(2).bytes(4000), np.uint8)
+    at = np.arange(0, 3800, 20)
+    rows = pa.Table.from_batches(list(repeats._settled(data, at, at // 1000, at % 1000, np.full(len(at), 120), (at * 7919) % 1013)))
+    place = [d * 1000 + p for d, p in zip(rows["doc"].to_pylist(), rows["pos"].to_pylist())]
+    assert place == at.tolist() and [bytes(data[a : a + 120]) for a in at] == rows["body"].to_pylist()

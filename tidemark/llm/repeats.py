@@ -10,8 +10,8 @@ whose suffixes are preceded by different bytes (or begin a span) is a maximal re
 all its occurrences.
 
 Before the shuffle equal spans of a batch are put out as repeats of the earliest, which alone travels on.
-An anchor that very many different spans share is refined: its windows get the longest anchor there is, the window
-itself; these are counted like the others, and those that occur twice or more go through the same arrays.
+An anchor that very many different spans share is refined: its windows get anchors a little shorter than a window, and where
+these are shared so too the longest there is, the window itself; they are counted like the others, and those that occur twice or more go through the same arrays.
 Parts of a passage that is longer than a span are joined again by ``passages``.
 """
 
@@ -32,6 +32,8 @@ from tidemark.llm.common import checked_broadcast, frugal, materialise, numbered
 K = 24
 #: Different spans from which on an anchor's windows get anchors of their own.
 REFINE_FROM = 2000
+#: The first longer anchors are so many bytes shorter than a window, the last as long as one.
+NEAR = 20
 #: Bytes of spans a task sorts at a time (whole anchors, so a little more).
 CHUNK = 1 << 16
 #: Bytes of text, spans and anchor rows that are looked at in one step.
@@ -222,8 +224,12 @@ _REPEAT = "repeat_id bigint, length bigint, doc bigint, pos bigint, first_doc bi
 _SPAN = "key bigint, body binary, doc bigint, pos bigint, late_doc bigint, late_pos bigint, length bigint"
 
 
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
 def _batch(arrays, schema: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], [f.split()[0] for f in schema.split(", ")])
+    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], _names(schema))
 
 
 def _occurrences(number, length, doc, pos, base: int) -> pa.RecordBatch:
@@ -290,7 +296,9 @@ def _settled(data, start, doc, at, size, key):
     for late in _parts(np.flatnonzero(alike)):
         differs = _gather(data, start[late], size[late]) != _gather(data, start[head[late]], size[late])
         alike[late] = ~np.logical_or.reduceat(differs, np.cumsum(size[late]) - size[late])
-    for lone in _parts(np.flatnonzero(~alike)):
+    # In the order of the texts, in which neighbours share most of their bytes: so they take little room on disk.
+    alone = np.flatnonzero(~alike)
+    for lone in _parts(alone[np.lexsort((at[alone], doc[alone]))]):
         ends = pa.py_buffer(np.concatenate(([0], np.cumsum(size[lone]))).astype(np.int32))
         body = pa.Array.from_buffers(pa.binary(), len(lone), [None, ends, pa.py_buffer(_gather(data, start[lone], size[lone]))])
         nulls = pa.nulls(len(lone), pa.int64())
@@ -402,7 +410,7 @@ class RepeatFinder:
     def _spans(self) -> DataFrame:
         """(key, body, doc, pos) of the earliest of equal spans of a batch; the others as pairs with it."""
         least = self.min_bytes
-        found = materialise(self._anchors(), "anchors")
+        found = materialise(self._anchors(), "anchors", compression="zstd")
         lists = found.groupBy("doc").agg(F.collect_list(F.struct("h", "code")).alias("s")).select("doc", "s.h", "s.code")
 
         @frugal
@@ -420,19 +428,18 @@ class RepeatFinder:
 
         return self.texts.join(lists, "doc").select("doc", "data", "h", "code").mapInArrow(cut, _SPAN)
 
-    def _windows(self, shared: DataFrame) -> DataFrame:
-        """The windows that occur twice or more among the spans ``shared``, each as a span with the window for anchor."""
+    def _windows(self, shared: DataFrame, k: int) -> DataFrame:
+        """The spans of the windows among the spans ``shared`` by anchors of ``k`` bytes that occur twice or more."""
         least = self.min_bytes
 
         def anchors(batches):
             for batch in batches:
                 for part in (batch.slice(i, STEP_SPANS // 8) for i in range(0, len(batch), STEP_SPANS // 8)):
-                    doc, pos, size = (part.column(k).to_numpy() for k in (2, 3, 6))
+                    doc, pos = part.column(2).to_numpy(), part.column(3).to_numpy()
                     offsets, body = _binary(part.column(1))
-                    count = size - least + 1
-                    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    marks = _rolling(body, least)[np.repeat(offsets[:-1], count) + within].view(np.int64)
-                    yield np.repeat(doc, count), marks ^ np.int64(least << 48), ((np.repeat(pos, count) + within) << _SHIFT) | 1
+                    who, h, first, count = spans(body, offsets[:-1], offsets[1:], least, k)
+                    if len(h):
+                        yield doc[who], h ^ np.int64(k << 48), ((pos[who] + first) << _SHIFT) | count
 
         found = materialise(self._repeated(shared, anchors), "windows")
         lists = found.groupBy("doc").agg(F.collect_list(F.struct("h", "code")).alias("s")).select("doc", "s.h", "s.code")
@@ -446,12 +453,13 @@ class RepeatFinder:
                 codes = _lists(batch.column(5))[1]
                 upto = np.concatenate(([0], np.cumsum(sizes)))
                 for i, j in _steps(sizes, SETTLE_SPANS):
-                    owner, at = np.repeat(np.arange(i, j), sizes[i:j]), codes[upto[i] : upto[j]] >> _SHIFT
+                    owner, code = np.repeat(np.arange(i, j), sizes[i:j]), codes[upto[i] : upto[j]]
+                    at, size = code >> _SHIFT, (code & ((1 << _SHIFT) - 1)) + least - 1
                     # A document's list has the windows of all its spans.
-                    own = np.flatnonzero((at >= first[owner]) & (at + least <= first[owner] + length[owner]))
-                    owner, at, key = owner[own], at[own], keys[upto[i] : upto[j]][own]
+                    own = np.flatnonzero((at >= first[owner]) & (at + size <= first[owner] + length[owner]))
+                    owner, at, size, key = owner[own], at[own], size[own], keys[upto[i] : upto[j]][own]
                     if len(own):
-                        yield from _settled(data, offsets[owner] + at - first[owner], docs[owner], at, np.full(len(own), least), key)
+                        yield from _settled(data, offsets[owner] + at - first[owner], docs[owner], at, size, key)
 
         return shared.join(lists, "doc").select("body", "doc", "pos", "length", "h", "code").mapInArrow(cut, _SPAN)
 
@@ -511,23 +519,30 @@ class RepeatFinder:
             found = _scan(_gather(body, start[several], length[several]), length[several], doc[several], pos[several], least)
             return None if found is None else _occurrences(*found, base)
 
-        spans_ = materialise(self._spans(), "spans")
-        counts = spans_.groupBy("key").agg(F.count("body").alias("n")).where(F.col("n") > REFINE_FROM)
-        shared = materialise(counts.select("key", F.lit(True).alias("shared")), "shared_anchors")
-        if shared.limit(1).count():
-
-            def taken(on: bool):
-                @frugal
-                def run(batches):
-                    for batch in batches:
-                        flag = pc.and_(pc.fill_null(batch.column(7), False), batch.column(1).is_valid())
-                        yield pa.RecordBatch.from_arrays(batch.columns[:7], batch.schema.names[:7]).filter(flag if on else pc.invert(flag))
-
-                return run
-
-            flagged = spans_.join(checked_broadcast(shared), "key", "left").select(*spans_.columns, "shared")
+        def taken(on: bool):
+            @frugal
+            def run(batches):
+                for batch in batches:
+                    flag = pc.and_(pc.fill_null(batch.column(7), False), batch.column(1).is_valid())
+                    yield pa.RecordBatch.from_arrays(batch.columns[:7], batch.schema.names[:7]).filter(flag if on else pc.invert(flag))
+
+            return run
+
+        spans_, done = materialise(self._spans(), "spans", compression="zstd"), []
+        # Longer anchors first: few of their spans occur twice, and only these are looked at window by window.
+        for k in (least - NEAR, least) if least - NEAR > K else (least,):
+            counts = spans_.groupBy("key").agg(F.count("body").alias("n")).where(F.col("n") > REFINE_FROM)
+            shared = materialise(counts.select("key", F.lit(True).alias("shared")), "shared_anchors")
+            if not shared.limit(1).count():
+                break
+            flagged = spans_.join(checked_broadcast(shared), "key", "left").select(*_names(_SPAN), "shared")
             refined = materialise(flagged.mapInArrow(taken(True), _SPAN), "refined")
-            spans_ = flagged.mapInArrow(taken(False), _SPAN).unionByName(self._windows(refined))
+            done.append(flagged.mapInArrow(taken(False), _SPAN))
+            spans_ = self._windows(refined, k)
+            if k < least:
+                spans_ = materialise(spans_, "refined_spans", compression="zstd")
+        for part in done:
+            spans_ = part.unionByName(spans_)
         dealt = spans_.repartition(self.n, "key").sortWithinPartitions("key")
         return dealt.mapInArrow(scan, _REPEAT)
 

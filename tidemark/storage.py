@@ -28,9 +28,9 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back, which cuts its lineage."""
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, which cuts its lineage. ``options`` are the writer's."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
