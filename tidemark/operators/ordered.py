@@ -63,6 +63,26 @@ def quantile_bins(k: int, number: str = "rn", total: str = "n_rows") -> Column:
     return F.greatest(F.lit(1), F.expr(f"({number} - 1) * {k} div greatest({total} - 1, 1) + CAST(({number} - 1) * {k} % greatest({total} - 1, 1) > 0 AS BIGINT)")).cast("int")
 
 
+def _between(low: Column, high: Column, part: Column) -> Column:
+    """(1 - part) low + part high, the first product added without a rounding of its own: neighbours of one unit in the
+    last place have nothing between them, and which of the two it is decides what a cut there lets through."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        wide = x * 134217729.0
+        top = wide - (wide - x)
+        return top, x - top
+
+    rest = 1 - part
+    product, added = low * rest, high * part
+    (a, b), (c, d) = halves(low), halves(rest)
+    error = ((a * c - product) + a * d + b * c) + b * d
+    both = product + added
+    moved = both - product
+    exact = both + (((product - (both - moved)) + (added - moved)) + error)
+    # Infinities and what is not a number have no halves.
+    return F.when(F.isnan(exact), both).otherwise(exact)
+
+
 def exact_quantiles(df: DataFrame, value: str, shares: list[float], keys: list[str] = ()) -> DataFrame:
     """(keys, share, quantile, n): exact quantiles with linear interpolation, per group, of the values that are not null.
 
@@ -87,4 +107,4 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], keys: list[s
         wanted.append(F.when(low | high, F.struct(F.lit(float(share)).alias("share"), (at - F.floor(at)).alias("part"), F.when(low, F.col("_v")).alias("low"), F.when(high, F.col("_v")).alias("high"))))
     hits = own.select(*keys, "n", F.explode(F.array_compact(F.array(*wanted))).alias("w")).select(*keys, "n", "w.*")
     ends = hits.groupBy(*keys, "share").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.max("part").alias("part"), F.max("n").alias("n"))
-    return ends.select(*keys, "share", ((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high")).alias("quantile"), "n")
+    return ends.select(*keys, "share", _between(F.col("low"), F.col("high"), F.col("part")).alias("quantile"), "n")
