@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.plans.dialect import statement
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import frames
+from tidemark.plans.dialect import S, statement
+from tidemark.session import load
 
 DAY = 86_400_000_000
 
@@ -198,6 +203,15 @@ PLANS = {
     "exact_duplicates": lambda q: f"SELECT {q.sha('text')} AS content_sha256, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY text HAVING count(*) > 1",
 }
 
+
+
+def time_frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the events of its type in the hour before it say about each event."""
+    events = load(spark, sf_dir, "events").select("event_id", "event_type", "value", F.expr(S.us("ts")).alias("t"))
+    got = frames.time_frames(events, "event_type", "t", "value", 3_600_000_000)
+    return got.select("event_id", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
 STATEMENTS = {name: statement(build) for name, build in PLANS.items()}
-QUERIES = {name: pair[0] for name, pair in STATEMENTS.items()}
+QUERIES = {name: pair[0] for name, pair in STATEMENTS.items()} | {"time_frame_stats": time_frame_stats}
 ORACLES = {name: pair[1] for name, pair in STATEMENTS.items()}
