@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import articles, text
@@ -237,26 +238,45 @@ class _Tables(HTMLParser):
         if self._tables and self._tables[-1]["cell"] is not None:
             self._tables[-1]["cell"]["text"].append(data)
 
-    def finish(self) -> list[dict]:
+    def finish(self) -> Iterator[dict]:
         self.close()
         while self._tables:
             self._close_cell()
             self._tables.pop()
         keys = ("table", "table_class", "part", "row", "col", "head", "spanned", "text", "onclick", "title", "href")
-        whole = [c["copy"] | {"row": c["row"], "col": c["col"], "spanned": True} if "copy" in c else c for c in self.cells]
-        return [{k: c[k] for k in keys} for c in whole]
+        for c in self.cells:
+            c = c["copy"] | {"row": c["row"], "col": c["col"], "spanned": True} if "copy" in c else c
+            yield {k: c[k] for k in keys}
 
 
-CELLS = "array<struct<table: int, table_class: string, part: string, row: int, col: int, head: boolean, spanned: boolean, text: string, onclick: string, title: string, href: string>>"
+CELLS = "table int, table_class string, part string, row int, col int, head boolean, spanned boolean, text string, onclick string, title string, href string"
+#: Pages that are read, and cells that are sent on, at once: what a worker holds does not grow with its table.
+PAGES_AT_ONCE, CELLS_AT_ONCE = 64, 4096
 
 
-def _table_cells(pages: pd.Series) -> pd.Series:
-    out = []
-    for page in pages:
-        parser = _Tables()
-        parser.feed(page or "")
-        out.append(parser.finish())
-    return pd.Series(out)
+def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (id, html) to batches of cells with their page's id."""
+    plain = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), *[pa.string()] * 4]
+    names = [field.split()[0] for field in CELLS.split(", ")]
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+            part = batch.slice(at, PAGES_AT_ONCE)
+            owners, cells = [], []
+
+            def made(owners, cells):
+                return pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners, pa.int32())), *[pa.array([c[k] for c in cells], t) for k, t in zip(names, plain)]], ["id", *names])
+
+            for i, page in enumerate(part.column(1).to_pylist()):
+                parser = _Tables()
+                parser.feed(page or "")
+                for cell in parser.finish():
+                    owners.append(i)
+                    cells.append(cell)
+                    if len(cells) == CELLS_AT_ONCE:
+                        yield made(owners, cells)
+                        owners, cells = [], []
+            if cells:
+                yield made(owners, cells)
 
 
 def table_cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -266,7 +286,8 @@ def table_cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     its table's section and never over ``MOST_SPAN``. Link fields are those of the first link in the cell. Unclosed rows and cells end
     where the next begins. Pages without a table, and null pages, have no row.
     """
-    return pages.select(F.col(id_col).alias("id"), F.inline(F.pandas_udf(_table_cells, CELLS)(F.col(html_col))))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    return rows.mapInArrow(_cells_of, f"id {rows.schema['id'].dataType.simpleString()}, {CELLS}")
 
 
 def disclosures(pages: DataFrame, id_col: str, day_col: str, html_col: str, zone: str = "Asia/Seoul", table_class: str = "list type-00 mt10") -> DataFrame:
@@ -277,11 +298,16 @@ def disclosures(pages: DataFrame, id_col: str, day_col: str, html_col: str, zone
     whose time does not parse are left out.
     """
     cells = table_cells(pages, id_col, html_col)
-    chosen = cells.groupBy("id").agg(F.coalesce(F.min(F.when(F.col("table_class") == table_class, F.col("table"))), F.min("table")).alias("table"))
-    at = lambda c, field: F.max(F.when(F.col("col") == c, F.col(field)))
-    rows = cells.join(chosen, ["id", "table"]).where("part = 'tbody' AND NOT head").groupBy("id", "row").agg(
-        F.count("*").alias("n"), at(0, "text").alias("time"), at(1, "text").alias("company"), at(1, "onclick").alias("company_key"), at(2, "text").alias("shown"), at(2, "title").alias("title"), at(2, "onclick").alias("view"),
-    ).where("n >= 4")
+    body = (F.col("part") == "tbody") & ~F.col("head")
+    at = lambda c, field: F.max(F.when(body & (F.col("col") == c), F.col(field)))
+    rows = cells.groupBy("id", "table", "row").agg(
+        F.max(F.col("table_class") == table_class).alias("named"),
+        F.count(F.when(body, 1)).alias("n"), at(0, "text").alias("time"), at(1, "text").alias("company"), at(1, "onclick").alias("company_key"), at(2, "text").alias("shown"), at(2, "title").alias("title"), at(2, "onclick").alias("view"),
+    )
+    # Pages are read once: the table is chosen from the rows.
+    page = Window.partitionBy("id")
+    chosen = F.coalesce(F.min(F.when(F.col("named"), F.col("table"))).over(page), F.min("table").over(page))
+    rows = rows.withColumn("chosen", chosen).where("table = chosen AND n >= 4")
     rows = rows.withColumn("code", F.regexp_extract("company_key", r"companysummary_open\('([0-9A-Za-z]+)'", 1)).where("code <> ''")
     rows = rows.withColumn("accession", F.regexp_extract("view", r"openDisclsViewer\('([0-9]+)'", 1))
     ticker = F.when(F.length("code") == 5, F.concat("code", F.lit("0"))).when(F.col("code").rlike("^[0-9]+$"), F.lpad("code", 6, "0")).otherwise(F.upper("code"))
