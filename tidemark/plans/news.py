@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules
 from tidemark.operators import containment, graph, roots
-from tidemark.operators.novelty import greatest_likeness
+from tidemark.operators.novelty import greatest_likeness, near_copies
 from tidemark.plans.dialect import statement
 
 HOUR, DAY = 3600, 86_400
@@ -171,6 +171,17 @@ def novelty(q) -> str:
         CASE WHEN d30 >= 0.85 THEN 'NEAR_DUPLICATE_PRIOR_NEWS' WHEN d30 >= 0.55 THEN 'MINOR_UPDATE_OR_REPUBLICATION' ELSE 'NOVEL_STORY' END AS recycling FROM c LEFT JOIN s ON s.uid = c.uid"""
 
 
+NEAR_WORDS = statement(
+    lambda q: f"WITH {_articles(q, 5)} SELECT uid, coalesce(lang, '') AS key, t, body = '' AS bare, {_words(q, 'headline')} AS short, {_words(q, 'headline || body')} AS long FROM a"
+)
+
+
+def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one language (for the ticker) within 48 hours whose headlines and bodies are nearly the same."""
+    got = near_copies(NEAR_WORDS[0](spark, sf_dir), 48 * HOUR, 0.88, 0.72)
+    return got.select("u", "v", F.round("short_j", 8).alias("headline_j"), F.round("long_j", 8).alias("body_j"))
+
+
 NOVELTY_WORDS = statement(lambda q: f"WITH {_articles(q)} SELECT uid, ticker, t, {_words(q, 'headline || body')} AS w FROM a")
 
 
@@ -307,7 +318,7 @@ def syndication_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles linked by an equal text or as near copies within 48 hours; the root is the earliest, ties by id."""
     rows = STORIES[0](spark, sf_dir).select("uid", "t", F.sha2("body", 256).alias("k"))
     same = rows.join(rows.groupBy("k").agg(F.min("uid").alias("b")), "k").select(F.col("uid").alias("a"), "b")
-    near = STATEMENTS["doc_jaccard_pairs"][0](spark, sf_dir).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    near = near_pairs(spark, sf_dir).select(F.col("u").alias("a"), F.col("v").alias("b"))
     groups = graph.components(same.union(near))
     placed = rows.join(groups, F.col("uid") == F.col("node"), "left").withColumn("grp", F.coalesce("root", "uid"))
     first = placed.groupBy("grp").agg(F.min(F.struct("t", "uid")).alias("first"))
@@ -326,6 +337,6 @@ e AS (SELECT uid AS a, first AS b FROM k UNION SELECT first, uid FROM k UNION SE
 r AS (SELECT uid, uid AS at FROM s UNION SELECT r.uid, e.b FROM r JOIN e ON e.a = r.at)
 SELECT uid AS doc_id, root FROM (SELECT r.uid, s.uid AS root, row_number() OVER (PARTITION BY r.uid ORDER BY s.t, s.uid) AS k FROM r JOIN s ON s.uid = r.at) x WHERE k = 1"""
 
-BUILT = {"doc_novelty_max": (novelty_rows, STATEMENTS["doc_novelty_max"][1]), "token_window_match": (window_match, WINDOW_SQL), "syndication_roots": (syndication_roots, SYNDICATION_SQL)}
+BUILT = {"doc_novelty_max": (novelty_rows, STATEMENTS["doc_novelty_max"][1]), "doc_jaccard_pairs": (near_pairs, STATEMENTS["doc_jaccard_pairs"][1]), "token_window_match": (window_match, WINDOW_SQL), "syndication_roots": (syndication_roots, SYNDICATION_SQL)}
 QUERIES = {name: pair[0] for name, pair in (STATEMENTS | BUILT).items()} | {"information_roots": information_roots}
 ORACLES = {name: pair[1] for name, pair in (STATEMENTS | BUILT).items()}
